@@ -16,7 +16,7 @@ from ..operators.joins import join_per_key
 from ..schemas import GOLD_COLUMNS
 from ..session import apply_engine_conf
 from . import fixtures as fx
-from .oracle import sql
+from .oracle import HEADER_SQL, sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -227,3 +227,109 @@ FROM verdict v LEFT JOIN (SELECT customer_name, count(*) AS n FROM gold GROUP BY
 def q_recon_messages(spark, sf_dir):
     """One message per party with the number of listed entries."""
     return reconciliation(spark, sf_dir).messages()
+
+
+# ====================================================================== statement: bronze and silver
+
+from ..functions.dates import date_text, parse_statement_date  # noqa: E402
+from ..functions.text import repair_date_text  # noqa: E402
+from ..operators import bronze as br  # noqa: E402
+from ..operators import silver as sv  # noqa: E402
+from ..session import materialize  # noqa: E402
+
+_silver: dict[tuple, DataFrame] = {}
+
+
+def bronze_lines(spark, sf_dir) -> DataFrame:
+    return br.to_bronze(fx.dirty_statement(spark, sf_dir))
+
+
+def silver_lines(spark, sf_dir) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _silver:
+        _silver[key] = materialize(sv.to_silver(bronze_lines(spark, sf_dir), fx.FISCAL_START), "silver")
+    return _silver[key]
+
+
+@query("entry_index", "SELECT statement_id, line_no, particulars FROM fx_dirty")
+def q_entry_index(spark, sf_dir):
+    """Position of every statement line in load order (1-based, per statement)."""
+    return fx.dirty_statement(spark, sf_dir).select("statement_id", "line_no", "particulars")
+
+
+@query("date_repair", "SELECT statement_id, line_no, date_repaired FROM b_text")
+def q_date_repair(spark, sf_dir):
+    """Date text without Dr/Cr/By/To, blanks collapsed, split month re-joined, trimmed."""
+    d = fx.dirty_statement(spark, sf_dir)
+    return d.select("statement_id", "line_no", repair_date_text("date").alias("date_repaired"))
+
+
+@query("date_parse", "SELECT statement_id, line_no, date FROM bronze")
+def q_date_parse(spark, sf_dir):
+    """First word parsed as d-MMM-yy (two-digit year pivot) or d-M-yyyy, else null."""
+    d = fx.dirty_statement(spark, sf_dir)
+    return d.select("statement_id", "line_no", parse_statement_date(repair_date_text("date")).alias("date"))
+
+
+@query("amount_parse", "SELECT statement_id, line_no, debit, credit FROM bronze")
+def q_amount_parse(spark, sf_dir):
+    """Debit and credit text to exact decimals, null when not a number."""
+    return bronze_lines(spark, sf_dir).select("statement_id", "line_no", "debit", "credit")
+
+
+@query("date_text", "SELECT statement_id, line_no, strftime(date, '%d-%m-%Y') AS date_text FROM bronze")
+def q_date_text(spark, sf_dir):
+    """The dd-MM-yyyy text form of the parsed date."""
+    return bronze_lines(spark, sf_dir).select("statement_id", "line_no", date_text("date").alias("date_text"))
+
+
+@query("drop_blank_rows", "SELECT statement_id, line_no FROM s_kept")
+def q_drop_blank_rows(spark, sf_dir):
+    """lines without date, voucher number and voucher type are dropped."""
+    return sv.drop_blank_rows(bronze_lines(spark, sf_dir)).select("statement_id", "line_no")
+
+
+@query("ffill_date", "SELECT statement_id, line_no, date FROM s_filled")
+def q_ffill_date(spark, sf_dir):
+    """The last known date carried forward in file order."""
+    return sv.fill_dates(sv.drop_blank_rows(bronze_lines(spark, sf_dir))).select("statement_id", "line_no", "date")
+
+
+@query("fiscal_filter", f"SELECT statement_id, line_no, date FROM s_filled WHERE date >= DATE '{fx.FISCAL_FILTER_START}'")
+def q_fiscal_filter(spark, sf_dir):
+    """lines from the fiscal start on (start 1997-01-01 here, so that lines are cut)."""
+    filled = sv.fill_dates(sv.drop_blank_rows(bronze_lines(spark, sf_dir)))
+    return sv.fiscal_filter(filled, fx.FISCAL_FILTER_START).select("statement_id", "line_no", "date")
+
+
+@query("drop_page_headers", f"SELECT statement_id, line_no FROM bronze WHERE NOT {HEADER_SQL}")
+def q_drop_page_headers(spark, sf_dir):
+    """Repeated page headers recognised by their letters-only cells and dropped."""
+    return sv.drop_page_headers(bronze_lines(spark, sf_dir)).select("statement_id", "line_no")
+
+
+@query("silver_entries", """
+SELECT customer_name, idx, posting_date, particulars, voucher_type, voucher_number,
+       debit_amount_in_local_currency, credit_amount_in_local_currency, cumulative_amount_in_local_currency
+FROM silver""")
+def q_silver_entries(spark, sf_dir):
+    """The cleaned counterparty statement with its running balance."""
+    return silver_lines(spark, sf_dir).drop("statement_id")
+
+
+@query("closing_line", "SELECT statement_id, stated_closing FROM closing")
+def q_closing_line(spark, sf_dir):
+    """The value of the last closing-balance line of every statement."""
+    return sv.closing_line(bronze_lines(spark, sf_dir))
+
+
+@query("closing_check", """
+SELECT b.statement_id, c.stated_closing, s.computed_closing,
+       coalesce(c.stated_closing = s.computed_closing, false) AS closing_ok
+FROM (SELECT DISTINCT statement_id FROM bronze) b
+LEFT JOIN closing c ON c.statement_id = b.statement_id
+LEFT JOIN (SELECT statement_id, arg_max(cumulative_amount_in_local_currency, idx) AS computed_closing
+           FROM silver GROUP BY statement_id) s ON s.statement_id = b.statement_id""")
+def q_closing_check(spark, sf_dir):
+    """Stated closing balance against the last running balance."""
+    return sv.closing_check(bronze_lines(spark, sf_dir), silver_lines(spark, sf_dir))

@@ -158,3 +158,81 @@ def counterparty_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return _memo(spark, sf_dir, "counterparty", build)
+
+
+# ---------------------------------------------------------------- dirty statement (FIXTURES §5)
+
+# Month abbreviations in calendar order, as printed on statements
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+# the repeated page header, the narration text and the closing line of a statement
+PAGE_HEADER = ("Date ", "Particulars ", "Vch Type ", "Vch No. ", "Debit ", "Credit ")
+NARRATION = "Being goods sold "
+CLOSING = "Closing Balance "
+CLOSING_ORD = 1_000_000
+
+
+def amount_text(x) -> F.Column:
+    """Two decimals, a comma before the last six characters when seven or longer."""
+    s = x.cast("decimal(20,2)").cast("string")
+    n = F.length(s)
+    return F.when(n >= 7, F.concat(s.substr(F.lit(1), n - 6), F.lit(","), s.substr(n - 5, F.lit(6)))).otherwise(s)
+
+
+def _date_text(seq, d) -> F.Column:
+    mon = F.lit(MONTHS).substr((F.month(d) - 1) * 3 + 1, F.lit(3))
+    mon = F.when(seq % 4 == 0, F.concat(mon.substr(1, 1), F.lit(" "), mon.substr(2, 2))).otherwise(mon)
+    short = F.concat(
+        F.lit("To "), F.lpad(F.dayofmonth(d).cast("string"), 2, "0"), F.lit("-"), mon, F.lit("-"),
+        F.lpad((F.year(d) % 100).cast("string"), 2, "0"), F.lit(" Agst "),
+    )
+    long_ = F.concat(
+        F.lit("  "), F.dayofmonth(d).cast("string"), F.lit("-"), F.month(d).cast("string"), F.lit("-"),
+        F.year(d).cast("string"), F.lit(" "),
+    )
+    return F.when(seq % 3 == 2, F.lit("")).when(seq % 2 == 0, short).otherwise(long_)
+
+
+def dirty_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counterparty statements as OCR'd text: statement_id, line_no, date, particulars, vch_type, vch_no, debit, credit.
+
+    Entries with noisy dates and amounts, repeated page headers, narration lines and a closing line."""
+
+    def build():
+        lines = statement_lines(spark, sf_dir)
+        seq = F.col("seq")
+        sp = lambda c: F.concat(F.col(c), F.lit(" "))
+        entries = lines.select(
+            F.col("party").alias("statement_id"), (seq * 10).alias("ord"),
+            _date_text(seq, F.col("posting_date")).alias("date"), sp("particulars").alias("particulars"),
+            sp("voucher_type").alias("vch_type"), sp("voucher_number").alias("vch_no"),
+            F.concat(amount_text(F.col("debit")), F.lit(" Dr")).alias("debit"),
+            F.concat(amount_text(F.col("credit")), F.lit(" Cr")).alias("credit"),
+        )
+        headers = lines.where((seq > 0) & (seq % 5 == 0)).select(
+            F.col("party").alias("statement_id"), (seq * 10 - 1).alias("ord"),
+            *[F.lit(t).alias(c) for t, c in zip(PAGE_HEADER, ["date", "particulars", "vch_type", "vch_no", "debit", "credit"])],
+        )
+        narration = lines.where(seq % 4 == 1).select(
+            F.col("party").alias("statement_id"), (seq * 10 + 1).alias("ord"), F.lit("").alias("date"),
+            F.lit(NARRATION).alias("particulars"),
+            *[F.lit(None).cast("string").alias(c) for c in ["vch_type", "vch_no", "debit", "credit"]],
+        )
+        last = counterparty_statement(spark, sf_dir).groupBy("customer_name").agg(
+            F.max_by("cumulative_amount_in_local_currency", "idx").alias("bal")
+        )
+        k = F.substring(F.col("customer_name"), -9, 9).cast("long")
+        closing = last.select(
+            F.col("customer_name").alias("statement_id"), F.lit(CLOSING_ORD).cast("long").alias("ord"),
+            F.lit("").alias("date"), F.lit(CLOSING).alias("particulars"),
+            F.lit(None).cast("string").alias("vch_type"), F.lit(None).cast("string").alias("vch_no"),
+            F.when(F.col("bal") >= 0, F.concat(amount_text(F.col("bal") + F.when(k % 10 == 7, 1).otherwise(0)), F.lit(" Dr"))).alias("debit"),
+            F.when(F.col("bal") < 0, F.concat(amount_text(-F.col("bal")), F.lit(" Cr"))).alias("credit"),
+        )
+        rows = entries.unionByName(headers).unionByName(narration).unionByName(closing)
+        rows = ordered_scan(rows, ["statement_id"], ["ord"], row_number="line_no", bucket=int_bucket("ord"))
+        return materialize(
+            rows.select("statement_id", "line_no", "date", "particulars", "vch_type", "vch_no", "debit", "credit"),
+            "fx_dirty",
+        )
+
+    return _memo(spark, sf_dir, "dirty", build)

@@ -159,3 +159,76 @@ def sql(final: str) -> str:
 
 
 __all__ = ["CTES", "FISCAL_FILTER_START", "FISCAL_START", "cte", "sql"]
+
+
+# ------------------------------------------------------------------ dirty statement (FIXTURES §5)
+def amount_text_sql(x: str) -> str:
+    s = f"CAST(CAST({x} AS DECIMAL(20,2)) AS VARCHAR)"
+    return f"(CASE WHEN length({s}) >= 7 THEN substr({s}, 1, length({s}) - 6) || ',' || substr({s}, length({s}) - 5) ELSE {s} END)"
+
+
+cte("fx_dirty_src", f"""
+  SELECT party AS statement_id, seq * 10 AS ord,
+         CASE WHEN seq % 3 = 2 THEN ''
+              WHEN seq % 2 = 0 THEN 'To ' || lpad(CAST(day(posting_date) AS VARCHAR), 2, '0') || '-'
+                   || (CASE WHEN seq % 4 = 0 THEN substr(mon, 1, 1) || ' ' || substr(mon, 2, 2) ELSE mon END) || '-'
+                   || lpad(CAST(year(posting_date) % 100 AS VARCHAR), 2, '0') || ' Agst '
+              ELSE '  ' || CAST(day(posting_date) AS VARCHAR) || '-' || CAST(month(posting_date) AS VARCHAR) || '-'
+                   || CAST(year(posting_date) AS VARCHAR) || ' ' END AS date,
+         particulars || ' ' AS particulars, voucher_type || ' ' AS vch_type, voucher_number || ' ' AS vch_no,
+         {amount_text_sql('debit')} || ' Dr' AS debit, {amount_text_sql('credit')} || ' Cr' AS credit
+  FROM (SELECT *, substr('JanFebMarAprMayJunJulAugSepOctNovDec', (month(posting_date) - 1) * 3 + 1, 3) AS mon
+        FROM fx_b_lines) x
+  UNION ALL
+  SELECT party, seq * 10 - 1, 'Date ', 'Particulars ', 'Vch Type ', 'Vch No. ', 'Debit ', 'Credit '
+  FROM fx_b_lines WHERE seq > 0 AND seq % 5 = 0
+  UNION ALL
+  SELECT party, seq * 10 + 1, '', 'Being goods sold ', NULL, NULL, NULL, NULL FROM fx_b_lines WHERE seq % 4 = 1
+  UNION ALL
+  SELECT customer_name, 1000000, '', 'Closing Balance ', NULL, NULL,
+         CASE WHEN bal >= 0 THEN {amount_text_sql("bal + CASE WHEN CAST(right(customer_name, 9) AS BIGINT) % 10 = 7 THEN 1 ELSE 0 END")} || ' Dr' END,
+         CASE WHEN bal < 0 THEN {amount_text_sql('-bal')} || ' Cr' END
+  FROM (SELECT customer_name, arg_max(cumulative_amount_in_local_currency, idx) AS bal
+        FROM counterparty GROUP BY customer_name) c""")
+cte("fx_dirty", """
+  SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY ord) AS BIGINT) AS line_no,
+         date, particulars, vch_type, vch_no, debit, credit
+  FROM fx_dirty_src""")
+
+# ------------------------------------------------------------------ bronze and silver, literal form
+REPAIR = ("trim(regexp_replace(regexp_replace(regexp_replace(date, '(Dr|Cr|By|To)', '', 'g'), '\\s+', ' ', 'g'), "
+          "'(\\d{1,2})-(\\w)\\s*(\\w+)-(\\d{2})', '\\1-\\2\\3-\\4', 'g'))")
+cte("b_text", f"""
+  SELECT statement_id, line_no, {REPAIR} AS date_repaired, split_part({REPAIR}, ' ', 1) AS w,
+         particulars, vch_type, vch_no, debit, credit FROM fx_dirty""")
+cte("bronze", f"""
+  SELECT statement_id, line_no,
+         coalesce(try_strptime(w, '%d-%b-%y')::DATE,
+                  CASE WHEN regexp_matches(w, '^\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}$') THEN try_strptime(w, '%d-%m-%Y')::DATE END) AS date,
+         nullif(trim(particulars), '') AS particulars, nullif(trim(vch_type), '') AS vch_type,
+         nullif(trim(vch_no), '') AS vch_no,
+         TRY_CAST(nullif(regexp_replace(debit, '[^0-9.\\-]', '', 'g'), '') AS {M}) AS debit,
+         TRY_CAST(nullif(regexp_replace(credit, '[^0-9.\\-]', '', 'g'), '') AS {M}) AS credit,
+         statement_id AS customer_name
+  FROM b_text""")
+cte("s_kept", "SELECT * FROM bronze WHERE NOT (date IS NULL AND vch_no IS NULL AND vch_type IS NULL)")
+cte("s_filled", """
+  SELECT statement_id, line_no, particulars, vch_type, vch_no, debit, credit, customer_name,
+         last_value(date IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY line_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS date
+  FROM s_kept""")
+HEADER_SQL = ("(lower(regexp_replace(coalesce(particulars, ''), '[^a-zA-Z]', '', 'g')) = 'particulars' "
+              "AND lower(regexp_replace(coalesce(vch_no, ''), '[^a-zA-Z]', '', 'g')) = 'vchno' "
+              "AND lower(regexp_replace(coalesce(vch_type, ''), '[^a-zA-Z]', '', 'g')) = 'vchtype')")
+cte("s_final", f"SELECT * FROM s_filled WHERE date >= {FS} AND NOT {HEADER_SQL}")
+cte("silver", f"""
+  SELECT customer_name, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY line_no) AS BIGINT) AS idx,
+         date AS posting_date, particulars, vch_type AS voucher_type, vch_no AS voucher_number,
+         debit AS debit_amount_in_local_currency, credit AS credit_amount_in_local_currency,
+         CAST(sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER (PARTITION BY statement_id ORDER BY line_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {M}) AS cumulative_amount_in_local_currency,
+         statement_id
+  FROM s_final""")
+cte("closing", """
+  SELECT statement_id, arg_max(coalesce(debit, credit), line_no) AS stated_closing
+  FROM bronze WHERE lower(trim(particulars)) = 'closing balance' GROUP BY statement_id""")
