@@ -16,7 +16,7 @@ from ..operators.joins import join_per_key
 from ..schemas import GOLD_COLUMNS
 from ..session import apply_engine_conf
 from . import fixtures as fx
-from .oracle import HEADER_SQL, sql
+from .oracle import HEADER_SQL, score_sql, sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -333,3 +333,29 @@ LEFT JOIN (SELECT statement_id, arg_max(cumulative_amount_in_local_currency, idx
 def q_closing_check(spark, sf_dir):
     """Stated closing balance against the last running balance."""
     return sv.closing_check(bronze_lines(spark, sf_dir), silver_lines(spark, sf_dir))
+
+
+# ====================================================================== names
+
+from ..functions.similarity import similarity  # noqa: E402
+from ..operators import names as nm  # noqa: E402
+
+
+@query("name_score", f"""
+SELECT source_name, raw_name, {score_sql('raw_name', 'source_name')} AS score
+FROM nm_raw""")
+def q_name_score(spark, sf_dir):
+    """Similarity of every dirty name variant with the name it came from."""
+    raw = fx.dirty_names(spark, sf_dir)
+    return raw.select("source_name", "raw_name", similarity(F.col("raw_name"), F.col("source_name")).alias("score"))
+
+
+@query("name_resolve", """
+SELECT raw_name, CASE WHEN max(score) > 0 THEN arg_max(party_name, score * 1000000 - position) END AS party_name,
+       max(score) AS score
+FROM nm_scores GROUP BY raw_name""")
+def q_name_resolve(spark, sf_dir):
+    """Best master name of every distinct dirty name (first in list order on ties)."""
+    master = nm.master_from(fx.party_master(spark, sf_dir), "party_name", "party_name")
+    raw = fx.dirty_names(spark, sf_dir)
+    return nm.resolve_names(raw, "raw_name", master)

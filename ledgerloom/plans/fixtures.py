@@ -236,3 +236,24 @@ def dirty_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return _memo(spark, sf_dir, "dirty", build)
+
+
+# ---------------------------------------------------------------- names (FIXTURES §8)
+
+
+def party_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Party master: distinct part names, list position by name."""
+    return read_table(spark, sf_dir, "part").select(F.col("p_name").alias("party_name")).where(
+        F.col("party_name").isNotNull()
+    ).distinct()
+
+
+def dirty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_name, raw_name): a file name, the name without 'e', upper case, the first five letters."""
+    p = F.col("p_name")
+    variants = F.array(F.concat(F.lit("temp_"), p, F.lit(".csv")), F.replace(p, F.lit("e"), F.lit("")), F.upper(p), F.substring(p, 1, 5))
+    return (
+        read_table(spark, sf_dir, "part").where(p.isNotNull())
+        .select(p.alias("source_name"), F.explode(variants).alias("raw_name"))
+        .distinct()
+    )

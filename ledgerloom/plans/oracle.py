@@ -232,3 +232,29 @@ cte("silver", f"""
 cte("closing", """
   SELECT statement_id, arg_max(coalesce(debit, credit), line_no) AS stated_closing
   FROM bronze WHERE lower(trim(particulars)) = 'closing balance' GROUP BY statement_id""")
+
+
+# ------------------------------------------------------------------ names (FIXTURES §8)
+def lcs_sql(a: str, b: str) -> str:
+    return (f"list_reduce(range(1, length({a}) + 1), lambda prev, i: list_reduce(range(1, length({b}) + 1), "
+            f"lambda cur, j: list_append(cur, CASE WHEN {a}[i] = {b}[j] THEN prev[j] + 1 "
+            f"ELSE greatest(prev[j + 1], cur[-1]) END), [0]), list_transform(range(length({b}) + 1), lambda x: 0))[-1]")
+
+
+def score_sql(a: str, b: str) -> str:
+    ratio = f"(CAST(2 * {lcs_sql(a, b)} AS DOUBLE) / CAST(length({a}) + length({b}) AS DOUBLE))"
+    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 WHEN {a} = {b} THEN 100 "
+            f"WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+            f"ELSE CAST(round_even(CAST(100 AS DOUBLE) * {ratio}, 0) AS INTEGER) END)")
+
+
+cte("nm_master", """
+  SELECT party_name, row_number() OVER (ORDER BY party_name) AS position
+  FROM (SELECT DISTINCT p_name AS party_name FROM part WHERE p_name IS NOT NULL) x""")
+cte("nm_raw", """
+  SELECT DISTINCT p_name AS source_name,
+         unnest(['temp_' || p_name || '.csv', replace(p_name, 'e', ''), upper(p_name), substr(p_name, 1, 5)]) AS raw_name
+  FROM part WHERE p_name IS NOT NULL""")
+cte("nm_scores", f"""
+  SELECT r.raw_name, m.party_name, m.position, {score_sql('r.raw_name', 'm.party_name')} AS score
+  FROM (SELECT DISTINCT raw_name FROM nm_raw) r CROSS JOIN nm_master m""")
