@@ -49,8 +49,12 @@ def is_thousands_number(c) -> Column:
     return col_(c).rlike(r"^[0-9,]*,[0-9,]*$") & col_(c).rlike("[0-9]")
 
 
+def url_decoded(c) -> Column:
+    """A file name as stored by the file system listing ("%23" -> "#"; a "+" stays a "+")."""
+    return F.url_decode(F.replace(col_(c), F.lit("+"), F.lit("%2B")))
+
+
 def file_stem(path) -> Column:
-    """Base name of a path without directory and extension, URL-decoded ("%23" -> "#")."""
+    """Base name of a path without directory and extension."""
     name = F.regexp_extract(col_(path), r"([^/]*)$", 1)
-    name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(name, r"\.[^.]*$", "")

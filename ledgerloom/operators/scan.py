@@ -84,7 +84,7 @@ def ordered_scan(
         local_exprs.append(F.row_number().over(w_local).cast("long").alias("_ln"))
     local_exprs += [F.sum(c).over(w_run).alias(f"_l{c}") for c in vals]
     local_exprs += [F.last(c, ignorenulls=True).over(w_run).alias(f"_l{c}") for c in fvals]
-    local = staged.select(*cols, "_b", *local_exprs)
+    local = staged.select(*[quoted(c) for c in cols], "_b", *local_exprs)
 
     order_struct = F.struct(*[F.col(c) for c in order])
     tot_exprs = []
@@ -106,7 +106,7 @@ def ordered_scan(
     cond = [local[k].eqNullSafe(offsets[renamed[k]]) for k in keys] + [local["_b"] == offsets["_ob"]]
     joined = local.join(offsets, cond, "inner")
 
-    out = [F.col(c) for c in cols]
+    out = [quoted(c) for c in cols]
     if row_number:
         out.append((F.col("_on") + F.col("_ln")).cast("long").alias(row_number))
     for (name, value), c in zip(sums.items(), vals):
@@ -118,6 +118,11 @@ def ordered_scan(
     return joined.select(*out)
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name (names from file headers may hold dots or blanks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def value_type(df: DataFrame, col_name: str) -> str:
     """Type of a running sum: decimals keep the input's type (sums widen otherwise)."""
     dt = df.schema[col_name].dataType

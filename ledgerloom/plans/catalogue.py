@@ -17,6 +17,7 @@ from ..schemas import GOLD_COLUMNS
 from ..session import apply_engine_conf
 from . import fixtures as fx
 from .oracle import HEADER_SQL, score_sql, sql
+from .oracle import _norm as _ORACLE_NORM
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -359,3 +360,171 @@ def q_name_resolve(spark, sf_dir):
     master = nm.master_from(fx.party_master(spark, sf_dir), "party_name", "party_name")
     raw = fx.dirty_names(spark, sf_dir)
     return nm.resolve_names(raw, "raw_name", master)
+
+
+# ====================================================================== sources and sinks
+
+from ..operators import ledger as lg  # noqa: E402
+from ..schemas import BRONZE_HEADER, SHEET_HEADER  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as fs  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+def statement_scan(spark, sf_dir) -> DataFrame:
+    """Statement CSVs read back with their header, party from the file name."""
+    raw = fs.read_files(spark, fx.statement_files(spark, sf_dir), header=True)
+    raw = br.trim_columns(raw)
+    br.require_columns(raw, BRONZE_HEADER, "statement")
+    raw = fs.party_from_file(raw, [fx.STATEMENT_PREFIX], out="statement_id")
+    return raw.select("statement_id", "line_no", *[F.col(f"`{h}`").alias(c) for h, c in zip(BRONZE_HEADER, ["date", "particulars", "vch_type", "vch_no", "debit", "credit"])])
+
+
+@query("bronze_scan", """
+SELECT statement_id, line_no, nullif(date, '') AS date, nullif(particulars, '') AS particulars,
+       nullif(vch_type, '') AS vch_type, nullif(vch_no, '') AS vch_no, nullif(debit, '') AS debit,
+       nullif(credit, '') AS credit
+FROM fx_dirty""")
+def q_bronze_scan(spark, sf_dir):
+    """Statement files scanned with a header row, file order kept, names trimmed (an empty cell is null)."""
+    return statement_scan(spark, sf_dir)
+
+
+@query("party_from_file", "SELECT DISTINCT 'temp_' || statement_id || '.csv' AS source_file, statement_id AS customer_name FROM fx_dirty")
+def q_party_from_file(spark, sf_dir):
+    """The party of every statement file from its name (no folder, no extension, no upload prefix)."""
+    path = fx.statement_files(spark, sf_dir)
+    files = spark.read.option("header", True).csv(path).select(fs.FILE_COL).distinct()
+    return fs.party_from_file(files, [fx.STATEMENT_PREFIX])
+
+
+@query("bronze_roundtrip", "SELECT * FROM bronze")
+def q_bronze_roundtrip(spark, sf_dir):
+    """Statement files -> bronze lines -> Parquet -> read back."""
+    bronze = br.to_bronze(statement_scan(spark, sf_dir))
+    path = scratch_path(spark, "bronze")
+    sinks.write_bronze(bronze, path)
+    return spark.read.parquet(path)
+
+
+@query("erp_scan", f"""
+SELECT customer_name, idx, posting_date, posting_date AS due_date, CAST(idx AS VARCHAR) AS trans_no,
+       '{fx.SHEET_CONSTANTS["offset_account"]}' AS offset_account, '{fx.SHEET_CONSTANTS["origin"]}' AS origin,
+       origin_no, CAST(NULL AS VARCHAR) AS ref_2, '{fx.SHEET_CONSTANTS["details"]}' AS details,
+       debit_lc, credit_lc, cumulative_balance_lc, cumulative_balance_lc AS balance_due_lc,
+       '{fx.SHEET_CONSTANTS["created_by"]}' AS created_by, '{fx.SHEET_CONSTANTS["branch"]}' AS branch
+FROM own""")
+def q_erp_scan(spark, sf_dir):
+    """Ledger sheets (header on line 2) -> typed own ledger."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(SHEET_HEADER))])
+    lines = fs.read_files(spark, fx.sheet_files(spark, sf_dir), schema=schema)
+    return lg.to_ledger(lines)
+
+
+@query("gold_sink_roundtrip", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold")
+def q_gold_sink_roundtrip(spark, sf_dir):
+    """The gold rows appended as two runs to a new table; the second run read back (partition pruned)."""
+    gold = reconciliation(spark, sf_dir).gold()
+    path = scratch_path(spark, "gold_table")
+    sinks.append_gold(gold.where(F.lit(False)), path, "run-0")  # creates the table
+    sinks.append_gold(gold, path, "run-1")
+    return sinks.read_gold(spark, path, "run-1").drop("run_id")
+
+
+@query("report_export", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold")
+def q_report_export(spark, sf_dir):
+    """The gold report as CSV with a header, read back with the gold schema."""
+    gold = reconciliation(spark, sf_dir).gold()
+    path = scratch_path(spark, "report")
+    sinks.export_report(gold, path)
+    return sinks.read_report(spark, path)
+
+
+# ====================================================================== OCR
+
+from ..operators import ocr  # noqa: E402
+from ..sources.ocr import explode_blocks, read_ocr_pages  # noqa: E402
+
+
+def ocr_source(spark, sf_dir) -> DataFrame:
+    return read_ocr_pages(spark, fx.ocr_files(spark, sf_dir))
+
+
+@query("ocr_tables", "SELECT statement_id, page_no, CAST(table_count AS BIGINT) AS table_count FROM ocr_page_list")
+def q_ocr_tables(spark, sf_dir):
+    """Every OCR'd page with its number of tables (0 for a page without one)."""
+    pages = ocr_source(spark, sf_dir)
+    return ocr.table_counts(pages, explode_blocks(pages))
+
+
+@query("ocr_cells", """
+SELECT statement_id, page_no, row_index, col_index, CASE WHEN text = '' THEN '' ELSE text || ' ' END AS text
+FROM ocr_cell_list""")
+def q_ocr_cells(spark, sf_dir):
+    """Every table cell with its text rebuilt from the words."""
+    cells = ocr.table_cells(explode_blocks(ocr_source(spark, sf_dir)))
+    return cells.select("statement_id", "page_no", "row_index", "col_index", "text")
+
+
+@query("ocr_confidence", """
+SELECT statement_id, page_no, count(*) AS n_cells, min(confidence) AS min_confidence, max(confidence) AS max_confidence
+FROM ocr_cell_list GROUP BY statement_id, page_no""")
+def q_ocr_confidence(spark, sf_dir):
+    """Number of cells and their confidence range per page."""
+    return ocr.confidence_by_page(ocr_source(spark, sf_dir))
+
+
+@query("page_concat", "SELECT statement_id, line_no, page_no, row_index FROM ocr_lines")
+def q_page_concat(spark, sf_dir):
+    """The rows of all tables and pages of a statement, numbered in page order."""
+    rows = ocr.statement_rows(ocr_source(spark, sf_dir))
+    return rows.select("statement_id", "line_no", "page_no", "row_index")
+
+
+@query("header_clean", """
+SELECT DISTINCT statement_id, page_no, 6 AS n_columns, 'Date|Particulars|Vch Type|Vch No.|Debit|Credit' AS header_text
+FROM ocr_lines""")
+def q_header_clean(spark, sf_dir):
+    """The page headers with their blank-named columns dropped."""
+    rows = ocr.grid_rows(explode_blocks(ocr_source(spark, sf_dir)))
+    heads = ocr.page_headers(rows)
+    names = ocr.clean_header(F.col("header"))
+    return heads.select("statement_id", "page_no", F.size(names).alias("n_columns"), F.array_join(names, "|").alias("header_text"))
+
+
+@query("ocr_rows", f"""
+SELECT statement_id, line_no, {_ORACLE_NORM('date')} AS date, {_ORACLE_NORM('particulars')} AS particulars,
+       {_ORACLE_NORM('vch_type')} AS vch_type, {_ORACLE_NORM('vch_no')} AS vch_no,
+       {_ORACLE_NORM('debit')} AS debit, {_ORACLE_NORM('credit')} AS credit
+FROM fx_dirty""")
+def q_ocr_rows(spark, sf_dir):
+    """OCR blocks back to statement rows (the text of the statement lines, in order)."""
+    rows = ocr.statement_rows(ocr_source(spark, sf_dir))
+    return rows.select("statement_id", "line_no", "date", "particulars", "vch_type", "vch_no", "debit", "credit")
+
+
+@query("ocr_bronze", "SELECT * FROM bronze")
+def q_ocr_bronze(spark, sf_dir):
+    """R0 + R1: OCR blocks -> statement rows -> bronze lines."""
+    rows = ocr.statement_rows(ocr_source(spark, sf_dir))
+    return br.to_bronze(rows.select("statement_id", "line_no", "date", "particulars", "vch_type", "vch_no", "debit", "credit"))
+
+
+# ====================================================================== NaN at the border
+
+from ..functions.amounts import nan_to_null  # noqa: E402
+from ..schemas import MONEY  # noqa: E402
+
+
+@query("nan_to_null", "SELECT customer_name, idx, debit_lc, credit_lc FROM own")
+def q_nan_to_null(spark, sf_dir):
+    """amounts that arrive as doubles with NaN for 'missing' (as a spreadsheet library gives them)
+    become null before the exact decimal cast, so a missing amount never matches or flags."""
+    own = fx.own_ledger(spark, sf_dir)
+    as_float = lambda c: F.when(F.col(c).isNull(), F.lit(float("nan"))).otherwise(F.col(c).cast("double"))
+    floats = own.select("customer_name", "idx", as_float("debit_lc").alias("debit_lc"), as_float("credit_lc").alias("credit_lc"))
+    return floats.select(
+        "customer_name", "idx",
+        nan_to_null("debit_lc").cast(MONEY).alias("debit_lc"), nan_to_null("credit_lc").cast(MONEY).alias("credit_lc"),
+    )

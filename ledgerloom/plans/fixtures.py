@@ -257,3 +257,142 @@ def dirty_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(p.alias("source_name"), F.explode(variants).alias("raw_name"))
         .distinct()
     )
+
+
+# ---------------------------------------------------------------- files (FIXTURES §5 as CSV, §7)
+
+# Fixed values of the sheet fixture: constant text columns and the upload prefixes of the two kinds of file
+SHEET_CONSTANTS = {"offset_account": "ACC-1", "origin": "IN", "details": "Sale, goods", "created_by": "user", "branch": "Main"}
+STATEMENT_PREFIX = "temp_"
+SHEET_PREFIX = "SAP_"
+
+
+def statement_files(spark: SparkSession, sf_dir: str) -> str:
+    """The dirty statements as one CSV per party (header row as printed), under the checkpoint folder."""
+    from ..sources.files import write_files
+    from ..session import scratch_path
+
+    def build():
+        d = dirty_statement(spark, sf_dir)
+        df = d.select(
+            F.concat(F.lit(STATEMENT_PREFIX), "statement_id", F.lit(".csv")).alias("source_file"), "line_no",
+            *[F.col(c).alias(h) for c, h in zip(["date", "particulars", "vch_type", "vch_no", "debit", "credit"], PAGE_HEADER)],
+        )
+        path = scratch_path(spark, "statement_files")
+        write_files(df, path, ["line_no"], header=True)
+        return path
+
+    return _memo(spark, sf_dir, "statement_files", build)
+
+
+def sheet_files(spark: SparkSession, sf_dir: str) -> str:
+    """The own ledger as one sheet per party: a title line, the header line, then the entries."""
+    from ..schemas import SHEET_HEADER
+    from ..sources.files import write_files
+    from ..session import scratch_path
+
+    def build():
+        own = own_ledger(spark, sf_dir)
+        cols = [f"_c{i}" for i in range(len(SHEET_HEADER))]
+        name = F.concat(F.lit(SHEET_PREFIX), F.col("customer_name"), F.lit(".csv")).alias("source_file")
+        parties = own.select("customer_name").distinct()
+        title = parties.select(name, F.lit(1).cast("long").alias("line"), F.concat(F.lit("Ledger of "), "customer_name").alias(cols[0]),
+                               *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
+        header = parties.select(name, F.lit(2).cast("long").alias("line"), *[F.lit(h).alias(c) for h, c in zip(SHEET_HEADER, cols)])
+        money = lambda c: F.format_number(F.col(c), 2)
+        day = F.date_format("posting_date", "yyyy-MM-dd")
+        origin_no = F.when(F.col("idx") % 3 == 0, F.concat("origin_no", F.lit(".0"))).otherwise(F.col("origin_no"))
+        values = [day, day, F.col("idx").cast("string"), F.lit(SHEET_CONSTANTS["offset_account"]), F.lit(SHEET_CONSTANTS["origin"]),
+                  origin_no, F.lit(None).cast("string"), F.lit(SHEET_CONSTANTS["details"]), money("debit_lc"), money("credit_lc"),
+                  money("cumulative_balance_lc"), money("cumulative_balance_lc"), F.lit(SHEET_CONSTANTS["created_by"]),
+                  F.lit(SHEET_CONSTANTS["branch"])]
+        data = own.select(name, (F.col("idx") + 2).alias("line"), *[v.alias(c) for v, c in zip(values, cols)])
+        path = scratch_path(spark, "sheet_files")
+        write_files(title.unionByName(header).unionByName(data), path, ["line"])
+        return path
+
+    return _memo(spark, sf_dir, "sheet_files", build)
+
+
+# ---------------------------------------------------------------- OCR blocks (FIXTURES §6)
+
+LINES_PER_PAGE = 10
+
+
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty statements as a table-extraction service returns them: one row per page with its blocks.
+
+    One TABLE per page (row 1 = header and an empty 7th header cell, data rows
+    with an 'x' in column 7), CELL and WORD blocks, empty cells without
+    children; every tenth party has a cover page 0 without a table."""
+
+    def build():
+        d = dirty_statement(spark, sf_dir)
+        page = (F.floor((F.col("line_no") - 1) / LINES_PER_PAGE) + 1).cast("int")
+        row = ((F.col("line_no") - 1) % LINES_PER_PAGE + 2).cast("int")
+        data = d.select(
+            "statement_id", page.alias("page_no"), row.alias("row"), (F.lit(90) + F.col("line_no") % 10).cast("double").alias("conf"),
+            F.posexplode(F.array("date", "particulars", "vch_type", "vch_no", "debit", "credit", F.lit("x"))).alias("ci", "text"),
+        )
+        pages = d.select("statement_id", page.alias("page_no")).distinct()
+        header = pages.select(
+            "statement_id", "page_no", F.lit(1).alias("row"), F.lit(90.0).alias("conf"),
+            F.posexplode(F.array(*[F.lit(h) for h in PAGE_HEADER], F.lit(""))).alias("ci", "text"),
+        )
+        cells = data.unionByName(header).withColumn("col", (F.col("ci") + 1).cast("int"))
+        cell_id = F.concat_ws("/", "statement_id", F.col("page_no").cast("string"), F.col("row").cast("string"), F.col("col").cast("string"))
+        words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), " "), lambda w: w != "")
+        cells = cells.select("statement_id", "page_no", "row", "col", "conf", cell_id.alias("cell_id"), words.alias("words"))
+        word_ids = F.transform("words", lambda w, i: F.concat(F.col("cell_id"), F.lit("/w"), (i + 1).cast("string")))
+        null = lambda t: F.lit(None).cast(t)
+        cell_block = F.struct(
+            F.col("cell_id").alias("Id"), F.lit("CELL").alias("BlockType"), F.col("row").alias("RowIndex"),
+            F.col("col").alias("ColumnIndex"), F.col("conf").alias("Confidence"), null("string").alias("Text"),
+            null("string").alias("SelectionStatus"),
+            F.when(F.size("words") > 0, F.array(F.struct(F.lit("CHILD").alias("Type"), word_ids.alias("Ids")))).alias("Relationships"),
+        )
+        cell_blocks = cells.select("statement_id", "page_no", cell_block.alias("b"))
+        word_blocks = cells.select("statement_id", "page_no", "cell_id", F.posexplode("words").alias("i", "w")).select(
+            "statement_id", "page_no",
+            F.struct(
+                F.concat("cell_id", F.lit("/w"), (F.col("i") + 1).cast("string")).alias("Id"), F.lit("WORD").alias("BlockType"),
+                null("int").alias("RowIndex"), null("int").alias("ColumnIndex"), null("double").alias("Confidence"),
+                F.col("w").alias("Text"), null("string").alias("SelectionStatus"),
+                null("array<struct<Type:string,Ids:array<string>>>").alias("Relationships"),
+            ).alias("b"),
+        )
+        table_children = cells.groupBy("statement_id", "page_no").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "cell_id"))), lambda x: x["cell_id"]).alias("ids")
+        )
+
+        def simple(kind: str, ident, rel=None):
+            return F.struct(
+                ident.alias("Id"), F.lit(kind).alias("BlockType"), null("int").alias("RowIndex"), null("int").alias("ColumnIndex"),
+                null("double").alias("Confidence"), null("string").alias("Text"), null("string").alias("SelectionStatus"),
+                (rel if rel is not None else null("array<struct<Type:string,Ids:array<string>>>")).alias("Relationships"),
+            )
+
+        page_key = F.concat_ws("/", "statement_id", F.col("page_no").cast("string"))
+        table_blocks = table_children.select(
+            "statement_id", "page_no",
+            simple("TABLE", F.concat(page_key, F.lit("/t1")), F.array(F.struct(F.lit("CHILD").alias("Type"), F.col("ids").alias("Ids")))).alias("b"),
+        )
+        k = F.substring(F.col("statement_id"), -9, 9).cast("long")
+        covers = pages.where((F.col("page_no") == 1) & (k % 10 == 0)).select("statement_id", F.lit(0).alias("page_no"))
+        page_blocks = pages.unionByName(covers).select("statement_id", "page_no", simple("PAGE", F.concat(page_key, F.lit("/page"))).alias("b"))
+        blocks = page_blocks.unionByName(table_blocks).unionByName(cell_blocks).unionByName(word_blocks)
+        return blocks.groupBy("statement_id", "page_no").agg(F.collect_list("b").alias("Blocks"))
+
+    return _memo(spark, sf_dir, "ocr_pages", build)
+
+
+def ocr_files(spark: SparkSession, sf_dir: str) -> str:
+    """The OCR responses written as JSON documents (one per page) under the checkpoint folder."""
+    from ..session import scratch_path
+
+    def build():
+        path = scratch_path(spark, "ocr_json")
+        ocr_pages(spark, sf_dir).write.mode("overwrite").json(path)
+        return path
+
+    return _memo(spark, sf_dir, "ocr_files", build)

@@ -258,3 +258,28 @@ cte("nm_raw", """
 cte("nm_scores", f"""
   SELECT r.raw_name, m.party_name, m.position, {score_sql('r.raw_name', 'm.party_name')} AS score
   FROM (SELECT DISTINCT raw_name FROM nm_raw) r CROSS JOIN nm_master m""")
+
+
+# ------------------------------------------------------------------ OCR pages (FIXTURES §6): expected from the lines
+def _norm(x: str) -> str:
+    """Cell text as OCR words give it back: words joined by one blank, trimmed; '' for empty."""
+    return f"coalesce(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+cte("ocr_lines", """
+  SELECT statement_id, line_no, CAST((line_no - 1) // 10 + 1 AS INTEGER) AS page_no,
+         CAST((line_no - 1) % 10 + 2 AS INTEGER) AS row_index, date, particulars, vch_type, vch_no, debit, credit
+  FROM fx_dirty""")
+cte("ocr_page_list", """
+  SELECT DISTINCT statement_id, page_no, 1 AS table_count FROM ocr_lines
+  UNION ALL
+  SELECT DISTINCT statement_id, 0, 0 FROM ocr_lines WHERE CAST(right(statement_id, 9) AS BIGINT) % 10 = 0""")
+cte("ocr_cell_list", f"""
+  SELECT statement_id, page_no, row_index, c.col_index, c.text, CAST(90 + line_no % 10 AS DOUBLE) AS confidence
+  FROM ocr_lines, LATERAL (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS col_index,
+                                  unnest([{_norm('date')}, {_norm('particulars')}, {_norm('vch_type')}, {_norm('vch_no')},
+                                          {_norm('debit')}, {_norm('credit')}, 'x']) AS text) c
+  UNION ALL
+  SELECT DISTINCT statement_id, page_no, 1, c.col_index, c.text, CAST(90 AS DOUBLE)
+  FROM ocr_lines, LATERAL (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS col_index,
+                                  unnest(['Date', 'Particulars', 'Vch Type', 'Vch No.', 'Debit', 'Credit', '']) AS text) c""")
