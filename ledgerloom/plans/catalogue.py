@@ -454,8 +454,7 @@ def ocr_source(spark, sf_dir) -> DataFrame:
 @query("ocr_tables", "SELECT statement_id, page_no, CAST(table_count AS BIGINT) AS table_count FROM ocr_page_list")
 def q_ocr_tables(spark, sf_dir):
     """Every OCR'd page with its number of tables (0 for a page without one)."""
-    pages = ocr_source(spark, sf_dir)
-    return ocr.table_counts(pages, explode_blocks(pages))
+    return ocr.table_counts(ocr_source(spark, sf_dir))
 
 
 @query("ocr_cells", """
@@ -463,7 +462,7 @@ SELECT statement_id, page_no, row_index, col_index, CASE WHEN text = '' THEN ''
 FROM ocr_cell_list""")
 def q_ocr_cells(spark, sf_dir):
     """Every table cell with its text rebuilt from the words."""
-    cells = ocr.table_cells(explode_blocks(ocr_source(spark, sf_dir)))
+    cells = ocr.table_cells(ocr_source(spark, sf_dir))
     return cells.select("statement_id", "page_no", "row_index", "col_index", "text")
 
 
@@ -487,8 +486,7 @@ SELECT DISTINCT statement_id, page_no, 6 AS n_columns, 'Date|Particulars|Vch Typ
 FROM ocr_lines""")
 def q_header_clean(spark, sf_dir):
     """The page headers with their blank-named columns dropped."""
-    rows = ocr.grid_rows(explode_blocks(ocr_source(spark, sf_dir)))
-    heads = ocr.page_headers(rows)
+    heads = ocr.page_headers(ocr_source(spark, sf_dir))
     names = ocr.clean_header(F.col("header"))
     return heads.select("statement_id", "page_no", F.size(names).alias("n_columns"), F.array_join(names, "|").alias("header_text"))
 
