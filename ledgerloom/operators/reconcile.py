@@ -143,19 +143,15 @@ def key_books(ledger: DataFrame, statement: DataFrame) -> Keyed:
 # ---------------------------------------------------------------- R5: verdict
 
 
-def balance_groups(book: DataFrame, idx_name: str) -> DataFrame:
-    """J2 pre-aggregation: last position of every balance, per party pair (1 row per balance)."""
-    return book.where(F.col("bal").isNotNull()).groupBy(*KEYS, "bal").agg(F.max("idx").alias(idx_name))
 
 
-def balance_points(ka: DataFrame, kb: DataFrame) -> DataFrame:
-    """Balances present in both books: (party, cparty, bal, i, j), i/j = last position in A/B."""
-    return balance_groups(ka, "i").join(balance_groups(kb, "j"), [*KEYS, "bal"], "inner")
+def balance_points(keyed: "Keyed", fiscal_start: str) -> DataFrame:
+    """Balances present in both books: (party, cparty, bal, i, j), i/j = last position in A/B."""
+    return balance_table(keyed, fiscal_start).where(F.col("i").isNotNull() & F.col("j").isNotNull()).select(*KEYS, "bal", "i", "j")
+
+
 
 
-def book_ends(book: DataFrame, last_idx: str, end_bal: str) -> DataFrame:
-    """Last position and last balance per party pair (W2 / A4 as one grouped aggregate)."""
-    return book.groupBy(*KEYS).agg(F.max("idx").alias(last_idx), F.max_by("bal", "idx").alias(end_bal))
 
 
 def opening_balances(kb: DataFrame, fiscal_start: str) -> DataFrame:
@@ -166,30 +162,38 @@ def opening_balances(kb: DataFrame, fiscal_start: str) -> DataFrame:
     return op.groupBy(*KEYS).agg(F.min_by("bal", "idx").alias("open_b"))
 
 
-def verdict(keyed: Keyed, fiscal_start: str, books: Books = Books()) -> DataFrame:
-    """One row per party pair: party, cparty, kase, anchor_a, anchor_b, message.
-
-    anchor_a / anchor_b: rows of A / B after this position are candidates."""
+def balance_table(keyed: Keyed, fiscal_start: str) -> DataFrame:
+    """One row per (party pair, balance): i / j = last position of that balance in A / B (null when
+    absent), o = it is the counterparty's opening balance. The union of both books, aggregated once."""
     ka, kb = keyed.a, keyed.b
-    ga, gb = balance_groups(ka, "i"), balance_groups(kb, "j")
-    ends = book_ends(ka, "mi", "end_a").join(book_ends(kb, "mj", "end_b"), KEYS, "inner")
-    # case 2: last position in A of B's closing balance
-    a2 = ends.select(*KEYS, F.col("end_b").alias("bal")).join(ga, [*KEYS, "bal"], "inner").select(
-        *KEYS, F.col("i").alias("a2")
-    )
-    # case 3: last position in B of A's closing balance
-    b3 = ends.select(*KEYS, F.col("end_a").alias("bal")).join(gb, [*KEYS, "bal"], "inner").select(
-        *KEYS, F.col("j").alias("b3")
-    )
-    # case 4 anchors: last shared balance on each side
-    shared = ga.join(gb, [*KEYS, "bal"], "inner").groupBy(*KEYS).agg(F.max("i").alias("sa"), F.max("j").alias("sb"))
-    opening = opening_balances(kb, fiscal_start)
-    open_ok = opening.join(ga.select(*KEYS, F.col("bal").alias("open_b")), [*KEYS, "open_b"], "left_semi").select(
-        *KEYS, F.lit(True).alias("open_ok")
-    )
-    v = (
-        ends.join(a2, KEYS, "left").join(b3, KEYS, "left").join(shared, KEYS, "left").join(open_ok, KEYS, "left")
+    none = F.lit(None).cast("long")
+    a = ka.where(F.col("bal").isNotNull()).select(*KEYS, "bal", F.col("idx").alias("i"), none.alias("j"), F.lit(False).alias("o"))
+    b = kb.where(F.col("bal").isNotNull()).select(*KEYS, "bal", none.alias("i"), F.col("idx").alias("j"), F.lit(False).alias("o"))
+    op = opening_balances(kb, fiscal_start).select(*KEYS, F.col("open_b").alias("bal"), none.alias("i"), none.alias("j"), F.lit(True).alias("o"))
+    return (
+        a.unionByName(b).unionByName(op)
+        .groupBy(*KEYS, "bal")
+        .agg(F.max("i").alias("i"), F.max("j").alias("j"), F.max("o").alias("o"))
     )
+
+
+def verdict(keyed: Keyed, fiscal_start: str, books: Books = Books()) -> DataFrame:
+    """One row per party pair: party, cparty, kase, anchor_a, anchor_b, message, ...
+
+    Everything comes from one grouped pass over the balance table:
+    the group holding a book's last row carries that book's last position, so
+    ``max_by(bal, i)`` is A's closing balance and ``max_by(i, j)`` is the last
+    position in A of B's closing balance (null when A never had it)."""
+    g = balance_table(keyed, fiscal_start)
+    i, j = F.col("i"), F.col("j")
+    v = g.groupBy(*KEYS).agg(
+        F.max(i).alias("mi"), F.max(j).alias("mj"),
+        F.max_by("bal", i).alias("end_a"), F.max_by("bal", j).alias("end_b"),
+        F.max_by(i, j).alias("a2"), F.max_by(j, i).alias("b3"),
+        F.max(F.when(j.isNotNull(), i)).alias("sa"), F.max(F.when(i.isNotNull(), j)).alias("sb"),
+        F.max(F.when(F.col("o"), F.col("bal"))).alias("open_b"),
+        F.coalesce(F.max(F.col("o") & i.isNotNull()), F.lit(False)).alias("open_ok"),
+    ).where(F.col("mi").isNotNull() & F.col("mj").isNotNull())
     kase = (
         F.when(F.col("end_a") == F.col("end_b"), F.lit(CASE_BALANCED))
         .when(F.col("a2").isNotNull(), F.lit(CASE_EXTRA_OWN))
@@ -209,7 +213,7 @@ def verdict(keyed: Keyed, fiscal_start: str, books: Books = Books()) -> DataFram
             *KEYS, "kase",
             F.when(F.col("kase") == 2, F.col("a2")).when(F.col("kase") == 4, F.col("sa")).alias("anchor_a"),
             F.when(F.col("kase") == 3, F.col("b3")).when(F.col("kase") == 4, F.col("sb")).alias("anchor_b"),
-            "mi", "mj", "end_a", "end_b", "open_ok",
+            "mi", "mj", "end_a", "end_b", "open_b", "open_ok",
         )
         .withColumn("message", message)
     )

@@ -84,7 +84,7 @@ SELECT party, cparty, bal, max(i) AS i, max(j) AS j FROM pts GROUP BY party, cpa
 def q_balance_points(spark, sf_dir):
     """Balances present in both books with their last position on each side."""
     r = reconciliation(spark, sf_dir)
-    return rc.balance_points(r.keyed.a, r.keyed.b)
+    return rc.balance_points(r.keyed, fx.FISCAL_START)
 
 
 @query("balance_verdict", """
@@ -100,12 +100,7 @@ def q_balance_verdict(spark, sf_dir):
 @query("opening_check", "SELECT party, cparty, open_b, open_ok FROM ook")
 def q_opening_check(spark, sf_dir):
     """The counterparty's opening balance and whether it occurs in the own ledger."""
-    r = reconciliation(spark, sf_dir)
-    opening = rc.opening_balances(r.keyed.b, fx.FISCAL_START)
-    ga = rc.balance_groups(r.keyed.a, "i").select(*rc.KEYS, F.col("bal").alias("open_b"), F.lit(True).alias("hit"))
-    return opening.join(ga, [*rc.KEYS, "open_b"], "left").select(
-        *rc.KEYS, "open_b", F.coalesce("hit", F.lit(False)).alias("open_ok")
-    )
+    return reconciliation(spark, sf_dir).verdict.where(F.col("open_b").isNotNull()).select(*rc.KEYS, "open_b", "open_ok")
 
 
 @query("after_anchor", """
