@@ -110,8 +110,9 @@ def ordered_scan(
     if row_number:
         out.append((F.col("_on") + F.col("_ln")).cast("long").alias(row_number))
     for (name, value), c in zip(sums.items(), vals):
-        local_sum = F.col(f"_l{c}")
-        total = F.when(F.col(f"_o{c}").isNull(), local_sum).otherwise(F.col(f"_o{c}") + local_sum)
+        local_sum, offset = F.col(f"_l{c}"), F.col(f"_o{c}")
+        # null only while every value so far is null, as in the plain window
+        total = F.coalesce(offset + local_sum, offset, local_sum)
         out.append(total.cast(value_type(staged, c)).alias(name))
     for (name, _), c in zip(fills.items(), fvals):
         out.append(F.coalesce(F.col(f"_l{c}"), F.col(f"_o{c}")).alias(name))

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import file_stem, url_decoded
-from ..operators.scan import int_bucket, ordered_scan
+from ..operators.scan import ordered_scan
 from ..session import materialize
 
 FILE_COL = "source_file"
@@ -40,6 +40,41 @@ def write_files(df: DataFrame, path: str, order: Sequence[str], *, header: bool
     )
 
 
+META = ["_file_path", "_file_name", "_blk"]
+
+
+def with_file_metadata(raw: DataFrame) -> DataFrame:
+    """Keep the scan's file metadata as plain columns (a streaming micro-batch no longer has ``_metadata``)."""
+    return raw.select(
+        "*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.file_name").alias("_file_name"),
+        F.col("_metadata.file_block_start").alias("_blk"),
+    )
+
+
+def file_label(raw: DataFrame) -> Column:
+    """The file a line came from: the ``source_file=<name>`` folder value, else the file's own name."""
+    if FILE_COL in raw.columns:
+        return F.col(FILE_COL).cast("string")
+    # the path is a URI (escaped once) and a partition folder value is escaped by the writer as well
+    folder = F.regexp_extract(F.col("_file_path"), f"/{FILE_COL}=([^/]*)/", 1)
+    return F.when(folder != "", url_decoded(url_decoded(folder))).otherwise(url_decoded(F.col("_file_name")))
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """source_file + dense 1-based ``line_no`` per file, in file order, for freshly scanned CSV lines.
+
+    Within a split ``monotonically_increasing_id`` follows the file; splits of one file are ordered by their
+    start offset. The numbered rows are written once, so both uses inside the ordered scan see the same ids."""
+    if "_blk" not in raw.columns:
+        raw = with_file_metadata(raw)
+    cols = [c for c in raw.columns if c != FILE_COL and c not in META]
+    numbered = raw.select(
+        file_label(raw).alias(FILE_COL), "_blk", F.monotonically_increasing_id().alias("_pos"), *[F.col(f"`{c}`") for c in cols],
+    )
+    numbered = materialize(numbered, "file_lines")
+    return ordered_scan(numbered, [FILE_COL], ["_blk", "_pos"], row_number="line_no").drop("_blk", "_pos")
+
+
 def read_files(
     spark: SparkSession, path: str, *, header: bool = False, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -47,14 +82,7 @@ def read_files(
     reader = spark.read.option("header", header).option("multiLine", True).option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
-    raw = reader.csv(path)
-    label = F.col(FILE_COL) if FILE_COL in raw.columns else url_decoded(F.col("_metadata.file_name"))
-    cols = [c for c in raw.columns if c != FILE_COL]
-    numbered = raw.select(
-        label.cast("string").alias(FILE_COL), F.monotonically_increasing_id().alias("_pos"), *[F.col(f"`{c}`") for c in cols]
-    )
-    numbered = materialize(numbered, "file_lines")
-    return ordered_scan(numbered, [FILE_COL], ["_pos"], row_number="line_no", bucket=int_bucket("_pos")).drop("_pos")
+    return number_lines(reader.csv(path))
 
 
 def party_from_file(df: DataFrame, prefixes: Sequence[str] = (), out: str = "customer_name") -> DataFrame:
