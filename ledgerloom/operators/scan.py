@@ -21,6 +21,7 @@ window for every partitioning.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +77,9 @@ def ordered_scan(
         )
     else:
         staged = staged.withColumn("_b", bucket)
+        if not is_plain_scan(staged):
+            # the rows are read twice below (local window, bucket totals): compute the upstream once
+            staged = materialize(staged, "ordered_scan")
 
     w_local = Window.partitionBy(*keys, "_b").orderBy(*order)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,6 +123,17 @@ def ordered_scan(
     return joined.select(*out)
 
 
+# Logical operators that are cheap to evaluate twice: a file scan with projections and filters.
+_CHEAP_NODES = {"Project", "Filter", "Relation", "LogicalRDD", "SubqueryAlias", "LocalRelation"}
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when the optimized plan is only projections and filters over a scan."""
+    tree = df._jdf.queryExecution().optimizedPlan().treeString()
+    names = [re.sub(r"^[\s:+|\-]*", "", line).split(" ", 1)[0].split("[", 1)[0] for line in tree.splitlines() if line.strip()]
+    return all(n in _CHEAP_NODES for n in names)
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name (names from file headers may hold dots or blanks)."""
     return F.col("`" + name.replace("`", "``") + "`")
