@@ -317,8 +317,11 @@ class Reconciliation:
         )
 
     def gold(self) -> DataFrame:
-        """All unmatched entries of all parties (U2), in the gold schema."""
-        return self.case2().unionByName(self.case3()).unionByName(self.case4()).select(*GOLD_COLUMNS)
+        """All unmatched entries of all parties (U2), in the gold schema; written once, read by every consumer."""
+        if "gold" not in self._cand:
+            rows = self.case2().unionByName(self.case3()).unionByName(self.case4()).select(*GOLD_COLUMNS)
+            self._cand["gold"] = materialize(rows, "gold")
+        return self._cand["gold"]
 
     def messages(self, gold: DataFrame | None = None) -> DataFrame:
         """One message per party pair with the number of listed entries (A10)."""

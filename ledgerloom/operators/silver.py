@@ -79,9 +79,12 @@ def to_silver(bronze: DataFrame, fiscal_start: str, names: DataFrame | None = No
     ``names``: optional (customer_name, party_name) resolution table (J6); the
     statement's own party name is kept where it has no entry."""
     df = drop_page_headers(fiscal_filter(fill_dates(drop_blank_rows(bronze)), fiscal_start))
-    df = number_lines(df)
-    # idx is dense per statement: the running balance buckets on it directly
-    df = running_balance(df, ["statement_id"], "idx", "debit", "credit", "cumulative_amount_in_local_currency")
+    # W1 and W4 share key and order: one scan numbers the lines and carries the balance
+    value = F.coalesce(F.col("credit"), _zero()) - F.coalesce(F.col("debit"), _zero())
+    df = ordered_scan(
+        df, ["statement_id"], ["line_no"], row_number="idx",
+        sums={"cumulative_amount_in_local_currency": value}, bucket=int_bucket("line_no"),
+    ).withColumn("cumulative_amount_in_local_currency", F.col("cumulative_amount_in_local_currency").cast(MONEY))
     if names is not None:
         df = df.join(F.broadcast(names), "customer_name", "left").withColumn(
             "customer_name", F.coalesce("party_name", "customer_name")
