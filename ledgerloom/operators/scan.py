@@ -26,6 +26,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -81,14 +82,23 @@ def ordered_scan(
             # the rows are read twice below (local window, bucket totals): compute the upstream once
             staged = materialize(staged, "ordered_scan")
 
-    w_local = Window.partitionBy(*keys, "_b").orderBy(*order)
+    # keys as non-null columns (value or a default, plus an is-null flag): the window, the totals and the offset
+    # join then share one hash partitioning, so the big side is shuffled once even when the offsets are not broadcast
+    pkeys = []
+    for n, k in enumerate(keys):
+        dt = staged.schema[k].dataType
+        default = F.lit("") if isinstance(dt, T.StringType) else F.lit(0).cast(dt)
+        staged = staged.withColumns({f"_kc{n}": F.coalesce(quoted(k), default), f"_kn{n}": quoted(k).isNull()})
+        pkeys += [f"_kc{n}", f"_kn{n}"]
+
+    w_local = Window.partitionBy(*pkeys, "_b").orderBy(*order)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local_exprs = []
     if row_number:
         local_exprs.append(F.row_number().over(w_local).cast("long").alias("_ln"))
     local_exprs += [F.sum(c).over(w_run).alias(f"_l{c}") for c in vals]
     local_exprs += [F.last(c, ignorenulls=True).over(w_run).alias(f"_l{c}") for c in fvals]
-    local = staged.select(*[quoted(c) for c in cols], "_b", *local_exprs)
+    local = staged.select(*[quoted(c) for c in cols], *pkeys, "_b", *local_exprs)
 
     order_struct = F.struct(*[F.col(c) for c in order])
     tot_exprs = []
@@ -96,19 +106,17 @@ def ordered_scan(
         tot_exprs.append(F.count(F.lit(1)).alias("_tn"))
     tot_exprs += [F.sum(c).alias(f"_t{c}") for c in vals]
     tot_exprs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_struct)).alias(f"_t{c}") for c in fvals]
-    totals = staged.groupBy(*keys, "_b").agg(*tot_exprs)
+    totals = staged.groupBy(*pkeys, "_b").agg(*tot_exprs)
 
-    w_prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy(*pkeys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off_exprs = []
     if row_number:
         off_exprs.append(F.coalesce(F.sum("_tn").over(w_prev), F.lit(0)).alias("_on"))
     off_exprs += [F.sum(f"_t{c}").over(w_prev).alias(f"_o{c}") for c in vals]
     off_exprs += [F.last(f"_t{c}", ignorenulls=True).over(w_prev).alias(f"_o{c}") for c in fvals]
-    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
-    offsets = totals.select(*[F.col(k).alias(renamed[k]) for k in keys], F.col("_b").alias("_ob"), *off_exprs)
+    offsets = totals.select(*pkeys, "_b", *off_exprs)
 
-    cond = [local[k].eqNullSafe(offsets[renamed[k]]) for k in keys] + [local["_b"] == offsets["_ob"]]
-    joined = local.join(offsets, cond, "inner")
+    joined = local.join(offsets, [*pkeys, "_b"], "inner")
 
     out = [quoted(c) for c in cols]
     if row_number:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import letters_only
 from ..schemas import MONEY
+from .joins import join_per_key
 from .scan import int_bucket, ordered_scan
 
 # The letters-only form of the page header cells, and the closing line text
@@ -86,7 +87,7 @@ def to_silver(bronze: DataFrame, fiscal_start: str, names: DataFrame | None = No
         sums={"cumulative_amount_in_local_currency": value}, bucket=int_bucket("line_no"),
     ).withColumn("cumulative_amount_in_local_currency", F.col("cumulative_amount_in_local_currency").cast(MONEY))
     if names is not None:
-        df = df.join(F.broadcast(names), "customer_name", "left").withColumn(
+        df = join_per_key(df, names, "customer_name", "left", name="silver_names").withColumn(
             "customer_name", F.coalesce("party_name", "customer_name")
         )
     return df.select(
