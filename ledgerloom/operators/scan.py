@@ -34,9 +34,9 @@ from ..session import materialize
 BUCKET_ROWS = 1 << 16
 
 
-def int_bucket(order_col: str, rows: int = BUCKET_ROWS) -> Column:
-    """Bucket of a unique integer order key: at most ``rows`` rows per bucket and key."""
-    return F.floor(F.col(order_col) / F.lit(rows)).cast("long")
+def int_bucket(order_col: str, rows: int | None = None) -> Column:
+    """Bucket of a unique integer order key: at most ``rows`` (default ``BUCKET_ROWS``) rows per bucket and key."""
+    return F.floor(F.col(order_col) / F.lit(rows or BUCKET_ROWS)).cast("long")
 
 
 def ordered_scan(
