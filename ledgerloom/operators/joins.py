@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .scan import is_plain_scan
 
 # Largest number of rows of a per-key table that is broadcast to every task.
 MAX_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_small(small: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise ``small`` and say whether it may be broadcast (row count checked)."""
-    small = materialize(small, name)
+    """Materialise ``small`` (unless it is already a plain file scan) and say whether it may be
+    broadcast: its row count is checked against ``max_rows``."""
+    if not is_plain_scan(small):
+        small = materialize(small, name)
     return small, small.count() <= max_rows
 
 
