@@ -76,10 +76,13 @@ def number_lines(raw: DataFrame) -> DataFrame:
 
 
 def read_files(
-    spark: SparkSession, path: str, *, header: bool = False, schema: T.StructType | None = None
+    spark: SparkSession, path: str, *, header: bool = False, schema: T.StructType | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """All files below ``path`` with ``source_file`` and a dense ``line_no`` per file (1-based, data lines)."""
-    reader = spark.read.option("header", header).option("multiLine", True).option("mode", "PERMISSIVE")
+    """All files below ``path`` with ``source_file`` and a dense ``line_no`` per file (1-based, data lines).
+
+    ``multi_line`` allows quoted line breaks inside a cell but keeps every file in one task; with ``False`` a
+    large file is split over many tasks and its line order still comes out exact (split start, position)."""
+    reader = spark.read.option("header", header).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
     return number_lines(reader.csv(path))
