@@ -232,22 +232,24 @@ def after_anchor(book: DataFrame, v: DataFrame, anchor: str, cases: tuple[int, .
     )
 
 
-def unmatched_own(a4: DataFrame, b4: DataFrame) -> DataFrame:
+def unmatched_own(a4: DataFrame, b4: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
     """A rows (case 4) that no B row matches: B credit = A debit, B debit = A credit, B voucher contains A doc no."""
     b_credit = b4.where(F.col("credit").isNotNull()).select(*KEYS, F.col("credit").alias("debit")).distinct()
     b_debit = b4.where(F.col("debit").isNotNull()).select(*KEYS, F.col("debit").alias("credit")).distinct()
     rest = a4.join(b_credit, [*KEYS, "debit"], "left_anti").join(b_debit, [*KEYS, "credit"], "left_anti")
-    bounds = needle_lengths(rest.where(F.col("doc_no").isNotNull()), "doc_no")
+    if bounds is None:
+        bounds = needle_lengths(a4.where(F.col("doc_no").isNotNull()), "doc_no")
     return contains_anti_needles(rest, KEYS, "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", bounds)
 
 
-def unmatched_other(a4: DataFrame, b4: DataFrame) -> DataFrame:
+def unmatched_other(a4: DataFrame, b4: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
     """B rows (case 4) that no A row matches (same three conditions, seen from B)."""
     a_debit = a4.where(F.col("debit").isNotNull()).select(*KEYS, F.col("debit").alias("credit")).distinct()
     a_credit = a4.where(F.col("credit").isNotNull()).select(*KEYS, F.col("credit").alias("debit")).distinct()
     rest = b4.join(a_debit, [*KEYS, "credit"], "left_anti").join(a_credit, [*KEYS, "debit"], "left_anti")
     needles = a4.where(F.col("doc_no").isNotNull())
-    bounds = needle_lengths(needles, "doc_no")
+    if bounds is None:
+        bounds = needle_lengths(needles, "doc_no")
     return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", needles, "doc_no", bounds)
 
 
@@ -312,8 +314,10 @@ class Reconciliation:
 
     def case4(self) -> DataFrame:
         a4, b4 = self.case4_sides()
-        return own_entries(unmatched_own(a4, b4), self.books).unionByName(
-            other_entries(unmatched_other(a4, b4), self.books)
+        # one length range of the document numbers serves both directions of the containment test
+        bounds = needle_lengths(a4.where(F.col("doc_no").isNotNull()), "doc_no")
+        return own_entries(unmatched_own(a4, b4, bounds), self.books).unionByName(
+            other_entries(unmatched_other(a4, b4, bounds), self.books)
         )
 
     def gold(self) -> DataFrame:

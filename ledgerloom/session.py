@@ -92,3 +92,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict[str, str]:
+    """Starting settings for a cluster run over ``input_bytes`` of books and statements.
+
+    Shuffle partitions are sized so that a partition of the largest shuffle (the books themselves, keyed by
+    party and bucket) holds about ``target_partition_bytes``; AQE then coalesces the small shuffles
+    (aggregates, per-party tables) and splits skewed join partitions. Scans read splits of the same size."""
+    partitions = max(200, min(max_partitions, input_bytes // target_partition_bytes))
+    size = str(target_partition_bytes)
+    return {
+        **ENGINE_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
