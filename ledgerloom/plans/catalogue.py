@@ -10,14 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
+
+from ..functions.amounts import nan_to_null
+from ..functions.dates import date_text, parse_statement_date
+from ..functions.similarity import similarity
+from ..functions.text import repair_date_text
+from ..operators import bronze as br
+from ..operators import ledger as lg
+from ..operators import names as nm
+from ..operators import ocr
 from ..operators import reconcile as rc
+from ..operators import silver as sv
 from ..operators.joins import join_per_key
-from ..schemas import GOLD_COLUMNS
-from ..session import apply_engine_conf
+from ..schemas import BRONZE_HEADER, GOLD_COLUMNS, MONEY, SHEET_HEADER
+from ..session import apply_engine_conf, materialize, scratch_path
+from ..sources import files as fs
+from ..sources import sinks
+from ..sources.ocr import read_ocr_pages
 from . import fixtures as fx
 from .oracle import HEADER_SQL, score_sql, sql
-from .oracle import _norm as _ORACLE_NORM
+from .oracle import _norm as oracle_norm
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -227,11 +240,6 @@ def q_recon_messages(spark, sf_dir):
 
 # ====================================================================== statement: bronze and silver
 
-from ..functions.dates import date_text, parse_statement_date  # noqa: E402
-from ..functions.text import repair_date_text  # noqa: E402
-from ..operators import bronze as br  # noqa: E402
-from ..operators import silver as sv  # noqa: E402
-from ..session import materialize  # noqa: E402
 
 _silver: dict[tuple, DataFrame] = {}
 
@@ -333,9 +341,6 @@ def q_closing_check(spark, sf_dir):
 
 # ====================================================================== names
 
-from ..functions.similarity import similarity  # noqa: E402
-from ..operators import names as nm  # noqa: E402
-
 
 @query("name_score", f"""
 SELECT source_name, raw_name, {score_sql('raw_name', 'source_name')} AS score
@@ -359,13 +364,6 @@ def q_name_resolve(spark, sf_dir):
 
 # ====================================================================== sources and sinks
 
-from ..operators import ledger as lg  # noqa: E402
-from ..schemas import BRONZE_HEADER, SHEET_HEADER  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import files as fs  # noqa: E402
-from ..sources import sinks  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
 
 def statement_scan(spark, sf_dir) -> DataFrame:
     """Statement CSVs read back with their header, party from the file name."""
@@ -438,9 +436,6 @@ def q_report_export(spark, sf_dir):
 
 # ====================================================================== OCR
 
-from ..operators import ocr  # noqa: E402
-from ..sources.ocr import explode_blocks, read_ocr_pages  # noqa: E402
-
 
 def ocr_source(spark, sf_dir) -> DataFrame:
     return read_ocr_pages(spark, fx.ocr_files(spark, sf_dir))
@@ -487,9 +482,9 @@ def q_header_clean(spark, sf_dir):
 
 
 @query("ocr_rows", f"""
-SELECT statement_id, line_no, {_ORACLE_NORM('date')} AS date, {_ORACLE_NORM('particulars')} AS particulars,
-       {_ORACLE_NORM('vch_type')} AS vch_type, {_ORACLE_NORM('vch_no')} AS vch_no,
-       {_ORACLE_NORM('debit')} AS debit, {_ORACLE_NORM('credit')} AS credit
+SELECT statement_id, line_no, {oracle_norm('date')} AS date, {oracle_norm('particulars')} AS particulars,
+       {oracle_norm('vch_type')} AS vch_type, {oracle_norm('vch_no')} AS vch_no,
+       {oracle_norm('debit')} AS debit, {oracle_norm('credit')} AS credit
 FROM fx_dirty""")
 def q_ocr_rows(spark, sf_dir):
     """OCR blocks back to statement rows (the text of the statement lines, in order)."""
@@ -506,9 +501,6 @@ def q_ocr_bronze(spark, sf_dir):
 
 # ====================================================================== NaN at the border
 
-from ..functions.amounts import nan_to_null  # noqa: E402
-from ..schemas import MONEY  # noqa: E402
-
 
 @query("nan_to_null", "SELECT customer_name, idx, debit_lc, credit_lc FROM own")
 def q_nan_to_null(spark, sf_dir):
