@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import fixed_entry, similarity_to_entry
 
 # Most master names that are embedded into a plan.
 MAX_MASTER_NAMES = 20_000
@@ -32,15 +32,17 @@ def master_from(df: DataFrame, name_col: str, order_col: str | None = None) -> l
 
 
 def best_match(name, master: list[str]) -> Column:
-    """struct(score, party_name) of the best master entry for ``name`` (first on ties)."""
+    """struct(score, party_name) of the best master entry for ``name`` (first on ties).
+
+    The master travels as one literal array of entries with each name's character position masks,
+    so a score costs one map lookup per character of ``name`` (bit-parallel LCS)."""
     if len(master) > MAX_MASTER_NAMES:
         raise ValueError(f"party master has {len(master)} names, more than {MAX_MASTER_NAMES}")
-    entries = F.array(*[F.struct(F.lit(-i).alias("neg_pos"), F.lit(m).alias("party_name")) for i, m in enumerate(master)])
+    name = name if isinstance(name, Column) else F.col(name)
+    entries = F.array(*[fixed_entry(m, neg_pos=-i) for i, m in enumerate(master)])
     scored = F.transform(
         entries,
-        lambda e: F.struct(
-            similarity(name, e["party_name"]).alias("score"), e["neg_pos"].alias("neg_pos"), e["party_name"].alias("party_name")
-        ),
+        lambda e: F.struct(similarity_to_entry(name, e).alias("score"), e["neg_pos"].alias("neg_pos"), e["word"].alias("party_name")),
     )
     best = F.array_max(scored)  # highest score, then the smallest position
     return F.struct(best["score"].alias("score"), best["party_name"].alias("party_name"))

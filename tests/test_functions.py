@@ -104,3 +104,34 @@ def test_similarity_matches_python(spark):
     for r in got:
         assert r["l"] == lcs_py(r["a"], r["b"]), r
         assert r["s"] == ratio_py(r["a"], r["b"]), r
+
+
+def test_lcs_random_pairs_both_forms(spark):
+    import random
+
+    from ledgerloom.functions.similarity import lcs_table
+
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(150):
+        la, lb = rnd.choice([0, 1, 3, 9, 20, 40, 61, 62, 63, 70]), rnd.choice([1, 2, 8, 18, 62, 63, 80])
+        alphabet = rnd.choice(["ab", "abc", "abcdefgh", "ABab .#"])
+        pairs.append(("".join(rnd.choice(alphabet) for _ in range(la)), "".join(rnd.choice(alphabet) for _ in range(lb))))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", lcs_length("a", "b").alias("l"), lcs_table("a", "b").alias("t"), similarity("a", "b").alias("s")).collect()
+    for r in got:
+        want = lcs_py(r["a"], r["b"]) if r["a"] and r["b"] else 0
+        assert r["l"] == want, (r["a"], r["b"])
+        assert (r["t"] if r["a"] and r["b"] else 0) == want
+        assert r["s"] == ratio_py(r["a"], r["b"])
+
+
+def test_similarity_to_fixed_equals_similarity(spark):
+    from ledgerloom.functions.similarity import similarity_to_fixed
+
+    names = ["Parekh Plastics", "A.U. Industries Ahm", "x" * 70, "", "aab"]
+    df = spark.createDataFrame([(a,) for a, _ in PAIRS] + [("temp_PAREKH.csv",), ("x" * 65,), ("",)], "a string")
+    got = df.select("a", *[similarity_to_fixed(F.col("a"), n).alias(f"s{i}") for i, n in enumerate(names)]).collect()
+    for r in got:
+        for i, n in enumerate(names):
+            assert r[f"s{i}"] == ratio_py(r["a"], n), (r["a"], n)
