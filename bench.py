@@ -25,6 +25,7 @@ HEADLINE = [
     "silver_entries",    # statement text -> silver with running balance
     "closing_check",
     "ocr_rows",          # OCR blocks -> statement rows
+    "ocr_to_gold",       # the whole flow: OCR blocks -> bronze -> silver -> reconciliation
     "name_resolve",
     "max_index",
 ]

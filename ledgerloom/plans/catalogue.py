@@ -513,3 +513,15 @@ def q_nan_to_null(spark, sf_dir):
         "customer_name", "idx",
         nan_to_null("debit_lc").cast(MONEY).alias("debit_lc"), nan_to_null("credit_lc").cast(MONEY).alias("credit_lc"),
     )
+
+
+# ====================================================================== the whole flow
+
+
+@query("ocr_to_gold", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold_s")
+def q_ocr_to_gold(spark, sf_dir):
+    """R0 -> R1 -> R2 -> R5/R6: statements rebuilt from OCR blocks, cleaned to silver, reconciled with the own ledger."""
+    rows = ocr.statement_rows(ocr_source(spark, sf_dir))
+    bronze = br.to_bronze(rows.select("statement_id", "line_no", "date", "particulars", "vch_type", "vch_no", "debit", "credit"))
+    silver = materialize(sv.to_silver(bronze, fx.FISCAL_START), "ocr_silver")
+    return rc.reconcile(fx.own_ledger(spark, sf_dir), silver, fx.FISCAL_START).gold()

@@ -283,3 +283,15 @@ cte("ocr_cell_list", f"""
   SELECT DISTINCT statement_id, page_no, 1, c.col_index, c.text, CAST(90 AS DOUBLE)
   FROM ocr_lines, LATERAL (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS col_index,
                                   unnest(['Date', 'Particulars', 'Vch Type', 'Vch No.', 'Debit', 'Credit', '']) AS text) c""")
+
+
+# ------------------------------------------------------------------ the reconciliation again, book B = cleaned statement
+_CHAIN = ["pairs", "ka", "kb", "ma", "mb", "pts", "v0", "ob", "ook", "verdict", "ra", "rb", "ua", "ub", "gold_a", "gold_b", "gold"]
+cte("silver_b", """
+  SELECT customer_name, idx, posting_date, particulars, voucher_type, voucher_number, debit_amount_in_local_currency,
+         credit_amount_in_local_currency, cumulative_amount_in_local_currency FROM silver""")
+for _name in _CHAIN:
+    _body = re.sub(r"\bcounterparty\b", "silver_b", CTES[_name])
+    for _other in _CHAIN:
+        _body = re.sub(rf"\b{_other}\b", f"{_other}_s", _body)
+    cte(f"{_name}_s", _body)
