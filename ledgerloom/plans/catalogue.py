@@ -249,9 +249,11 @@ def bronze_lines(spark, sf_dir) -> DataFrame:
 
 
 def silver_lines(spark, sf_dir) -> DataFrame:
+    """Bronze and silver are both written as layers: parsing runs once, and both scans of the silver steps read Parquet."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _silver:
-        _silver[key] = materialize(sv.to_silver(bronze_lines(spark, sf_dir), fx.FISCAL_START), "silver")
+        bronze = materialize(bronze_lines(spark, sf_dir), "bronze")
+        _silver[key] = materialize(sv.to_silver(bronze, fx.FISCAL_START), "silver")
     return _silver[key]
 
 
