@@ -178,3 +178,18 @@ def test_plans_have_no_nested_loops_or_global_windows(spark):
         assert bad not in plan
     full = r.verdict._jdf.queryExecution().executedPlan().toString() + plan
     assert "SinglePartition" not in full
+
+
+def test_verdict_prunes_columns_and_pushes_filters(spark):
+    from ledgerloom.operators.reconcile import verdict
+
+    r = reconcile(fx.own_ledger(spark, SF_SMALL), fx.counterparty_statement(spark, SF_SMALL), FS.isoformat())
+    v = verdict(r.keyed, FS.isoformat())
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(v._jdf.queryExecution(), "formatted")
+    schemas = [line for line in text.splitlines() if line.startswith("ReadSchema:")]
+    own_scans = [s for s in schemas if "cumulative_balance_lc" in s]
+    assert own_scans and all("origin_no" not in s and "posting_date" not in s for s in own_scans)
+    pushed = [line for line in text.splitlines() if line.startswith("PushedFilters:")]
+    assert any("EqualTo(posting_date" in p for p in pushed)
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "SortMergeJoin"):
+        assert bad not in text
