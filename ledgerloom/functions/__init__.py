@@ -1,0 +1 @@
+"""Column expressions (JVM-side, no UDFs): statement dates, exact amounts, text clean-up, name similarity."""
