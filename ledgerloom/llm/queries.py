@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate
+from ledgerloom.llm import decontaminate, mix, records
 from ledgerloom.session import read_table
 
 
@@ -15,10 +15,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources."""
+    return mix.digest(read_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to record files and read back."""
+    return records.digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_mix": op3_mix,
+    "op9_records": op9_records,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_mix": mix.ORACLE,
 }
