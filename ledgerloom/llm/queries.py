@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mix, records
+from ledgerloom.llm import decontaminate, mix, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -26,6 +26,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to record files and read back."""
     return records.digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -34,6 +39,7 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix": op3_mix,
+    "op6_toxicity": op6_toxicity,
     "op9_records": op9_records,
 }
 
