@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mix, records, toxicity
+from ledgerloom.llm import decontaminate, mix, near_duplicates, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -31,6 +31,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents."""
+    return near_duplicates.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to record files and read back."""
     return records.digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix": op3_mix,
     "op6_toxicity": op6_toxicity,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_records": op9_records,
 }
 
