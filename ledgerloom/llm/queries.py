@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mix, near_duplicates, records, toxicity
+from ledgerloom.llm import decontaminate, embedding_dedup, mix, near_duplicates, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -15,6 +15,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources."""
     return mix.digest(read_table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix": op3_mix,
     "op6_toxicity": op6_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
@@ -51,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op3_mix": mix.ORACLE,
 }
