@@ -24,6 +24,7 @@ hash of the text; an empty table gives an index without rows.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ from ledgerloom.session import scratch_path
 
 END_ID = 2
 FILE_BYTES = 16 << 20
-CACHE_WORDS = 400_000
-GROUP_BYTES = 4 << 20
+CACHE_WORDS = 300_000
+GROUP_BYTES = 2 << 20
+_MARKS = b"!#$%&()*+,-./:;=?@[]^_{|}~"
 _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<qBI")
 _CHECK = struct.Struct("<I")
@@ -83,61 +85,102 @@ def unpack(payload) -> tuple[int | None, np.ndarray]:
     return doc_id if has_id else None, np.frombuffer(body, dtype="<u2" if len(body) == 2 * n else "<u4", count=n)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character a byte-level vocabulary writes each byte as: itself if it is a visible Latin-1 character, else one from 256 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in visible)}
+
+
 class WordEncoder:
-    """Token ids of single words (no white space in them), kept for the next group."""
+    """Token ids of single words (no white space in them), kept for the next group.
+
+    A word of lower-case letters is one pre-token that the normaliser leaves alone, so the model is asked directly; so are such letters before a
+    run of ASCII marks, which is a pre-token of its own. All other words go through the whole tokenizer."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.cache, self.cache_words = self.tokenizer.model, {}, cache_words
-
-    def _plain(self, word: bytes) -> bytes:
-        """Lower-case ASCII letters: normaliser and pre-tokenizer leave them alone, so the model alone will do."""
-        return np.array([t.id for t in self.model.tokenize(word.decode())], dtype=self.dtype).tobytes()
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "<%dI" if wide else "<%dH"
+        self.tokenize, self.cache, self.cache_words = self.tokenizer.model.tokenize, {}, cache_words
+        self.bytes_as = _byte_characters()
+        self.marks: dict[bytes, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(self.code % len(ids), *ids)
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of lower-case letters in composed form; None for other words."""
+        if word.isalpha():  # of bytes: ASCII letters
+            if not word.islower():
+                return None
+            text = word.decode()
+        else:
+            text = word.decode()
+            if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+                return None
+            text = word.decode("latin-1").translate(self.bytes_as)
+        return self._pack([t.id for t in self.tokenize(text)])
+
+    def _mark(self, mark: bytes) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self._pack(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids)
+            if len(self.marks) < 10_000:
+                self.marks[mark] = ids
+        return ids
 
     def encode(self, found: list[bytes]) -> list[bytes]:
         """The ids of each word as bytes."""
-        out, rest, cache = [], {}, self.cache
-        for word in found:
-            ids = cache.get(word)
+        if not found:
+            return []
+        get, room = self.cache.get, self.cache_words - len(self.cache)
+        out = [get(w) for w in found]
+        rest = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            word = found[k]
+            core = word.rstrip(_MARKS)
+            ids = get(core) if len(core) < len(word) else None
+            if core and ids is None:
+                ids = self._letters(core)
+            elif core and not core.decode()[-1].isalpha():  # a cached word that ends in another mark would run on into these
+                ids = None
+            if ids is not None and len(core) < len(word):
+                ids += self._mark(word[len(core) :])
             if ids is None:
-                if word.isalpha() and word.islower():  # bytes: ASCII letters only
-                    ids = self._plain(word)
-                else:
-                    core = word[:-1]
-                    if word[-1:] in (b".", b",") and core.isalpha() and core.islower():  # letters, then one mark: two pre-tokens
-                        a, b = cache.get(core), cache.get(word[-1:])
-                        a = self._plain(core) if a is None else a
-                        ids = a + (np.array(self.tokenizer.encode(word[-1:].decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes() if b is None else b)
-                        if b is None:
-                            cache[word[-1:]] = ids[len(a) :]
-                    else:
-                        rest[word] = len(out)
-                if ids is not None and len(cache) < self.cache_words:
-                    cache[word] = ids
-            out.append(ids)
-        if rest:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-            for (word, at), e in zip(rest.items(), encoded, strict=True):
-                out[at] = np.array(e.ids, dtype=self.dtype).tobytes()
-                if len(cache) < self.cache_words:
-                    cache[word] = out[at]
+                rest.append(k)
+            out[k] = ids
+            if ids is not None and room > 0:
+                self.cache[word] = ids
+                room -= 1
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([found[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = self._pack(e.ids)
+            if room > 0:
+                self.cache[found[k]] = out[k]
+                room -= 1
         return out
 
 
+def _lower(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and for the Latin-1 capitals, two bytes each in UTF-8; other capitals are left to the tokenizer."""
+    out = W.FOLD[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[capital] += 0x20
+    return out
+
+
 def encode_texts(texts: W.Texts, encoder: WordEncoder, fold: bool) -> Iterator[bytes]:
     """The ids of each row of a group, as bytes. ``fold``: the tokenizer lower-cases, so words are folded first."""
-    # special tokens are matched as written, before the tokenizer lower-cases
-    table = W.FOLD if fold and b"<|" not in texts.data.tobytes() else np.arange(256, dtype=np.uint8)
-    w = W.words(texts, W.NOT_SPACE, table)
+    if fold and b"<|" not in texts.data.tobytes():  # special tokens are matched as written, before the tokenizer lower-cases
+        texts = W.Texts(texts.lo, texts.hi, _lower(texts.data), texts.bounds)
+    w = W.words(texts, W.NOT_SPACE, np.arange(256, dtype=np.uint8))
     rows = texts.hi - texts.lo
     if not len(w.start):
         yield from [b""] * rows
         return
     _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    data = table[texts.data].tobytes()
+    data = texts.data.tobytes()
     order = np.argsort(first)  # words in the order of their first use: the cache keeps the common ones
     ids = encoder.encode([data[a:b] for a, b in zip(w.start[first[order]].tolist(), w.end[first[order]].tolist(), strict=True)])
     rank = np.empty(len(order), dtype=np.int64)

@@ -58,12 +58,14 @@ def groups(column, group_bytes: int = GROUP_BYTES) -> Iterator[Texts]:
     """Consecutive rows of an Arrow string column, as many as fit in ``group_bytes``, one at least; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(pc.cast(column, pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
     _, offsets, raw = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < n:
