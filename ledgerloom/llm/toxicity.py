@@ -92,9 +92,9 @@ class Model:
 
         data = next(W.groups(pa.array(texts, pa.large_string()), 1 << 62))
         s = Subwords(data)
-        word, bucket = (np.concatenate(x) for x in zip(*s.grams(), strict=True))
+        word, bucket = (np.concatenate(x) for x in zip(*((a.astype(np.int32), b.astype(np.int32)) for a, b in s.grams()), strict=True))
         order = np.argsort(word, kind="stable")
-        bucket = bucket[order].astype(np.int32)
+        bucket = bucket[order]
         n_sub = np.bincount(word, minlength=s.n)
         del word, order
         first = np.cumsum(n_sub) - n_sub
