@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, embedding_dedup, mix, near_duplicates, records, toxicity
+from ledgerloom.llm import decontaminate, embedding_dedup, language, mix, near_duplicates, quality, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -31,11 +31,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it is kept."""
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents."""
     return near_duplicates.digest(read_table(spark, sf_dir, "documents"))
@@ -50,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix": op3_mix,
+    "op4_language": op4_language,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_records": op9_records,
 }
