@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, embedding_dedup, language, mix, near_duplicates, quality, records, toxicity
+from ledgerloom.llm import decontaminate, embedding_dedup, language, maxent, mix, near_duplicates, quality, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -36,6 +36,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
+    return maxent.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix": op3_mix,
     "op4_language": op4_language,
+    "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_near_duplicates": op8_near_duplicates,
