@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, embedding_dedup, language, maxent, mix, near_duplicates, quality, records, toxicity
+from ledgerloom.llm import decontaminate, embedding_dedup, language, maxent, mix, near_duplicates, private_data, quality, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -61,6 +61,11 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return private_data.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_records": op9_records,
+    "op10_private_data": op10_private_data,
 }
 
 ORACLE: dict[str, str] = {
