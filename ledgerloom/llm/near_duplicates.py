@@ -9,10 +9,10 @@ point of each slot over all shingles is the signature: two multisets agree in a
 their weighted Jaccard similarity. Points are made only up to a time by which nearly every slot is filled; a text with a slot still
 open gets twice the time, so a signature is exact and costs about the number of slots, whatever the length.
 
-Copies (equal word sequences, by a 128-bit digest) are one node. Nodes that agree in a band of ``ROWS`` slots are candidates. First each
-node of a band's bucket is verified against the least of the bucket; where a bucket then still holds several components, all its pairs across
-components are verified, in the same way. So a group of copies costs a star, and no link between candidates is lost.
-Verification is exact: the shingle multisets themselves are compared.
+Copies (equal word sequences, by a 128-bit digest) are one node. Nodes that agree in a band of ``ROWS`` slots share a bucket and are candidates. Each
+bucket's centre is its node that shares most buckets with others. First each node is verified against the best centre of its buckets; then, in buckets
+that still hold several components, against their own centres; then all pairs across the components that are still left in a bucket. So a group of
+copies costs a star, and no link between components is lost. Verification is exact: the shingle multisets themselves are compared.
 
 Defined results: null and empty texts are never linked; texts without words are linked if equal; the class of a document is the smallest
 doc_id of its component (null ids are largest); repeated rows share a class; an empty table gives no rows.
@@ -32,7 +32,7 @@ from ledgerloom.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,31 +212,51 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     found = materialize(features(docs).select("row.doc_id", "node", "weight", "keys"), "signatures")
     nodes = found.filter("node IS NOT NULL").groupBy("node").agg(F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
     members = nodes.select("node", "weight", "doc_id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialize(members.join(shared, "key"), "buckets")  # only nodes that share a bucket
-
-    close = F.least("weight", "other") >= F.lit(similarity) * F.greatest("weight", "other")
-    stars = members.select(F.col("least.node").alias("u"), F.col("node").alias("v"), F.col("least.weight").alias("other"), "weight").filter((F.col("u") != F.col("v")) & close)
-    stars = materialize(stars.select("u", "v").distinct(), "stars")
-
-    # one text of each node: of its smallest doc_id, or of any document with the digest
-    wanted = members.select("node", "doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    arrays = bag_arrays(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
-    arrays = materialize(arrays, "bags")
-
-    links = materialize(verified(stars, arrays, similarity), "verified")
-    parts = materialize(components(links), "parts")
-    mixed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = mixed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
-    mixed = materialize(mixed.join(several, "key", "left_semi").select("key", "node", "weight", "component"), "mixed")
-    other = mixed.select("key", F.col("node").alias("v"), F.col("weight").alias("other"), F.col("component").alias("part"))
-    across = mixed.join(other, "key").filter((F.col("node") < F.col("v")) & (F.col("component") != F.col("part")) & close)
-    across = across.select(F.col("node").alias("u"), "v").distinct().join(stars, ["u", "v"], "left_anti")
-    more = materialize(verified(across, arrays, similarity), "verified_across")
-    if more.limit(1).count():
-        parts = materialize(components(links.union(more)), "parts")
-    return found.select("doc_id", "node", "weight").join(parts, "node", "left")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(members.join(sizes, "key"), "members")  # only nodes that share a bucket
+    # the centre of a bucket is the node that shares most buckets with others: of a group of near copies, the one they are copies of
+    shared = members.groupBy("node").agg(F.sum("n").alias("shared"), F.first("doc_id").alias("doc_id"))
+    ranked = members.select("key", "node", "weight").join(shared.select("node", "shared"), "node")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("shared", "node", "weight")).alias("centre"))
+    buckets = materialize(ranked.drop("shared").join(centres, "key"), "buckets")
+    arrays = _arrays(docs, materialize(shared.select("node", "doc_id"), "candidates"))
+
+    def close(a: str, b: str):
+        return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+
+    def pair(a: str, b: str):
+        return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+    # every node with the best centre of its buckets
+    spokes = buckets.filter(F.col("centre.node") != F.col("node")).filter(close("weight", "centre.weight"))
+    tried = materialize(spokes.groupBy("node").agg(F.max("centre").alias("centre")).select(*pair("node", "centre.node")).distinct(), "pairs")
+    links = materialize(verified(tried, arrays, similarity), "verified")
+    # then with the other centres, and then with all others, but only across components of a bucket
+    for step in ("centres", "all"):
+        parts = components(links)
+        mixed = buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = mixed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
+        mixed = materialize(mixed.join(several, "key", "left_semi"), "mixed")
+        if step == "centres":
+            part = parts.select(F.col("node").alias("cn"), F.col("component").alias("part"))
+            across = mixed.join(part, F.col("centre.node") == F.col("cn"), "left").withColumn("part", F.coalesce("part", "centre.node"))
+            across = across.filter((F.col("component") != F.col("part")) & close("weight", "centre.weight")).select(*pair("node", "centre.node"))
+        else:
+            other = mixed.select("key", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("component").alias("part"))
+            across = mixed.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & close("weight", "other_weight"))
+            across = across.select(*pair("node", "other"))
+        across = materialize(across.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        links = materialize(links.union(verified(across, arrays, similarity)), "verified")
+        tried = tried.union(across)
+    return found.select("doc_id", "node", "weight").join(components(links), "node", "left")
+
+
+def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, bag) of the wanted nodes (node, doc_id): one text each, that of a doc_id with the node's digest."""
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    bags = bag_arrays(texts).join(wanted.select("node"), "node", "left_semi")
+    return materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
 
 def digest(docs: DataFrame) -> DataFrame:
