@@ -11,8 +11,9 @@ open gets twice the time, so a signature is exact and costs about the number of
 
 Copies (equal word sequences, by a 128-bit digest) are one node. Nodes that agree in a band of ``ROWS`` slots share a bucket and are candidates. Each
 bucket's centre is its node that shares most buckets with others. First each node is verified against the best centre of its buckets; then, in buckets
-that still hold several components, against their own centres; then all pairs across the components that are still left in a bucket. So a group of
-copies costs a star, and no link between components is lost. Verification is exact: the shingle multisets themselves are compared.
+that still hold several components, against their own centres; then all pairs across the components that are still left in a bucket:
+by a join in buckets of at most ``SMALL`` nodes, and block by block within tasks, which return links alone, in larger ones. So a group of copies costs a
+star, and no link between components is lost. Verification is exact: the shingle multisets themselves are compared.
 
 Defined results: null and empty texts are never linked; texts without words are linked if equal; the class of a document is the smallest
 doc_id of its component (null ids are largest); repeated rows share a class; an empty table gives no rows.
@@ -33,6 +34,8 @@ from ledgerloom.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+SMALL = 32  # nodes in a bucket whose pairs are made by a join
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 18
 SLOTS = BANDS * ROWS
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = materialize(members.join(sizes, "key"), "members")  # only nodes that share a bucket
     # the centre of a bucket is the node that shares most buckets with others: of a group of near copies, the one they are copies of
     shared = members.groupBy("node").agg(F.sum("n").alias("shared"), F.first("doc_id").alias("doc_id"))
-    ranked = members.select("key", "node", "weight").join(shared.select("node", "shared"), "node")
+    ranked = members.select("key", "node", "weight", "n").join(shared.select("node", "shared"), "node")
     centres = ranked.groupBy("key").agg(F.max(F.struct("shared", "node", "weight")).alias("centre"))
     buckets = materialize(ranked.drop("shared").join(centres, "key"), "buckets")
     arrays = _arrays(docs, materialize(shared.select("node", "doc_id"), "candidates"))
@@ -242,8 +245,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             across = mixed.join(part, F.col("centre.node") == F.col("cn"), "left").withColumn("part", F.coalesce("part", "centre.node"))
             across = across.filter((F.col("component") != F.col("part")) & close("weight", "centre.weight")).select(*pair("node", "centre.node"))
         else:
-            other = mixed.select("key", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("component").alias("part"))
-            across = mixed.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & close("weight", "other_weight"))
+            links = links.union(materialize(_large_buckets(mixed, arrays, similarity), "linked"))
+            small = mixed.filter(F.col("n") <= SMALL)
+            other = small.select("key", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("component").alias("part"))
+            across = small.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & close("weight", "other_weight"))
             across = across.select(*pair("node", "other"))
         across = materialize(across.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         links = materialize(links.union(verified(across, arrays, similarity)), "verified")
@@ -251,6 +256,49 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return found.select("doc_id", "node", "weight").join(components(links), "node", "left")
 
 
+def _large_buckets(mixed: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) across components within the buckets of more than SMALL nodes, as many as join the components.
+
+    A bucket is dealt to blocks of bounded size, and each pair of blocks is a task's group: all its pairs are compared there, exactly, and only links
+    leave it."""
+    large = mixed.filter(F.col("n") > SMALL).select("key", "node", "weight", "component")
+    sizes = large.groupBy("key").agg(F.greatest(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES))).cast("int").alias("blocks"))
+    dealt = large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("key", "block", meets.alias("with"), "node", "component").select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component")
+    return dealt.join(arrays, "node").groupBy("key", "i", "j").applyInPandas(lambda rows: _compare(rows, similarity), "u binary, v binary")
+
+
+def _compare(rows, similarity: float):
+    """All pairs of a group across components (and across its two blocks, if it has two): the links that join components."""
+    import pandas as pd
+
+    bags = [np.frombuffer(x, np.uint64) for x in rows["bag"]]
+    size = np.array([len(x) for x in bags])
+    component = pd.factorize(rows["component"])[0]
+    block = rows["block"].to_numpy()
+    ids, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)[1:]
+    shared = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(bags)), size)
+    keep = count[ids] > 1
+    owner, column = owner[keep], shared[ids[keep]]
+    both = np.zeros((len(bags), len(bags)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(bags), 4096), np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        both += has @ has.T
+    u, v = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6, 1))
+    apart = (component[u] != component[v]) & ((block[u] != block[v]) | (rows["i"].iloc[0] == rows["j"].iloc[0]))
+    u, v = u[apart], v[apart]
+    a, b = np.minimum(component[u], component[v]), np.maximum(component[u], component[v])
+    first = np.unique(a.astype(np.int64) * len(bags) + b, return_index=True)[1]
+    node = rows["node"].to_numpy()
+    return pd.DataFrame({"u": [min(node[i], node[j]) for i, j in zip(u[first], v[first], strict=True)], "v": [max(node[i], node[j]) for i, j in zip(u[first], v[first], strict=True)]}, columns=["u", "v"])
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, bag) of the wanted nodes (node, doc_id): one text each, that of a doc_id with the node's digest."""
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
