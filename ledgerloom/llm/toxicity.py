@@ -28,7 +28,7 @@ SIZES = (3, 4, 5)
 SPAN = 4
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 4000, 16 << 10
 HELD_OUT = 5
-EPOCHS, BATCH, RATE, START_BIAS, TOXIC_WEIGHT = 8, 128, 0.4, -5.0, 2.0
+EPOCHS, UPDATES, BATCH, RATE, START_BIAS, TOXIC_WEIGHT = 8, 300, 128, 0.4, -5.0, 2.0
 _UP, _DOWN = np.uint8(ord("<")), np.uint8(ord(">"))
 
 
@@ -101,7 +101,7 @@ class Model:
         words_of = np.concatenate([[0], np.cumsum(np.bincount(s.words.row, minlength=len(texts)))])
         which, rng = s.which, np.random.default_rng(seed)
         g_embedding, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(DIMENSION, 1e-6), 1e-6
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(texts)))):  # small samples get more epochs
             shuffled = rng.permutation(len(texts))
             for at in range(0, len(texts), BATCH):
                 docs = shuffled[at : at + BATCH]
