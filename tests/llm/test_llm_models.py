@@ -100,7 +100,7 @@ def test_misspellings_share_subwords(spark):
     texts = [" ".join(rng.choice(fill, 40)) + (" idiot" if i % 2 else "") for i in range(200)]
     model = toxicity.Model()
     model.train(texts, np.arange(200) % 2)
-    g = next(words.groups(pa.array(["you idiot", "you idiott", "IDIOTS", "the reading of water", ""], pa.string())))
+    g = next(words.groups(pa.array(["idiot", "idiott", "IDIOTS", "the reading of water", ""], pa.string())))
     p = toxicity.text_scores(g, model.subword_logits(), model.bias)
     assert (p[:3] > 0.5).all() and (p[3:] < 0.5).all()
 
