@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
+from ledgerloom.llm.arrow import small_batches
 from ledgerloom.session import materialize
 
 WINDOW = 10
@@ -144,7 +145,7 @@ def _pass(state: DataFrame, windows) -> DataFrame:
                 names=["row", "text", "n_words", "spans", "items"],
             )
 
-    return state.mapInArrow(run, state.schema)
+    return small_batches(state).mapInArrow(run, state.schema)
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES, carry: list[str] | None = None, keep_text: bool = True) -> DataFrame:

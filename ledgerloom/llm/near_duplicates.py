@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.arrow import map_texts
+from ledgerloom.llm.arrow import map_texts, small_batches
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialize
 
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, arrays: DataFrame, similarity: float = SIMILARITY
 
     left = arrays.select(F.col("node").alias("u"), F.col("bag").alias("a"))
     right = arrays.select(F.col("node").alias("v"), F.col("bag").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return small_batches(pairs).join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

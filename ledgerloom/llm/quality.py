@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.arrow import id_remainder, map_texts
+from ledgerloom.llm.arrow import id_remainder, map_texts, small_batches
 from ledgerloom.session import materialize
 
 ORDER = 4
@@ -55,7 +55,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 gram, c = np.unique(grams(g.data, g.bounds, order), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "c"])
 
-    return texts.select("text").mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    return small_batches(texts).select("text").mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
+from ledgerloom.llm.arrow import small_batches
 from ledgerloom.session import scratch_path
 
 END_ID = 2
@@ -219,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, fold
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .repartitionByRange(files, "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, "record binary")
@@ -253,7 +254,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
-    return files.select("path", "content").mapInArrow(run, _ROW)
+    return small_batches(files).select("path", "content").mapInArrow(run, _ROW)
 
 
 def _index(spark: SparkSession, path: str) -> DataFrame:
@@ -289,7 +290,7 @@ def read_records(spark: SparkSession, path: str, chosen: DataFrame | None = None
                 rows = [unpack(unframe(data, at)[0]) for at in offsets.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return files.select("content", "offsets").mapInArrow(run, "doc_id bigint, ids array<bigint>")
+    return small_batches(files).select("content", "offsets").mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
 def digest(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

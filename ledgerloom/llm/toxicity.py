@@ -26,7 +26,7 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 SIZES = (3, 4, 5)
 SPAN = 4
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 4000, 16 << 10
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 4000, 16 << 10
 HELD_OUT = 5
 EPOCHS, UPDATES, BATCH, RATE, START_BIAS, TOXIC_WEIGHT = 8, 300, 128, 0.4, -5.0, 2.0
 _UP, _DOWN = np.uint8(ord("<")), np.uint8(ord(">"))
@@ -92,12 +92,15 @@ class Model:
 
         data = next(W.groups(pa.array(texts, pa.large_string()), 1 << 62))
         s = Subwords(data)
-        word, bucket = (np.concatenate(x) for x in zip(*((a.astype(np.int32), b.astype(np.int32)) for a, b in s.grams()), strict=True))
-        order = np.argsort(word, kind="stable")
-        bucket = bucket[order]
-        n_sub = np.bincount(word, minlength=s.n)
-        del word, order
+        parts = [(np.bincount(word, minlength=s.n), bucket.astype(np.int32)) for word, bucket in s.grams()]
+        n_sub = sum(n for n, _ in parts)
         first = np.cumsum(n_sub) - n_sub
+        bucket, at = np.empty(int(n_sub.sum()), np.int32), first.copy()
+        while parts:  # subwords by word, sizes one after the other
+            n, some = parts.pop()
+            bucket[_ranges(at, n)] = some
+            at += n
+        del s.data, s.of, some
         words_of = np.concatenate([[0], np.cumsum(np.bincount(s.words.row, minlength=len(texts)))])
         which, rng = s.which, np.random.default_rng(seed)
         g_embedding, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(DIMENSION, 1e-6), 1e-6
