@@ -5,8 +5,8 @@
   once, its row count is checked, and it is broadcast only under the bound;
   above it the join stays a shuffle join and AQE splits hot partitions.
 * ``substrings``/``contains_*``: "haystack contains needle" within a key,
-  without a nested-loop join. Every substring of the haystack whose length
-  lies in the needles' length range is emitted once (``array_distinct``),
+  without a nested-loop join. Every substring of the haystack with a length
+  that occurs among the needles of its key is emitted once (``array_distinct``),
   and the test becomes an equi join on (key, substring). Exact, linear in the
   haystack rows, and no pair of rows is ever enumerated.
 """
@@ -56,42 +56,39 @@ def join_per_key(
     return big.join(F.broadcast(small) if checked else small, on, how)
 
 
-def substrings(text: Column, lo: int, hi: int) -> Column:
-    """Distinct substrings of ``text`` with length in [lo, hi]; empty for null or short text."""
+def substrings(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``text`` with one of the lengths; empty for null or short text."""
     n = F.length(text)
-    top = F.least(F.lit(hi), n)
-    subs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(lo), top),
-            lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda pos: text.substr(pos, ln)),
-        )
-    )
-    return F.when(n >= F.lit(lo), F.array_distinct(subs)).otherwise(F.array().cast("array<string>"))
+    fit = F.filter(lengths, lambda ln: (ln >= 1) & (ln <= n))
+    subs = F.flatten(F.transform(fit, lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda pos: text.substr(pos, ln))))
+    return F.coalesce(F.array_distinct(subs), F.array().cast("array<string>"))
 
 
-def needle_lengths(needles: DataFrame, col: str) -> tuple[int, int] | None:
-    """Length range of the needles: two scalars, the only values brought to the driver."""
-    row = needles.agg(F.min(F.length(col)).alias("lo"), F.max(F.length(col)).alias("hi")).first()
-    if row is None or row["lo"] is None:
-        return None
-    return int(row["lo"]), int(row["hi"])
+def needle_lengths(needles: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """(keys, _lengths): the different lengths of the needles of each key; as many as the longest needle has characters, at most."""
+    found = needles.where(F.col(col).isNotNull() & (F.length(col) > 0))
+    return found.groupBy(*keys).agg(F.collect_set(F.length(col)).alias("_lengths"))
 
 
-def haystack_keys(hay: DataFrame, keys: Sequence[str], text: str, bounds: tuple[int, int], extra: Sequence[str] = ()) -> DataFrame:
-    """(keys, extra, s) for every distinct substring s of ``text`` in the length bounds."""
-    lo, hi = bounds
-    return hay.select(*keys, *extra, F.explode(substrings(F.col(text), lo, hi)).alias("_sub"))
+def haystack_keys(hay: DataFrame, keys: Sequence[str], text: str, lengths: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(keys, extra, _sub) for every distinct substring of ``text`` with a length that occurs among the key's needles."""
+    found = hay.join(lengths, list(keys))
+    return found.select(*keys, *extra, F.explode(substrings(F.col(text), F.col("_lengths"))).alias("_sub"))
 
 
 def contains_anti_needles(
-    needles: DataFrame, keys: Sequence[str], needle: str, hay: DataFrame, text: str, bounds: tuple[int, int] | None
+    needles: DataFrame, keys: Sequence[str], row_id: Sequence[str], needle: str, hay: DataFrame, text: str, lengths: DataFrame
 ) -> DataFrame:
-    """Needle rows for which no haystack row with the same keys contains the needle."""
-    if bounds is None:
-        return needles
-    subs = haystack_keys(hay, keys, text, bounds).distinct()
-    cond = [needles[k] == subs[k] for k in keys] + [needles[needle] == subs["_sub"]]
-    return needles.join(subs, cond, "left_anti")
+    """Needle rows for which no haystack row with the same keys contains the needle. ``row_id`` is unique within a
+    key; rows without a needle are kept, spread by it."""
+    subs = haystack_keys(hay, keys, text, lengths).distinct()
+    none = F.lit("").alias("_id")
+    subs = subs.select(*keys, F.col("_sub").alias("_needle"), none)
+    missing = F.col(needle).isNull()
+    spread = needles.withColumn("_needle", F.coalesce(F.col(needle), F.lit(""))).withColumn(
+        "_id", F.when(missing, F.concat_ws("/", *[F.col(c).cast("string") for c in row_id])).otherwise(F.lit(""))
+    )
+    return spread.join(subs, [*keys, "_needle", "_id"], "left_anti").drop("_needle", "_id")
 
 
 def contains_anti_haystack(
@@ -101,14 +98,12 @@ def contains_anti_haystack(
     text: str,
     needles: DataFrame,
     needle: str,
-    bounds: tuple[int, int] | None,
+    lengths: DataFrame,
 ) -> DataFrame:
-    """Haystack rows that contain none of the needles of the same keys."""
-    if bounds is None:
-        return hay
+    """Haystack rows that contain none of the needles of the same keys. ``row_id`` is unique within a key."""
     nd = needles.where(F.col(needle).isNotNull()).select(*keys, F.col(needle).alias("_sub")).distinct()
     hits = (
-        haystack_keys(hay, keys, text, bounds, extra=row_id)
+        haystack_keys(hay, keys, text, lengths, extra=row_id)
         .join(nd, [*keys, "_sub"], "left_semi")
         .select(*keys, *row_id)
         .distinct()

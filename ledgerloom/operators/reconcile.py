@@ -111,13 +111,13 @@ def party_pairs(own_names: DataFrame, other_names: DataFrame) -> DataFrame:
     """(party, cparty): own name contains counterparty name, over distinct names.
 
     The containment test is an equi join on the substrings of the own names
-    whose length occurs among the counterparty names (no nested loop)."""
+    whose length occurs among the counterparty names (no nested loop); the
+    lengths that occur are one row."""
     a = own_names.select(F.col("name").alias("party")).where(F.col("party").isNotNull()).distinct()
     b = other_names.select(F.col("name").alias("cparty")).where(F.col("cparty").isNotNull()).distinct()
-    bounds = needle_lengths(b, "cparty")
-    if bounds is None:
-        return a.select("party", F.lit(None).cast("string").alias("cparty")).limit(0)
-    subs = haystack_keys(a, [], "party", bounds, extra=["party"])
+    one = F.lit(1).alias("_all")  # names have no key
+    lengths = F.broadcast(needle_lengths(b.select("cparty", one), ["_all"], "cparty"))  # one row
+    subs = haystack_keys(a.select("party", one), ["_all"], "party", lengths, extra=["party"])
     return subs.join(b, subs["_sub"] == b["cparty"], "inner").select("party", "cparty").distinct()
 
 
@@ -147,7 +147,8 @@ def key_books(ledger: DataFrame, statement: DataFrame) -> Keyed:
 
 def balance_points(keyed: "Keyed", fiscal_start: str) -> DataFrame:
     """Balances present in both books: (party, cparty, bal, i, j), i/j = last position in A/B."""
-    return balance_table(keyed, fiscal_start).where(F.col("i").isNotNull() & F.col("j").isNotNull()).select(*KEYS, "bal", "i", "j")
+    shared = F.col("bal").isNotNull() & F.col("i").isNotNull() & F.col("j").isNotNull()
+    return balance_table(keyed, fiscal_start).where(shared).select(*KEYS, "bal", "i", "j")
 
 
 
@@ -164,11 +165,13 @@ def opening_balances(kb: DataFrame, fiscal_start: str) -> DataFrame:
 
 def balance_table(keyed: Keyed, fiscal_start: str) -> DataFrame:
     """One row per (party pair, balance): i / j = last position of that balance in A / B (null when
-    absent), o = it is the counterparty's opening balance. The union of both books, aggregated once."""
+    absent), o = it is the counterparty's opening balance. The union of both books, aggregated once.
+
+    Rows without a balance form a group of their own: it matches nothing, but it can hold a book's last row."""
     ka, kb = keyed.a, keyed.b
     none = F.lit(None).cast("long")
-    a = ka.where(F.col("bal").isNotNull()).select(*KEYS, "bal", F.col("idx").alias("i"), none.alias("j"), F.lit(False).alias("o"))
-    b = kb.where(F.col("bal").isNotNull()).select(*KEYS, "bal", none.alias("i"), F.col("idx").alias("j"), F.lit(False).alias("o"))
+    a = ka.select(*KEYS, "bal", F.col("idx").alias("i"), none.alias("j"), F.lit(False).alias("o"))
+    b = kb.select(*KEYS, "bal", none.alias("i"), F.col("idx").alias("j"), F.lit(False).alias("o"))
     op = opening_balances(kb, fiscal_start).select(*KEYS, F.col("open_b").alias("bal"), none.alias("i"), none.alias("j"), F.lit(True).alias("o"))
     return (
         a.unionByName(b).unionByName(op)
@@ -183,16 +186,18 @@ def verdict(keyed: Keyed, fiscal_start: str, books: Books = Books()) -> DataFram
     Everything comes from one grouped pass over the balance table:
     the group holding a book's last row carries that book's last position, so
     ``max_by(bal, i)`` is A's closing balance and ``max_by(i, j)`` is the last
-    position in A of B's closing balance (null when A never had it)."""
+    position in A of B's closing balance (null when A never had it, or when B's
+    last row has no balance)."""
     g = balance_table(keyed, fiscal_start)
     i, j = F.col("i"), F.col("j")
+    known = F.col("bal").isNotNull()
     v = g.groupBy(*KEYS).agg(
         F.max(i).alias("mi"), F.max(j).alias("mj"),
         F.max_by("bal", i).alias("end_a"), F.max_by("bal", j).alias("end_b"),
-        F.max_by(i, j).alias("a2"), F.max_by(j, i).alias("b3"),
-        F.max(F.when(j.isNotNull(), i)).alias("sa"), F.max(F.when(i.isNotNull(), j)).alias("sb"),
+        F.max_by(F.when(known, i), j).alias("a2"), F.max_by(F.when(known, j), i).alias("b3"),
+        F.max(F.when(known & j.isNotNull(), i)).alias("sa"), F.max(F.when(known & i.isNotNull(), j)).alias("sb"),
         F.max(F.when(F.col("o"), F.col("bal"))).alias("open_b"),
-        F.coalesce(F.max(F.col("o") & i.isNotNull()), F.lit(False)).alias("open_ok"),
+        F.coalesce(F.max(F.col("o") & known & i.isNotNull()), F.lit(False)).alias("open_ok"),
     ).where(F.col("mi").isNotNull() & F.col("mj").isNotNull())
     kase = (
         F.when(F.col("end_a") == F.col("end_b"), F.lit(CASE_BALANCED))
@@ -232,32 +237,37 @@ def after_anchor(book: DataFrame, v: DataFrame, anchor: str, cases: tuple[int, .
     )
 
 
-def unmatched_own(a4: DataFrame, b4: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
+def _amounts(book: DataFrame, amount: str, alias: str) -> DataFrame:
+    """Distinct amounts of a side by party pair, to match the other book's column ``alias``."""
+    return book.where(F.col(amount).isNotNull()).select(*KEYS, F.col(amount).alias(alias)).distinct().withColumn("_row", F.lit(0).cast("long"))
+
+
+def _without_amount(rows: DataFrame, amounts: DataFrame, column: str) -> DataFrame:
+    """Rows whose amount isn't in ``amounts``. A missing amount matches nothing; its rows are spread by position, not sent to one task."""
+    spread = rows.withColumn("_row", F.when(F.col(column).isNull(), F.col("idx")).otherwise(F.lit(0)).cast("long"))
+    return spread.join(amounts, [*KEYS, column, "_row"], "left_anti").drop("_row")
+
+
+def unmatched_own(a4: DataFrame, b4: DataFrame) -> DataFrame:
     """A rows (case 4) that no B row matches: B credit = A debit, B debit = A credit, B voucher contains A doc no."""
-    b_credit = b4.where(F.col("credit").isNotNull()).select(*KEYS, F.col("credit").alias("debit")).distinct()
-    b_debit = b4.where(F.col("debit").isNotNull()).select(*KEYS, F.col("debit").alias("credit")).distinct()
-    rest = a4.join(b_credit, [*KEYS, "debit"], "left_anti").join(b_debit, [*KEYS, "credit"], "left_anti")
-    if bounds is None:
-        bounds = needle_lengths(a4.where(F.col("doc_no").isNotNull()), "doc_no")
-    return contains_anti_needles(rest, KEYS, "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", bounds)
+    rest = _without_amount(a4, _amounts(b4, "credit", "debit"), "debit")
+    rest = _without_amount(rest, _amounts(b4, "debit", "credit"), "credit")
+    lengths = needle_lengths(a4, KEYS, "doc_no")
+    return contains_anti_needles(rest, KEYS, ["idx"], "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", lengths)
 
 
-def unmatched_other(a4: DataFrame, b4: DataFrame, bounds: tuple[int, int] | None = None) -> DataFrame:
+def unmatched_other(a4: DataFrame, b4: DataFrame) -> DataFrame:
     """B rows (case 4) that no A row matches (same three conditions, seen from B)."""
-    a_debit = a4.where(F.col("debit").isNotNull()).select(*KEYS, F.col("debit").alias("credit")).distinct()
-    a_credit = a4.where(F.col("credit").isNotNull()).select(*KEYS, F.col("credit").alias("debit")).distinct()
-    rest = b4.join(a_debit, [*KEYS, "credit"], "left_anti").join(a_credit, [*KEYS, "debit"], "left_anti")
-    needles = a4.where(F.col("doc_no").isNotNull())
-    if bounds is None:
-        bounds = needle_lengths(needles, "doc_no")
-    return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", needles, "doc_no", bounds)
+    rest = _without_amount(b4, _amounts(a4, "debit", "credit"), "credit")
+    rest = _without_amount(rest, _amounts(a4, "credit", "debit"), "debit")
+    return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", a4, "doc_no", needle_lengths(a4, KEYS, "doc_no"))
 
 
 def own_entries(rows: DataFrame, books: Books) -> DataFrame:
-    """Gold rows of A: invoice = document no., amount on the booked side, flag by side."""
+    """Gold rows of A with their pair: invoice = document no., amount on the booked side, flag by side."""
     is_dr = F.col("debit").isNotNull()
     return rows.select(
-        F.col("party").alias("customer_name"), "posting_date", F.col("doc_no").alias("invoice_number"),
+        "cparty", F.col("party").alias("customer_name"), "posting_date", F.col("doc_no").alias("invoice_number"),
         F.when(is_dr, F.col("debit")).otherwise(F.col("credit")).cast(MONEY).alias("amount_in_local_currency"),
         F.when(is_dr, F.lit(books.own_dr)).otherwise(F.lit(books.own_cr)).alias("flag"),
     )
@@ -266,7 +276,7 @@ def own_entries(rows: DataFrame, books: Books) -> DataFrame:
 def other_entries(rows: DataFrame, books: Books) -> DataFrame:
     is_dr = F.col("debit").isNotNull()
     return rows.select(
-        F.col("party").alias("customer_name"), "posting_date", F.col("voucher").alias("invoice_number"),
+        "cparty", F.col("party").alias("customer_name"), "posting_date", F.col("voucher").alias("invoice_number"),
         F.coalesce(F.col("debit"), F.col("credit")).cast(MONEY).alias("amount_in_local_currency"),
         F.when(is_dr, F.lit(books.other_dr)).otherwise(F.lit(books.other_cr)).alias("flag"),
     )
@@ -314,27 +324,26 @@ class Reconciliation:
 
     def case4(self) -> DataFrame:
         a4, b4 = self.case4_sides()
-        # one length range of the document numbers serves both directions of the containment test
-        bounds = needle_lengths(a4.where(F.col("doc_no").isNotNull()), "doc_no")
-        return own_entries(unmatched_own(a4, b4, bounds), self.books).unionByName(
-            other_entries(unmatched_other(a4, b4, bounds), self.books)
-        )
+        return own_entries(unmatched_own(a4, b4), self.books).unionByName(other_entries(unmatched_other(a4, b4), self.books))
+
+    def entries(self) -> DataFrame:
+        """All unmatched entries of all parties (U2) with the counterparty name of their pair; written once, read by every consumer."""
+        if "entries" not in self._cand:
+            rows = self.case2().unionByName(self.case3()).unionByName(self.case4())
+            self._cand["entries"] = materialize(rows, "entries")
+        return self._cand["entries"]
 
     def gold(self) -> DataFrame:
-        """All unmatched entries of all parties (U2), in the gold schema; written once, read by every consumer."""
-        if "gold" not in self._cand:
-            rows = self.case2().unionByName(self.case3()).unionByName(self.case4()).select(*GOLD_COLUMNS)
-            self._cand["gold"] = materialize(rows, "gold")
-        return self._cand["gold"]
-
-    def messages(self, gold: DataFrame | None = None) -> DataFrame:
-        """One message per party pair with the number of listed entries (A10)."""
-        gold = self.gold() if gold is None else gold
-        counts = gold.groupBy(F.col("customer_name").alias("party")).agg(F.count(F.lit(1)).alias("n_entries"))
+        """The entries in the gold schema."""
+        return self.entries().select(*GOLD_COLUMNS)
+
+    def messages(self) -> DataFrame:
+        """One message per party pair with the number of entries listed for that pair (A10)."""
+        counts = self.entries().groupBy(F.col("customer_name").alias("party"), "cparty").agg(F.count(F.lit(1)).alias("n_entries"))
         return (
-            self.verdict.join(counts, "party", "left")
+            self.verdict.join(counts, KEYS, "left")
             .select(
-                F.col("party").alias("customer_name"), F.col("kase").cast("int").alias("kase"),
+                F.col("party").alias("customer_name"), "cparty", F.col("kase").cast("int").alias("kase"),
                 F.element_at(
                     F.create_map(*[x for k, n in VERDICT_NAMES.items() for x in (F.lit(k), F.lit(n))]), F.col("kase")
                 ).alias("verdict"),

@@ -143,13 +143,13 @@ def q_party_entries(spark, sf_dir):
 @query("gold_case2", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold_a WHERE kase = 2")
 def q_gold_case2(spark, sf_dir):
     """Own-ledger rows after the counterparty's closing balance."""
-    return reconciliation(spark, sf_dir).case2()
+    return reconciliation(spark, sf_dir).case2().select(*GOLD_COLUMNS)
 
 
 @query("gold_case3", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold_b WHERE kase = 3")
 def q_gold_case3(spark, sf_dir):
     """Counterparty rows after the own ledger's closing balance."""
-    return reconciliation(spark, sf_dir).case3()
+    return reconciliation(spark, sf_dir).case3().select(*GOLD_COLUMNS)
 
 
 @query("gold_case4", """
@@ -158,7 +158,7 @@ UNION ALL
 SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold_b WHERE kase = 4""")
 def q_gold_case4(spark, sf_dir):
     """Diverged parties, rows of either side that the other side does not match."""
-    return reconciliation(spark, sf_dir).case4()
+    return reconciliation(spark, sf_dir).case4().select(*GOLD_COLUMNS)
 
 
 @query("anti_by_amount", """
@@ -195,9 +195,9 @@ def q_anti_by_reference(spark, sf_dir):
 
     a4, b4 = reconciliation(spark, sf_dir).case4_sides()
     needles = a4.where(F.col("doc_no").isNotNull())
-    bounds = needle_lengths(needles, "doc_no")
-    own = contains_anti_needles(a4, rc.KEYS, "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", bounds)
-    other = contains_anti_haystack(b4, rc.KEYS, ["idx"], "voucher", needles, "doc_no", bounds)
+    lengths = needle_lengths(needles, rc.KEYS, "doc_no")
+    own = contains_anti_needles(a4, rc.KEYS, ["idx"], "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", lengths)
+    other = contains_anti_haystack(b4, rc.KEYS, ["idx"], "voucher", needles, "doc_no", lengths)
     return own.select(F.lit("own").alias("side"), F.col("party").alias("customer_name"), "idx").unionByName(
         other.select(F.lit("other").alias("side"), F.col("party").alias("customer_name"), "idx")
     )
@@ -221,7 +221,7 @@ def q_gold_entries(spark, sf_dir):
 
 
 @query("recon_messages", """
-SELECT v.party AS customer_name, CAST(v.kase AS INTEGER) AS kase,
+SELECT v.party AS customer_name, v.cparty, CAST(v.kase AS INTEGER) AS kase,
        CASE v.kase WHEN 1 THEN 'balanced' WHEN 2 THEN 'extra_in_own' WHEN 3 THEN 'extra_in_counterparty'
                    WHEN 4 THEN 'diverged' ELSE 'opening_differs' END AS verdict,
        'Customer: ' || v.party || ' - ' || CASE v.kase
@@ -231,8 +231,9 @@ SELECT v.party AS customer_name, CAST(v.kase AS INTEGER) AS kase,
            WHEN 4 THEN 'Closing Balance does not match. Unmatched entries listed.'
            ELSE 'Closing Balance does not match and opening balance does not match.' END AS message,
        CAST(coalesce(g.n, 0) AS BIGINT) AS n_entries
-FROM verdict v LEFT JOIN (SELECT customer_name, count(*) AS n FROM gold GROUP BY customer_name) g
-  ON g.customer_name = v.party""")
+FROM verdict v LEFT JOIN (SELECT customer_name, cparty, count(*) AS n
+    FROM (SELECT customer_name, cparty FROM gold_a UNION ALL SELECT customer_name, cparty FROM gold_b) e GROUP BY customer_name, cparty) g
+  ON g.customer_name = v.party AND g.cparty = v.cparty""")
 def q_recon_messages(spark, sf_dir):
     """One message per party with the number of listed entries."""
     return reconciliation(spark, sf_dir).messages()

@@ -79,14 +79,18 @@ def own_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         base = base_orders(spark, sf_dir)
         op = opening_amounts(spark, sf_dir)
+        # some parties have a longer name in the own book than in the counterparty's
+        party = F.concat("party", F.when(F.col("k") % 9 == 4, F.lit(" (Head Office)")).otherwise(F.lit(""))).alias("party")
         opening = op.select(
-            "party", "k", F.lit(0).cast("long").alias("seq"), F.lit(FISCAL_START).cast("date").alias("posting_date"),
-            F.lit("OB").alias("doc_no"), F.col("amt").alias("debit"), F.lit(None).cast(MONEY).alias("credit"),
+            party, "k", F.lit(0).cast("long").alias("seq"), F.lit(FISCAL_START).cast("date").alias("posting_date"),
+            F.lit("OB").alias("doc_no"), F.col("amt").alias("debit"), F.lit(None).cast(MONEY).alias("credit"), F.lit(False).alias("unknown"),
         )
+        # and some rows, a party's last one among them, have no balance
+        unknown = (F.col("k") % 10 == 5) & ((F.col("rn") == F.col("n")) | (F.col("rn") == 2))
         entries = base.where(~((F.col("k") % 5 == 2) & (F.col("rn") > F.col("n") - 2))).select(
-            "party", "k", F.col("rn").alias("seq"), "posting_date", F.col("ok").cast("string").alias("doc_no"),
+            party, "k", F.col("rn").alias("seq"), "posting_date", F.col("ok").cast("string").alias("doc_no"),
             F.when(F.col("ok") % 4 != 0, F.col("amt")).alias("debit"),
-            F.when(F.col("ok") % 4 == 0, F.col("amt")).alias("credit"),
+            F.when(F.col("ok") % 4 == 0, F.col("amt")).alias("credit"), unknown.alias("unknown"),
         )
         rows = opening.unionByName(entries)
         rows = ordered_scan(
@@ -99,7 +103,7 @@ def own_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("party").alias("customer_name"), "idx", "posting_date",
                 F.col("doc_no").alias("origin_no"),
                 F.col("debit").alias("debit_lc"), F.col("credit").alias("credit_lc"),
-                F.col("bal").cast(MONEY).alias("cumulative_balance_lc"),
+                F.when(~F.col("unknown"), F.col("bal")).cast(MONEY).alias("cumulative_balance_lc"),
             ),
             "fx_own",
         )

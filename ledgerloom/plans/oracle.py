@@ -40,16 +40,17 @@ cte("fx_op", f"""
   SELECT c_name AS party, c_custkey AS k, CAST(abs(c_acctbal) AS {M}) AS amt
   FROM customer WHERE c_custkey IN (SELECT k FROM fx_base)""")
 cte("fx_a_lines", f"""
-  SELECT party, k, 0 AS seq, {FS} AS posting_date, 'OB' AS doc_no, amt AS debit, CAST(NULL AS {M}) AS credit FROM fx_op
+  SELECT party || CASE WHEN k % 9 = 4 THEN ' (Head Office)' ELSE '' END AS party, k, 0 AS seq, {FS} AS posting_date, 'OB' AS doc_no, amt AS debit,
+         CAST(NULL AS {M}) AS credit, FALSE AS unknown FROM fx_op
   UNION ALL
-  SELECT party, k, rn, posting_date, CAST(ok AS VARCHAR),
-         CASE WHEN ok % 4 <> 0 THEN amt END, CASE WHEN ok % 4 = 0 THEN amt END
+  SELECT party || CASE WHEN k % 9 = 4 THEN ' (Head Office)' ELSE '' END, k, rn, posting_date, CAST(ok AS VARCHAR),
+         CASE WHEN ok % 4 <> 0 THEN amt END, CASE WHEN ok % 4 = 0 THEN amt END, k % 10 = 5 AND (rn = n OR rn = 2)
   FROM fx_base WHERE NOT (k % 5 = 2 AND rn > n - 2)""")
 cte("own", f"""
   SELECT party AS customer_name, CAST(row_number() OVER (PARTITION BY party ORDER BY seq) AS BIGINT) AS idx,
          posting_date, doc_no AS origin_no, debit AS debit_lc, credit AS credit_lc,
-         CAST(sum(coalesce(debit, 0) - coalesce(credit, 0)) OVER (PARTITION BY party ORDER BY seq
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {M}) AS cumulative_balance_lc
+         CASE WHEN NOT unknown THEN CAST(sum(coalesce(debit, 0) - coalesce(credit, 0)) OVER (PARTITION BY party ORDER BY seq
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {M}) END AS cumulative_balance_lc
   FROM fx_a_lines""")
 cte("fx_b_lines", f"""
   SELECT party, k, 0 AS seq, {FS} AS posting_date, 'Opening Balance' AS particulars,
@@ -127,12 +128,12 @@ cte("ub", """
     SELECT 1 FROM ra a WHERE a.kase = 4 AND b.party = a.party AND b.cparty = a.cparty
       AND (contains(b.voucher, a.doc_no) OR b.credit = a.debit OR b.debit = a.credit))""")
 cte("gold_a", f"""
-  SELECT party AS customer_name, posting_date, doc_no AS invoice_number,
+  SELECT cparty, party AS customer_name, posting_date, doc_no AS invoice_number,
          CAST(CASE WHEN debit IS NOT NULL THEN debit ELSE credit END AS {M}) AS amount_in_local_currency,
          CASE WHEN debit IS NOT NULL THEN '{OWN_DR}' ELSE '{OWN_CR}' END AS flag, kase
   FROM (SELECT * FROM ra WHERE kase = 2 UNION ALL SELECT * FROM ua) x""")
 cte("gold_b", f"""
-  SELECT party AS customer_name, posting_date, voucher AS invoice_number,
+  SELECT cparty, party AS customer_name, posting_date, voucher AS invoice_number,
          CAST(coalesce(debit, credit) AS {M}) AS amount_in_local_currency,
          CASE WHEN debit IS NOT NULL THEN '{OTHER_DR}' ELSE '{OTHER_CR}' END AS flag, kase
   FROM (SELECT * FROM rb WHERE kase = 3 UNION ALL SELECT * FROM ub) x""")

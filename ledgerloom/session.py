@@ -9,6 +9,7 @@ back, which cuts lineage and survives executor loss.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,14 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only
-    when neither is set (local tests) a scratch folder is created and
-    registered for this session.
+    when neither is set and driver and executors are one process (local tests) a
+    scratch folder is created and registered for this session. On a cluster a
+    machine's own folder would be a different one on every executor, so a
+    missing setting is an error there.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path

@@ -16,8 +16,13 @@ def write_bronze(bronze: DataFrame, path: str) -> None:
 
 
 def append_gold(gold: DataFrame, path: str, run_id: str) -> None:
-    """Append one run's gold rows; the table is created by the first append, runs are partitions."""
-    gold.select(*GOLD_COLUMNS).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Append one run's gold rows; the table is created by the first append, runs are partitions.
+
+    A run replaces its own partition, so a run that is tried again leaves its rows once."""
+    (
+        gold.select(*GOLD_COLUMNS).withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    )
 
 
 def read_gold(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
