@@ -27,7 +27,7 @@ from ..schemas import BRONZE_HEADER, GOLD_COLUMNS, MONEY, SHEET_HEADER
 from ..session import apply_engine_conf, materialize, scratch_path
 from ..sources import files as fs
 from ..sources import sinks
-from ..sources.ocr import read_ocr_pages
+from ..sources.ocr import read_ocr_pages, read_ocr_rejects
 from . import fixtures as fx
 from .oracle import HEADER_SQL, score_sql, sql
 from .oracle import _norm as oracle_norm
@@ -425,9 +425,20 @@ def q_gold_sink_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "gold_table")
     sinks.append_gold(gold.where(F.lit(False)), path, "run-0")  # creates the table
     sinks.append_gold(gold, path, "run-1")
+    sinks.append_gold(gold, path, "run-1")  # tried again: the run's rows are there once
     return sinks.read_gold(spark, path, "run-1").drop("run_id")
 
 
+@query("gold_empty", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold WHERE FALSE")
+def q_gold_empty(spark, sf_dir):
+    """The gold table of a run in which every party is balanced: no rows, the full schema."""
+    path = scratch_path(spark, "gold_table")
+    rec = reconciliation(spark, sf_dir)
+    none = rec.gold().join(rec.verdict.where(F.col("kase") == 1).select(F.col("party").alias("customer_name")).distinct(), "customer_name", "left_semi")
+    sinks.append_gold(sinks.empty_gold(spark).unionByName(none), path, "run-0")
+    return sinks.read_gold(spark, path, "run-0").drop("run_id")
+
+
 @query("report_export", "SELECT customer_name, posting_date, invoice_number, amount_in_local_currency, flag FROM gold")
 def q_report_export(spark, sf_dir):
     """The gold report as CSV with a header, read back with the gold schema."""
@@ -475,8 +486,8 @@ def q_page_concat(spark, sf_dir):
 
 
 @query("header_clean", """
-SELECT DISTINCT statement_id, page_no, 6 AS n_columns, 'Date|Particulars|Vch Type|Vch No.|Debit|Credit' AS header_text
-FROM ocr_lines""")
+SELECT statement_id, page_no, CAST(count(*) AS INTEGER) AS n_columns, string_agg(text, '|' ORDER BY col_index) AS header_text
+FROM ocr_cell_list WHERE row_index = 1 AND text <> '' GROUP BY statement_id, page_no""")
 def q_header_clean(spark, sf_dir):
     """The page headers with their blank-named columns dropped."""
     heads = ocr.page_headers(ocr_source(spark, sf_dir))
@@ -495,6 +506,17 @@ def q_ocr_rows(spark, sf_dir):
     return rows.select("statement_id", "line_no", "date", "particulars", "vch_type", "vch_no", "debit", "credit")
 
 
+@query("ocr_rejects", """
+SELECT 'not readable as a page' AS reason, substr(text, 19, 18) AS statement, count(*) AS n
+FROM (SELECT '{"statement_id": "' || statement_id AS text FROM ocr_page_list
+      WHERE page_no = 1 AND CAST(right(statement_id, 9) AS BIGINT) % 10 = 3) x GROUP BY ALL""")
+def q_ocr_rejects(spark, sf_dir):
+    """What no statement row comes from: unreadable responses and pages whose columns are unknown."""
+    unread = read_ocr_rejects(spark, fx.ocr_files(spark, sf_dir)).select("reason", F.substring("text", 19, 18).alias("statement"))
+    unmapped = ocr.page_rejects(ocr_source(spark, sf_dir)).select("reason", F.col("statement_id").alias("statement"))
+    return unread.unionByName(unmapped).groupBy("reason", "statement").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ocr_bronze", "SELECT * FROM bronze")
 def q_ocr_bronze(spark, sf_dir):
     """R0 + R1: OCR blocks -> statement rows -> bronze lines."""

@@ -186,11 +186,12 @@ cte("fx_dirty_src", f"""
   UNION ALL
   SELECT party, seq * 10 + 1, '', 'Being goods sold ', NULL, NULL, NULL, NULL FROM fx_b_lines WHERE seq % 4 = 1
   UNION ALL
-  SELECT customer_name, 1000000, '', 'Closing Balance ', NULL, NULL,
+  SELECT customer_name, last * 10 + 2, '', 'Closing Balance ', NULL, NULL,
          CASE WHEN bal >= 0 THEN {amount_text_sql("bal + CASE WHEN CAST(right(customer_name, 9) AS BIGINT) % 10 = 7 THEN 1 ELSE 0 END")} || ' Dr' END,
          CASE WHEN bal < 0 THEN {amount_text_sql('-bal')} || ' Cr' END
   FROM (SELECT customer_name, arg_max(cumulative_amount_in_local_currency, idx) AS bal
-        FROM counterparty GROUP BY customer_name) c""")
+        FROM counterparty GROUP BY customer_name) c
+  JOIN (SELECT party, max(seq) AS last FROM fx_b_lines GROUP BY party) l ON l.party = c.customer_name""")
 cte("fx_dirty", """
   SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY ord) AS BIGINT) AS line_no,
          date, particulars, vch_type, vch_no, debit, credit
@@ -283,7 +284,10 @@ cte("ocr_cell_list", f"""
   UNION ALL
   SELECT DISTINCT statement_id, page_no, 1, c.col_index, c.text, CAST(90 AS DOUBLE)
   FROM ocr_lines, LATERAL (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS col_index,
-                                  unnest(['Date', 'Particulars', 'Vch Type', 'Vch No.', 'Debit', 'Credit', '']) AS text) c""")
+                                  unnest(['Date', 'Particulars', 'Vch Type',
+                                          CASE WHEN page_no >= 2 AND CAST(right(statement_id, 9) AS BIGINT) % 3 = 1 THEN 'Vch No' ELSE 'Vch No.' END,
+                                          'Debit', 'Credit', '']) AS text) c
+  WHERE NOT (page_no >= 2 AND CAST(right(statement_id, 9) AS BIGINT) % 3 = 0)""")
 
 
 # ------------------------------------------------------------------ the reconciliation again, book B = cleaned statement
