@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ledgerloom.session import materialize
 
 
-def _state(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    edges = materialize(edges.distinct(), "links")
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 30) - 1)))).head()
-    return edges, tuple(r)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour v of u is linked to the least of u and its neighbours."""
     both = edges.union(edges.select("v", "u"))
@@ -29,15 +23,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre or has exactly one edge, to its centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf")).union(edges.select("v", F.lit(0)))
+    per = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
+    return not per.filter("leaf > 1 OR (leaf = 1 AND least = 0)").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (u, v); component is the least node reachable.
 
     A node of any degree is a partial aggregate and one side of a join on its key, which Spark splits; nothing is gathered by node."""
-    edges, seen = _state(links.filter("u != v").select("u", "v"))
-    while seen[0]:
-        edges, now = _state(_small_star(_large_star(edges)))
-        if now == seen:
+    edges = materialize(links.filter("u != v").select("u", "v"), "links")
+    while True:
+        edges = materialize(_small_star(_large_star(edges)).distinct(), "links")
+        if _are_stars(edges):
             break
-        seen = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

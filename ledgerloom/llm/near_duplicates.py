@@ -234,9 +234,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     spokes = buckets.filter(F.col("centre.node") != F.col("node")).filter(close("weight", "centre.weight"))
     tried = materialize(spokes.groupBy("node").agg(F.max("centre").alias("centre")).select(*pair("node", "centre.node")).distinct(), "pairs")
     links = materialize(verified(tried, arrays, similarity), "verified")
+    parts = components(links)
     # then with the other centres, and then with all others, but only across components of a bucket
     for step in ("centres", "all"):
-        parts = components(links)
         mixed = buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = mixed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
         mixed = materialize(mixed.join(several, "key", "left_semi"), "mixed")
@@ -245,15 +245,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             across = mixed.join(part, F.col("centre.node") == F.col("cn"), "left").withColumn("part", F.coalesce("part", "centre.node"))
             across = across.filter((F.col("component") != F.col("part")) & close("weight", "centre.weight")).select(*pair("node", "centre.node"))
         else:
-            links = links.union(materialize(_large_buckets(mixed, arrays, similarity), "linked"))
             small = mixed.filter(F.col("n") <= SMALL)
             other = small.select("key", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("component").alias("part"))
             across = small.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("part")) & close("weight", "other_weight"))
             across = across.select(*pair("node", "other"))
         across = materialize(across.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        links = materialize(links.union(verified(across, arrays, similarity)), "verified")
+        links = verified(across, arrays, similarity)
+        if step == "all":
+            links = links.union(_large_buckets(mixed, arrays, similarity))
+        links = materialize(links, "verified")
+        if links.limit(1).count():
+            stars = parts.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            parts = components(stars.union(links))
         tried = tried.union(across)
-    return found.select("doc_id", "node", "weight").join(components(links), "node", "left")
+    return found.select("doc_id", "node", "weight").join(parts, "node", "left")
 
 
 def _large_buckets(mixed: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
