@@ -56,6 +56,12 @@ def query(name: str, oracle: str | None = None):
 _recon: dict[tuple, rc.Reconciliation] = {}
 
 
+def forget() -> None:
+    """Drop what earlier queries of the session have built (not the inputs)."""
+    _recon.clear()
+    _silver.clear()
+
+
 def reconciliation(spark: SparkSession, sf_dir: str) -> rc.Reconciliation:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _recon:
@@ -71,10 +77,9 @@ SELECT customer_name, idx, debit_amount_in_local_currency, credit_amount_in_loca
        cumulative_amount_in_local_currency FROM counterparty""")
 def q_running_balance(spark, sf_dir):
     """Running balance credit - debit of the counterparty statement, in file order."""
-    return fx.counterparty_statement(spark, sf_dir).select(
-        "customer_name", "idx", "debit_amount_in_local_currency", "credit_amount_in_local_currency",
-        "cumulative_amount_in_local_currency",
-    )
+    debit, credit = "debit_amount_in_local_currency", "credit_amount_in_local_currency"
+    lines = fx.counterparty_statement(spark, sf_dir).select("customer_name", "idx", debit, credit)
+    return sv.running_balance(lines, ["customer_name"], "idx", debit, credit, "cumulative_amount_in_local_currency")
 
 
 @query("party_pairs", "SELECT party, cparty FROM pairs")
@@ -261,7 +266,8 @@ def silver_lines(spark, sf_dir) -> DataFrame:
 @query("entry_index", "SELECT statement_id, line_no, particulars FROM fx_dirty")
 def q_entry_index(spark, sf_dir):
     """Position of every statement line in load order (1-based, per statement)."""
-    return fx.dirty_statement(spark, sf_dir).select("statement_id", "line_no", "particulars")
+    lines = fx.dirty_statement(spark, sf_dir).select("statement_id", "line_no", "particulars")
+    return sv.number_lines(lines).select("statement_id", F.col("idx").alias("line_no"), "particulars")
 
 
 @query("date_repair", "SELECT statement_id, line_no, date_repaired FROM b_text")

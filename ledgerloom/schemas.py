@@ -31,6 +31,7 @@ OCR_PAGE = T.StructType([
     T.StructField("Blocks", T.ArrayType(BLOCK)),
 ])
 
+# Fixed values from here on: column names of the statement, sheet, silver and gold tables.
 # --- Bronze statement: the cleaned counterparty table, still text where the source was text
 BRONZE_HEADER = ["Date", "Particulars", "Vch Type", "Vch No.", "Debit", "Credit"]
 BRONZE_COLUMNS = ["date", "particulars", "vch_type", "vch_no", "debit", "credit"]

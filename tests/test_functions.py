@@ -72,7 +72,7 @@ def test_text_helpers(spark):
     assert one(spark, is_thousands_number, "1,234") is True
     assert one(spark, is_thousands_number, "1,234.00") is False
     assert one(spark, is_thousands_number, "abc,") is False
-    assert one(spark, file_stem, "/a/b/temp_Parekh Plastics.csv") == "temp_Parekh Plastics"
+    assert one(spark, file_stem, "/a/b/temp_Bluebird Paper.csv") == "temp_Bluebird Paper"
 
 
 def lcs_py(a, b):
@@ -93,9 +93,9 @@ def ratio_py(a, b):
     return int(round(100 * (2 * lcs_py(a, b) / (len(a) + len(b)))))
 
 
-PAIRS = [("kitten", "sitting"), ("temp_PAREKH.csv", "Parekh Plastics"), ("", "x"), ("abc", "abc"),
-         ("Mor Techfab Ahm", "Mor Techfab Guj"), ("A.U. Industries Dahej", "A.U. Industries Ahm"), ("ab", "ba"),
-         ("x", "y"), ("aaaa", "aa"), ("Unovel", "Global Coating")]
+PAIRS = [("kitten", "sitting"), ("temp_BLUEBIRD.csv", "Bluebird Paper"), ("", "x"), ("abc", "abc"),
+         ("Acme North Ahm", "Acme North Guj"), ("D.B. Metals Dahej", "D.B. Metals Ahm"), ("ab", "ba"),
+         ("x", "y"), ("aaaa", "aa"), ("Quarry", "Harbour Rope")]
 
 
 def test_similarity_matches_python(spark):
@@ -129,8 +129,8 @@ def test_lcs_random_pairs_both_forms(spark):
 def test_similarity_to_fixed_equals_similarity(spark):
     from ledgerloom.functions.similarity import similarity_to_fixed
 
-    names = ["Parekh Plastics", "A.U. Industries Ahm", "x" * 70, "", "aab"]
-    df = spark.createDataFrame([(a,) for a, _ in PAIRS] + [("temp_PAREKH.csv",), ("x" * 65,), ("",)], "a string")
+    names = ["Bluebird Paper", "D.B. Metals Ahm", "x" * 70, "", "aab"]
+    df = spark.createDataFrame([(a,) for a, _ in PAIRS] + [("temp_BLUEBIRD.csv",), ("x" * 65,), ("",)], "a string")
     got = df.select("a", *[similarity_to_fixed(F.col("a"), n).alias(f"s{i}") for i, n in enumerate(names)]).collect()
     for r in got:
         for i, n in enumerate(names):

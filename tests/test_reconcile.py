@@ -5,6 +5,7 @@ from collections import defaultdict
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.reconcile import Books, reconcile
 from ledgerloom.plans import fixtures as fx
@@ -165,10 +166,10 @@ def test_balanced_only_gives_empty_gold(spark):
 
 
 def test_names_pair_by_containment(spark):
-    own = ledger(spark, [("Mor Techfab Ahm", 1, "OB", D(10), None)])
-    other = statement(spark, [("Mor Techfab", 1, "Opening Balance", None, None, D(10))])
+    own = ledger(spark, [("Acme North Ahm", 1, "OB", D(10), None)])
+    other = statement(spark, [("Acme North", 1, "Opening Balance", None, None, D(10))])
     got_v, _ = run(spark, own, other)
-    assert got_v == {("Mor Techfab Ahm", "Mor Techfab"): 1}
+    assert got_v == {("Acme North Ahm", "Acme North"): 1}
 
 
 def test_plans_have_no_nested_loops_or_global_windows(spark):
@@ -193,3 +194,49 @@ def test_verdict_prunes_columns_and_pushes_filters(spark):
     assert any("EqualTo(posting_date" in p for p in pushed)
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "SortMergeJoin"):
         assert bad not in text
+
+
+def test_last_row_without_a_balance_is_not_balanced(spark):
+    own = ledger(spark, [("P", 1, "OB", D(100), None), ("P", 2, "D2", D(100), None), ("P", 3, "D3", D(7), None)])
+    own = own.withColumn("cumulative_balance_lc", F.when(F.col("idx") < 3, F.col("cumulative_balance_lc")))
+    other = statement(spark, [("P", 1, "Opening Balance", None, None, D(100)), ("P", 2, "Entry", "V2", None, D(100))])
+    got_v, got_g = run(spark, own, other)
+    assert got_v == {("P", "P"): 2}
+    assert [g[2] for g in got_g] == ["D3"]
+
+
+def test_counts_are_per_pair_of_names(spark):
+    own = ledger(spark, [("Acme North", 1, "OB", D(100), None), ("Acme North", 2, "D2", D(5), None)])
+    other = statement(spark, [("Acme", 1, "Opening Balance", None, None, D(100)), ("Acme North", 1, "Opening Balance", None, None, D(105))])
+    got = {r["cparty"]: (r["verdict"], r["n_entries"]) for r in reconcile(own, other, FS.isoformat()).messages().collect()}
+    assert got == {"Acme": ("extra_in_own", 1), "Acme North": ("balanced", 0)}
+
+
+def test_a_run_tried_again_leaves_its_rows_once(spark, tmp_path):
+    from ledgerloom.sources.sinks import append_gold, read_gold
+
+    gold = spark.createDataFrame([("P", FS, "D1", D(5), B.own_dr)], "customer_name string, posting_date date, invoice_number string, amount_in_local_currency decimal(22,5), flag string")
+    path = str(tmp_path / "gold")
+    for run_id in ("r1", "r2", "r2"):
+        append_gold(gold, path, run_id)
+    assert read_gold(spark, path).count() == 2 and read_gold(spark, path, "r2").count() == 1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from ledgerloom.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

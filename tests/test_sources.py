@@ -39,11 +39,11 @@ def test_sheets_with_different_column_orders(spark):
         {"Posting Date": "2024-04-05", "Origin No.": "123.0", "Credit (LC)": "250.50", "Cumulative Balance (LC)": "749.50",
          "Details": "Sale, goods"},
     ]
-    write(folder, "SAP_Parekh Plastics.csv", sheet_lines("Parekh Plastics", SHEET_HEADER, entries))
-    write(folder, "SAP_Global#Coating.csv", sheet_lines("Global#Coating", list(reversed(SHEET_HEADER)), entries))
+    write(folder, "SAP_Bluebird Paper.csv", sheet_lines("Bluebird Paper", SHEET_HEADER, entries))
+    write(folder, "SAP_Harbour#Rope.csv", sheet_lines("Harbour#Rope", list(reversed(SHEET_HEADER)), entries))
     got = {(r["customer_name"], r["idx"]): r for r in to_ledger(read_files(spark, folder, schema=SCHEMA)).collect()}
-    assert set(got) == {("Parekh Plastics", 1), ("Parekh Plastics", 2), ("Global#Coating", 1), ("Global#Coating", 2)}
-    for party in ("Parekh Plastics", "Global#Coating"):
+    assert set(got) == {("Bluebird Paper", 1), ("Bluebird Paper", 2), ("Harbour#Rope", 1), ("Harbour#Rope", 2)}
+    for party in ("Bluebird Paper", "Harbour#Rope"):
         first, second = got[(party, 1)], got[(party, 2)]
         assert first["posting_date"] == dt.date(2024, 4, 1) and first["debit_lc"] == D("1000.00000")
         assert second["origin_no"] == "123" and second["credit_lc"] == D("250.50000")
