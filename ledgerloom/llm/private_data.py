@@ -12,7 +12,7 @@ for, against or not at all on each: a strict-form regex, a gazetteer (domain end
 before it against, and the grouping of its parts. Expectation-maximisation over the counts of vote patterns in all documents
 estimates what each labeler's votes are worth and how likely a candidate with given votes is real; a logistic span classifier
 is trained on those probabilities and the span's own features. A candidate with a probability of 0.5 or more that meets no base span is added, unless it
-fails its kind's check (parts of an ip, Luhn's check of a card).
+fails its kind's check (parts of an ip, Luhn's check of a card of any length).
 
 Each document is read once. What is collected are counts by vote pattern and by feature pattern: at most 4 * 3**5 and 4 * 2**6 * 3 rows.
 
@@ -118,11 +118,13 @@ _PREFIX = {
 _GROUPS = {
     "email": "s.value RLIKE '^[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$'",
     "ip": "s.value RLIKE '^[1-9][0-9]*([.](0|[1-9][0-9]*)){3}$'",
-    "card": "s.value RLIKE '^([0-9]{4}[ -]?){3}[0-9]{4}$'",
+    "card": "s.value RLIKE '^([0-9]{4}[ -]?){3}[0-9]{4}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}$'",
     "phone": "s.value RLIKE '[()]' OR size(split(s.value, '[ .-]')) >= 3",
 }
-#: The strict form of a candidate, where it isn't that of a base span.
-_STRICT = {"email": "contains(s.value, '@')", "phone": "s.value RLIKE '^[+]'"}
+#: The strict form of a candidate, where it isn't that of a base span. A card's is Luhn's check, at any length.
+_STRICT = {"email": "contains(s.value, '@')", "card": _luhn("s.value"), "phone": "s.value RLIKE '^[+]'"}
+#: The check without which a candidate is never added.
+_SOUND = {"ip": HOLDS["ip"], "card": _luhn("s.value")}
 LABELERS = ("strict", "gazetteer", "context", "against", "grouping")
 FLAGS = ("strict", "gazetteer", "context", "against", "grouping", "marks")
 
@@ -133,7 +135,7 @@ def _votes(kind: str) -> str:
     return (
         f"named_struct('strict', {yes_no(_STRICT.get(kind, HOLDS[kind]))}, 'gazetteer', {yes_no(_PREFIX[kind])}, "
         f"'context', if(c RLIKE '{CONTEXT[kind]}', 1, 0), 'against', if(c RLIKE '{AGAINST}', -1, 0), 'grouping', if({_GROUPS[kind]}, 1, 0), "
-        "'marks', if(s.value RLIKE '[ ()-]', 1, 0), 'size', int(least(2, floor(length(s.value) / 12))))"
+        f"'marks', if(s.value RLIKE '[ ()-]', 1, 0), 'sound', {_SOUND.get(kind, 'true')}, 'size', int(least(2, floor(length(s.value) / 12))))"
     )
 
 
@@ -230,8 +232,7 @@ def find(docs: DataFrame) -> DataFrame:
         added = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
     else:
         free = "NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
-        sound = "(s.v.strict > 0 OR s.kind IN (0, 3))"  # a failed range or check digit is final
-        added = F.expr(f"transform(filter(candidates, s -> {free} AND {sound} AND {_probability(weights)} >= 0.5), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))")
+        added = F.expr(f"transform(filter(candidates, s -> {free} AND s.v.sound AND {_probability(weights)} >= 0.5), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))")
     return detected.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat(F.col("base"), added)).alias("spans"))
 
 
