@@ -1,12 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text; documents whose perplexity is above a quantile of
 their language's trusted documents are rejected.
 
-Trusted documents are labelled quality 1. The model is counted on a bounded sample of them: up to ``DOCS`` documents, chosen by a hash of
-their id among those with crc32(doc_id as text) mod 5 other than 0, of each the first ``DOC_BYTES`` (parameters of the sample; every document is scored
-whole). Grams of ``ORDER`` bytes (texts start after zero bytes) are counted in map tasks and summed. Continuation counts, context
-totals and discounts are grouped, and probabilities joined, order by order, on keys of (context) and (suffix), which Spark shards by
-hash. Grams of the highest order are cut off from the rarest until at most ``GRAMS`` are left, so the tables sent to the scoring tasks
-are bounded; contexts keep the mass of what was cut.
+Trusted documents are labelled quality 1. The model is counted over the whole texts of all of them with crc32(doc_id as text) mod 5 other than 0. Grams of
+``ORDER`` bytes (texts start after zero bytes) are counted in map tasks and summed. Continuation counts, context totals and discounts are grouped, and
+probabilities joined, order by order, on keys of (context) and (suffix), which Spark shards by hash. No gram is cut off.
+
+Scoring: each text's grams are counted, and the (document, gram, count) rows of a group of texts packed by shard. A shard is a hash of the last two bytes of a
+gram's context, so it holds the grams and contexts of the orders above 2 that its rows can fall back to; orders 1 and 2, at most 256 and 65,536 grams, go to
+every task. Packed rows meet the shard's table in one shuffle, and each document's losses are summed over the shards.
 
 A document's perplexity is exp of the mean -log p of its bytes. Its threshold is the ``QUANTILE`` of the perplexities of all trusted documents of its lang,
 or of all trusted documents where its lang (null included) has none.
@@ -21,15 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.arrow import id_remainder, map_texts, small_batches
+from ledgerloom.llm.arrow import id_remainder, small_batches
 from ledgerloom.session import materialize
 
 ORDER = 4
-DOCS, DOC_BYTES, GRAMS = 4000, 4096, 1_000_000
+#: Shards of the tables, as a power of two; each is held by several tasks where there are more partitions.
+SHARD_BITS = 6
+PACK_BYTES = 4 << 20
 QUANTILE = 0.995
 HELD_OUT = 5
 
@@ -84,44 +89,55 @@ class Model:
             part = code & np.uint32((1 << 8 * k) - 1)
             known, at = _find(self.gram[k - 1], part)
             has, where = _find(self.context[k - 1], part >> np.uint32(8))
-            out = np.where(has, self.mass[k - 1][where], 1.0) * out
+            out[has] *= self.mass[k - 1][where[has]]
             out[known] = self.p[k - 1][at[known]]
         return out
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
     at = np.searchsorted(table, x)
     at[at == len(table)] = 0
     return table[at] == x, at
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, keep: int = GRAMS) -> Model | None:
-    """The model of (gram, c); None without grams. Probabilities are joined in Spark; the tables collected hold at most ``keep`` grams an order."""
+def tables(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> list[tuple[DataFrame, DataFrame]] | None:
+    """For each order from 1, (gram, p) and (context, mass), joined in Spark from (gram, c); None without grams. ``keep``, for tests, cuts off rare grams."""
     level = materialize(counts, "counts")
     levels = [level]
     for k in range(order - 1, 0, -1):  # lower orders count the different bytes before a gram
         level = materialize(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "counts")
         levels.append(level)
-    model, lower = Model([], [], [], []), None
+    out, lower = [], None
     for k, level in enumerate(reversed(levels), 1):
         of = {r["c"]: r["n"] for r in level.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         d = discounts(of)
         level = level.withColumn("d", F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])).withColumn("context", F.shiftright("gram", 8))
         cut = 0
-        while (n := level.filter(F.col("c") > cut).count()) > keep:
+        while (n := level.filter(F.col("c") > cut).count()) > (n if keep is None else keep):
             cut = max(1, 2 * cut)
         if not n and not cut:
             return None
         contexts = level.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") > cut, F.col("d")).otherwise(F.col("c").cast("double"))).alias("left"))
-        contexts = contexts.select("context", "total", (F.col("left") / F.col("total")).alias("mass"))
+        contexts = materialize(contexts.select("context", "total", (F.col("left") / F.col("total")).alias("mass")), "contexts")
         p = level.filter(F.col("c") > cut).join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
         below = F.lit(1 / 256)
         if lower is not None:
             p = p.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
             below = F.col("below")
         lower = materialize(p.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("mass") * below).alias("p")), "probabilities")
-        found = lower.orderBy("gram").toPandas()
-        masses = contexts.filter(F.col("mass").isNotNull()).select("context", "mass").join(lower.select(F.shiftright("gram", 8).alias("context")).distinct(), "context").orderBy("context").toPandas()
+        if cut:
+            contexts = contexts.join(lower.select(F.shiftright("gram", 8).alias("context")).distinct(), "context")
+        out.append((lower, contexts.select("context", "mass")))
+    return out
+
+
+def collect(parts: list[tuple[DataFrame, DataFrame]]) -> Model:
+    """The model of some orders' tables, on the driver."""
+    model = Model([], [], [], [])
+    for probabilities, contexts in parts:
+        found, masses = probabilities.orderBy("gram").toPandas(), contexts.orderBy("context").toPandas()
         model.gram.append(found["gram"].to_numpy().astype(np.uint32))
         model.p.append(found["p"].to_numpy())
         model.context.append(masses["context"].to_numpy().astype(np.uint32))
@@ -129,35 +145,161 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, keep: int = GRAMS) -> Mode
     return model
 
 
+def kneser_ney(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> Model | None:
+    """The whole model of (gram, c) on the driver, for small counts; None without grams."""
+    parts = tables(counts, order, keep)
+    return None if parts is None else collect(parts)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = DOCS, sample_bytes: int = DOC_BYTES) -> Model | None:
-    few = trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0).orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality"))).limit(sample_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi")  # at most sample_docs ids
-    return kneser_ney(gram_counts(texts.select(F.substring("text", 1, sample_bytes).alias("text"))))
+def train(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """The tables of the whole texts of all trusted documents that aren't held out."""
+    ours = trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0)
+    return tables(gram_counts(docs.select("doc_id", "text").join(ours, "doc_id", "left_semi")))
 
 
-def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
-    """(row, n_bytes, perplexity) of every document; no perplexity for an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS grams an order
+def shards(code: np.ndarray) -> np.ndarray:
+    """Shard of each gram: a hash of the last two bytes of its context."""
+    return ((code >> np.uint32(8) & np.uint32(0xFFFF)) * np.uint32(40503) & np.uint32(0xFFFF)) >> np.uint32(16 - SHARD_BITS)
+
+
+def _shard(context: str) -> Column:
+    """The same of a context in SQL."""
+    return F.expr(f"cast(shiftright((({context}) & 65535) * 40503 & 65535, {16 - SHARD_BITS}) as int)")
+
+
+def _pack(g: W.Texts) -> dict[int, list[bytes]]:
+    """By shard: its distinct grams, how many entries each has, and the entries' documents and counts (of 255 at most; a larger one has several entries)."""
+    code, n = grams(g.data, g.bounds), np.diff(g.bounds)
+    key = shards(code).astype(np.uint64) << np.uint64(48) | code.astype(np.uint64) << np.uint64(16) | np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    key, count = np.unique(key, return_counts=True)
+    times = (count + 254) // 255
+    last = np.cumsum(times) - 1
+    small = np.full(int(times.sum()), 255, np.uint8)
+    small[last] = count - 255 * (times - 1)
+    key = np.repeat(key, times)
+    doc, shard = (key & np.uint64(0xFFFF)).astype(np.uint16), key >> np.uint64(48)
+    edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+    out = {}
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        gram, per = np.unique((key[lo:hi] >> np.uint64(16)).astype(np.uint32), return_counts=True)
+        out[int(shard[lo])] = [gram.tobytes(), per.astype(np.uint32).tobytes(), doc[lo:hi].tobytes(), small[lo:hi].tobytes()]
+    return out
+
 
-    def start():
-        known = sent.value
+_BLOBS = ["grams", "per", "docs", "times"]
 
-        def work(texts: W.Texts) -> list:
-            n = np.diff(texts.bounds)
-            if known is None:
-                return [n, [256.0 if k else None for k in n]]
-            code, which = np.unique(grams(texts.data, texts.bounds), return_inverse=True)
-            loss = -np.log(known.probabilities(code))[which] if len(code) else np.zeros(0)
-            total = np.bincount(np.repeat(np.arange(len(n)), n), loss, minlength=len(n))
-            return [n, [float(x) if k else None for x, k in zip(np.exp(total / np.maximum(n, 1)), n, strict=True)]]
 
-        return work
+def _packed(docs: DataFrame, carry: list[str] | None, copies: int) -> DataFrame:
+    """Documents (kind 2: batch, place, row, n) and their packed grams (kind 1: batch, n documents, blobs), each with the task that takes it."""
+    row = F.struct("*") if carry is None else F.struct(*(F.col(f"`{c}`") for c in carry))
+    source = small_batches(docs).select(row.alias("row"), F.col("text").alias("text"))
+    tasks = copies << SHARD_BITS
 
-    return map_texts(docs, F.col("text"), "n_bytes bigint, perplexity double", start, carry=carry)
+    def run(batches):
+        uid = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for g in W.groups(batch.column("text"), PACK_BYTES):
+                rows = batch.column("row").slice(g.lo, g.hi - g.lo)
+                for lo in range(0, len(rows), 1 << 16):  # documents are numbered in 16 bits
+                    hi = min(len(rows), lo + (1 << 16))
+                    part = W.Texts(lo, hi, g.data[g.bounds[lo] : g.bounds[hi]], g.bounds[lo : hi + 1] - g.bounds[lo])
+                    n, place = hi - lo, np.arange(hi - lo)
+                    none = [pa.nulls(n, pa.binary())] * len(_BLOBS)
+                    yield pa.RecordBatch.from_arrays([pa.array(((uid + place) % tasks).astype(np.int32)), pa.array([2] * n, pa.int32()), pa.array([uid] * n, pa.int64()), pa.array(place.astype(np.int32)), pa.array(np.diff(part.bounds)), rows.slice(lo, n), *none], names=names)
+                    found = _pack(part)
+                    m = len(found)
+                    if m:
+                        to = [k * copies + uid % copies for k in found]
+                        blobs = [pa.array(list(x), pa.binary()) for x in zip(*found.values(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([1] * m, pa.int32()), pa.array([uid] * m, pa.int64()), pa.array(list(found), pa.int32()), pa.array([n] * m, pa.int64()), pa.nulls(m, rows.type), *blobs], names=names)
+                    uid += 1
+        pa.default_memory_pool().release_unused()
+
+    fields = T._parse_datatype_string("task int, kind int, batch bigint, place int, n bigint").fields
+    schema = T.StructType([*fields, T.StructField("row", source.schema["row"].dataType), *(T.StructField(x, T.BinaryType()) for x in _BLOBS)])
+    names = schema.names
+    return source.mapInArrow(run, schema)
+
+
+def _lose(sent, mid: T.StructType):
+    """Function over the rows of a task, by task and kind: the shard's tables (kind 0), then packed grams, then documents."""
+
+    def run(batches):
+        task, model, chunks = None, None, []
+        for batch in batches:
+            owner, kind = batch.column("task").to_numpy(), batch.column("kind").to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1]))), len(owner)) if len(owner) else np.zeros(1, np.int64)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if owner[lo] != task:
+                    task, model, chunks = owner[lo], None, []
+                rows = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    chunks.append([rows.column(c).to_numpy(zero_copy_only=False) for c in ("level", "gram", "value")])
+                    continue
+                if kind[lo] == 2:
+                    yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("batch", "place", "n", "row")] + [pa.nulls(len(rows), pa.binary())], names=mid.names)
+                    continue
+                if model is None:
+                    model = _shard_model(sent.value, chunks)
+                sums = []
+                for n, *blobs in zip(*(rows.column(c).to_pylist() for c in ("n", *_BLOBS)), strict=True):
+                    gram, per, doc, times = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+                    sums.append(np.bincount(doc, np.repeat(-np.log(model.probabilities(gram)), per) * times, minlength=n).tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("place"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), rows.column("row").type), pa.array(sums, pa.binary())], names=mid.names)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _shard_model(low: Model, chunks: list) -> Model:
+    """Orders 1 and 2 from the broadcast, those above from rows (2 * order for grams, 2 * order + 1 for contexts), sorted."""
+    level, code, value = (np.concatenate(x) for x in zip(*chunks, strict=True)) if chunks else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    model = Model([*low.gram], [*low.p], [*low.context], [*low.mass])
+    for k in range(len(low.gram) + 1, ORDER + 1):
+        own, contexts = level == 2 * k, level == 2 * k + 1
+        model.gram.append(code[own].astype(np.uint32))
+        model.p.append(value[own])
+        model.context.append(code[contexts].astype(np.uint32))
+        model.mass.append(value[contexts])
+    return model
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Losses of a batch's documents, summed shard by shard in order, so that equal texts get equal sums."""
+    table = table.sort_by("place")
+    loss = sum(np.frombuffer(x, np.float64) for x in table["sums"].to_pylist())
+    n = len(loss)
+    return pa.table({"batch": pa.array([table["batch"][0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n, dtype=np.int32)), "loss": pa.array(loss)})
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]] | None, carry: list[str] | None = None) -> DataFrame:
+    """(row, n_bytes, perplexity) of every document; no perplexity for an empty text."""
+    if model is None:
+        row = F.struct("*") if carry is None else F.struct(*(F.col(f"`{c}`") for c in carry))
+        n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+        return docs.select(row.alias("row"), n.alias("n_bytes"), F.when(n > 0, F.lit(256.0)).alias("perplexity"))
+    spark = docs.sparkSession
+    copies = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) >> SHARD_BITS)
+    sent = spark.sparkContext.broadcast(collect(model[:2]))  # at most 256 + 65,536 grams
+    packed = _packed(docs, carry, copies)
+    parts = []
+    for k, (probabilities, contexts) in enumerate(model[2:], 3):
+        parts.append(probabilities.select(_shard("shiftright(gram, 8)").alias("shard"), F.lit(2 * k).alias("level"), "gram", F.col("p").alias("value")))
+        parts.append(contexts.select(_shard("context").alias("shard"), F.lit(2 * k + 1).alias("level"), F.col("context").alias("gram"), F.col("mass").alias("value")))
+    shared = parts[0]
+    for x in parts[1:]:
+        shared = shared.unionByName(x)
+    shared = shared.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("shard") * copies + F.col("copy")).alias("task"), F.lit(0).alias("kind"), "level", "gram", "value")
+    dealt = packed.unionByName(shared, allowMissingColumns=True).repartitionById(copies << SHARD_BITS, "task").sortWithinPartitions("task", "kind", "level", "gram")
+    mid = T.StructType([*T._parse_datatype_string("batch bigint, place int, n bigint").fields, T.StructField("row", packed.schema["row"].dataType), T.StructField("sums", T.BinaryType())])
+    found = materialize(dealt.mapInArrow(_lose(sent, mid), mid), "losses")
+    losses = found.filter("sums IS NOT NULL").select("batch", "place", "sums").groupBy("batch").applyInArrow(_add, "batch bigint, place int, loss double")
+    out = found.filter("sums IS NULL").select("batch", "place", "row", F.col("n").alias("n_bytes")).join(losses, ["batch", "place"], "left")
+    return out.select("row", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("loss") / F.col("n_bytes"))).alias("perplexity"))
 
 
 def classify(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
