@@ -2,12 +2,13 @@
 
 A word (folded letters, digits, non-ASCII) between < and > gives its byte 3- to 5-grams, hashed into ``BUCKETS`` embeddings. The
 embeddings of ``SPAN`` consecutive words (words averaged, each the average of its subwords) go into a softmax over clean and
-toxic. A text is toxic if one of its spans is: its score is 1 - prod(1 - p) over all spans, and training goes through that product, so labels
-of whole documents teach which words they are about. An unseen misspelling shares most subwords with words seen.
+toxic. A text is toxic if one of its spans is: its score is the largest p over all runs of ``SPAN`` words (a shorter text is one run), so the small p of many clean
+runs don't add up with length, and texts joined score what the largest of them or a run across a seam does. Training goes through 1 - prod(1 - p) over the
+``STRONGEST`` spans of a document, so labels of whole documents teach which words they are about. An unseen misspelling shares most subwords with words seen.
 
-Training is on a bounded sample of labelled rows: up to ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean documents of at most
-``MAX_BYTES`` (parameters), chosen by a hash of their id among those with crc32(doc_id as text) mod 5 other than 0. Every whole text is
-scored. Inside a score only the text counts.
+Training is on a bounded sample of labelled rows: up to ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean documents (and ``ALL_BYTES`` of text of each kind), chosen
+by a hash of their id among those with crc32(doc_id as text) mod 5 other than 0. Texts are whole up to ``MAX_BYTES``; of a longer one a piece of a quarter as many
+characters is taken from a place chosen by its id's hash, for toxic ones too. Every whole text is scored. Inside a score only the text counts.
 
 Defined results: null, empty and wordless texts have score 0; a doc_id with several labels takes the largest; without labels of both kinds
 every score is 0; repeated rows get equal scores.
@@ -26,7 +27,8 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 SIZES = (3, 4, 5)
 SPAN = 4
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 4000, 16 << 10
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, ALL_BYTES = 1500, 4000, 1 << 20, 24 << 20
+STRONGEST = 64
 HELD_OUT = 5
 EPOCHS, UPDATES, BATCH, RATE, START_BIAS, TOXIC_WEIGHT = 8, 300, 128, 0.4, -5.0, 2.0
 _UP, _DOWN = np.uint8(ord("<")), np.uint8(ord(">"))
@@ -60,15 +62,6 @@ class Subwords:
             h = W.run_hashes(values, n)[at]
             yield self.of[at], (h >> np.uint64(40)).astype(np.int64) & (buckets - 1)
 
-    def spans(self, rows: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-        """Span of each word, and row of each span: ``span`` consecutive words of a row."""
-        row = self.words.row
-        count = np.bincount(row, minlength=rows)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        per = -(-count // span)
-        first = np.cumsum(per) - per
-        return first[row] + inside // span, np.repeat(np.arange(rows), per)
-
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
@@ -126,9 +119,11 @@ class Model:
                 in_span = np.bincount(span)
                 z = np.bincount(span, per_word[local]) / in_span + self.bias
                 p = 1 / (1 + np.exp(-z))
-                total = np.bincount(row, _softplus(z), minlength=len(docs))
+                strong = strongest(z, row)
+                total = np.bincount(row[strong], _softplus(z[strong]), minlength=len(docs))
                 pull = np.where(y == 1, -TOXIC_WEIGHT / np.expm1(np.clip(total, 1e-6, 50)), 1.0)  # d loss / d total
-                dz = p * pull[row]
+                dz = np.zeros(len(z))
+                dz[strong] = (p * pull[row])[strong]
                 d_word = np.bincount(local, (dz / in_span)[span]) / n_sub[distinct]
                 c = np.bincount(subs, d_word[owner], minlength=BUCKETS).astype(np.float32)
                 hit = np.flatnonzero(c)
@@ -150,8 +145,16 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - count), count)
 
 
+def strongest(z: np.ndarray, row: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Which spans are among the ``n`` (STRONGEST) of their row with the largest z; rows are in order."""
+    order = np.lexsort((-z, row))
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return order[rank < (STRONGEST if n is None else n)]
+
+
 def text_scores(texts: W.Texts, logits: np.ndarray, bias: float) -> np.ndarray:
-    """1 - prod(1 - p) over the spans of each text."""
+    """The largest p over all runs of SPAN words of each text."""
     rows = texts.hi - texts.lo
     s = Subwords(texts)
     if not s.n:
@@ -160,20 +163,40 @@ def text_scores(texts: W.Texts, logits: np.ndarray, bias: float) -> np.ndarray:
     for word, bucket in s.grams(len(logits)):
         total += np.bincount(word, logits[bucket], minlength=s.n)
         n += np.bincount(word, minlength=s.n)
-    span, row = s.spans(rows)
-    z = np.bincount(span, (total / n)[s.which]) / np.bincount(span) + bias
-    return -np.expm1(-np.bincount(row, _softplus(z), minlength=rows))
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> list:
-    """At most max_toxic + max_clean rows (text, toxic), toxic and clean each the first by a hash of the id."""
+    x, row = (total / n)[s.which], s.words.row
+    count = np.bincount(row, minlength=rows)
+    wide = np.minimum(count, SPAN)[row]
+    at = np.flatnonzero(np.arange(len(x)) + wide <= np.cumsum(count)[row])
+    z = np.zeros(len(at))
+    for k in range(SPAN):  # place by place, so that equal texts get equal sums
+        more = np.flatnonzero(wide[at] > k)
+        z[more] += x[at[more] + k]
+    best = np.full(rows, -np.inf)
+    np.maximum.at(best, row[at], z / wide[at] + bias)
+    return 1 / (1 + np.exp(-best))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES, all_bytes: int = ALL_BYTES) -> list:
+    """At most max_toxic + max_clean rows (text, toxic), toxic and clean each the first by a hash of the id, of at most all_bytes each."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder("doc_id", HELD_OUT) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("toxicity")))
-    # half as many again, as some have no text or too much of it
-    few = [marked.filter(kind).orderBy("order").limit(n + n // 2) for kind, n in (("toxic = 1", max_toxic), ("toxic = 0", max_clean))]
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes)
-    found = [texts.join(F.broadcast(x), "doc_id").orderBy("order", "text").limit(n).select("text", "toxic").collect() for x, n in zip(few, (max_toxic, max_clean), strict=True)]
-    return [r for rows in found for r in rows]
+    # a text beyond max_bytes gives a piece from a place by its id's hash; a character has up to 4 bytes
+    size = max_bytes // 4
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), F.greatest(F.length("text") - size, F.lit(1))).cast("int") + 1
+    texts = docs.filter("text IS NOT NULL").select("doc_id", F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.col("text").substr(place, F.lit(size))).alias("text"))
+    out = []
+    for kind, n in (("toxic = 1", max_toxic), ("toxic = 0", max_clean)):
+        few = marked.filter(kind).orderBy("order").limit(n + n // 2)  # half as many again, as some have no text
+        sizes = texts.join(F.broadcast(few), "doc_id").select("order", F.octet_length("text").alias("n")).orderBy("order", "n").limit(n).collect()
+        used, last = 0, None
+        for r in sizes:
+            used += r["n"]
+            if last is not None and used > all_bytes:
+                break
+            last = r["order"]
+        if last is not None:
+            out += texts.join(F.broadcast(few.filter(F.col("order") <= last)), "doc_id").orderBy("order", "text").limit(n).select("text", "toxic").collect()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, float] | None:
