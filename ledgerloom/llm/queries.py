@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, embedding_dedup, language, maxent, mix, near_duplicates, private_data, quality, records, toxicity
+from ledgerloom.llm import byte_bpe, centroids, decontaminate, embedding_dedup, language, maxent, merkle, mix, near_duplicates, private_data, quality, records, toxicity
 from ledgerloom.session import read_table
 
 
@@ -66,6 +66,23 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, and the root of its version where it is tampered with."""
+    return merkle.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and what they decode to."""
+    import public_tokenizers
+
+    return byte_bpe.digest(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding."""
+    return centroids.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -77,10 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_records": op9_records,
     "op10_private_data": op10_private_data,
+    "op11_merkle": op11_merkle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_embedding_dedup": embedding_dedup.ORACLE,
     "op3_mix": mix.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
