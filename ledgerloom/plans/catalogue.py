@@ -484,6 +484,50 @@ def q_ocr_confidence(spark, sf_dir):
     return ocr.confidence_by_page(ocr_source(spark, sf_dir))
 
 
+@query("ocr_confidence_quantiles", """
+SELECT statement_id, CAST(count(*) AS BIGINT) AS n_cells, r.rank, quantile_disc(confidence, 0.1) AS q10, quantile_disc(confidence, 0.5) AS q50,
+       quantile_disc(confidence, 0.9) AS q90, TRUE AS within_bound
+FROM ocr_cell_list, (SELECT unnest([CAST(0.1 AS DOUBLE), 0.5, 0.9]) AS rank) r GROUP BY statement_id, r.rank""")
+def q_ocr_confidence_quantiles(spark, sf_dir):
+    """Quantiles of confidence per statement from the stored sketches of its pages, held against the exact ones: the share of cells below each is
+    within the sketch's bound of the rank asked for."""
+    pages = ocr_source(spark, sf_dir)
+    sketches = materialize(ocr.confidence_sketches(pages), "confidence_sketches")
+    found = ocr.confidence_quantiles(sketches, ["statement_id"], [0.1, 0.5, 0.9])
+    cells = materialize(ocr.table_cells(pages).select("statement_id", "confidence"), "confidences")
+    exact = cells.groupBy("statement_id").agg(
+        *(F.expr(f"percentile_disc({r}) WITHIN GROUP (ORDER BY confidence)").alias(n) for r, n in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90")))
+    )
+    known = cells.groupBy("statement_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    at = found.join(known.withColumnRenamed("confidence", "known"), "statement_id").groupBy("statement_id", "n_cells", "rank").agg(
+        F.sum(F.when(F.col("known") < F.col("confidence"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("known") <= F.col("confidence"), F.col("n")).otherwise(0)).alias("up_to"),
+    )
+    slack = 1 + F.col("n_cells") * (2.3 / ocr.SKETCH_K**0.9021)
+    within = (F.col("below") <= F.col("rank") * F.col("n_cells") + slack) & (F.col("up_to") >= F.col("rank") * F.col("n_cells") - slack)
+    return at.join(exact, "statement_id").select("statement_id", "n_cells", "rank", "q10", "q50", "q90", within.alias("within_bound"))
+
+
+def redelivered_source(spark, sf_dir) -> DataFrame:
+    return read_ocr_pages(spark, fx.ocr_redelivered_files(spark, sf_dir))
+
+
+@query("ocr_redelivery", f"""
+SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY line_no) AS BIGINT) AS line_no, page_no, {oracle_norm('date')} AS date,
+       {oracle_norm('particulars')} AS particulars, {oracle_norm('vch_no')} AS vch_no, {oracle_norm('debit')} AS debit, {oracle_norm('credit')} AS credit
+FROM ocr_lines l WHERE NOT EXISTS (SELECT 1 FROM ocr_lost x WHERE x.statement_id = l.statement_id AND x.page_no = l.page_no)""")
+def q_ocr_redelivery(spark, sf_dir):
+    """Rows from responses of which some pages came twice, alike or in another form: the last response of each page counts."""
+    rows = ocr.statement_rows(redelivered_source(spark, sf_dir))
+    return rows.select("statement_id", "line_no", "page_no", "date", "particulars", "vch_no", "debit", "credit")
+
+
+@query("ocr_gaps", "SELECT statement_id, page_no AS from_page, page_no AS to_page FROM ocr_lost")
+def q_ocr_gaps(spark, sf_dir):
+    """Pages that are missing between pages that have arrived."""
+    return ocr.page_gaps(redelivered_source(spark, sf_dir))
+
+
 @query("page_concat", "SELECT statement_id, line_no, page_no, row_index FROM ocr_lines")
 def q_page_concat(spark, sf_dir):
     """The rows of all tables and pages of a statement, numbered in page order."""

@@ -408,3 +408,30 @@ def ocr_files(spark: SparkSession, sf_dir: str) -> str:
         return path
 
     return _memo(spark, sf_dir, "ocr_files", build)
+
+
+def lost_page(k, page_no, last_page):
+    """Pages that never arrive in the redelivered responses: the second page of every seventh statement that has a third."""
+    return (k % 7 == 2) & (page_no == 2) & (last_page > 2)
+
+
+def ocr_redelivered_files(spark: SparkSession, sf_dir: str) -> str:
+    """The OCR responses as a queue delivers them: with their time of arrival, every tenth page first in another form (each word misread), every
+    tenth twice alike, and some pages lost."""
+    from ..session import scratch_path
+
+    def build():
+        pages = ocr_pages(spark, sf_dir)
+        k = F.substring(F.col("statement_id"), -9, 9).cast("long")
+        last = pages.groupBy("statement_id").agg(F.max("page_no").alias("last_page"))
+        pages = join_per_key(pages, last, "statement_id", name="fx_last_page").where(~lost_page(k, F.col("page_no"), F.col("last_page"))).drop("last_page")
+        at = lambda text: F.lit(text).alias("arrival")
+        turn = (k + F.col("page_no")) % 10
+        misread = F.transform("Blocks", lambda b: b.withField("Text", F.concat(F.lit("x"), b["Text"])))
+        first = pages.where(turn == 0).select("statement_id", "page_no", misread.alias("Blocks"), at("2024-04-01T10:00:00Z"))
+        again = pages.where(turn == 5).select("statement_id", "page_no", "Blocks", at("2024-04-02T10:00:00Z"))
+        path = scratch_path(spark, "ocr_redelivered")
+        pages.select("statement_id", "page_no", "Blocks", at("2024-04-02T10:00:00Z")).unionByName(first).unionByName(again).write.mode("overwrite").json(path)
+        return path
+
+    return _memo(spark, sf_dir, "ocr_redelivered", build)

@@ -289,6 +289,10 @@ cte("ocr_cell_list", f"""
                                           'Debit', 'Credit', '']) AS text) c
   WHERE NOT (page_no >= 2 AND CAST(right(statement_id, 9) AS BIGINT) % 3 = 0)""")
 
+cte("ocr_lost", """
+  SELECT statement_id, page_no FROM (SELECT statement_id, page_no, max(page_no) OVER (PARTITION BY statement_id) AS last_page FROM ocr_lines) x
+  WHERE CAST(right(statement_id, 9) AS BIGINT) % 7 = 2 AND page_no = 2 AND last_page > 2 GROUP BY ALL""")
+
 
 # ------------------------------------------------------------------ the reconciliation again, book B = cleaned statement
 _CHAIN = ["pairs", "ka", "kb", "ma", "mb", "pts", "v0", "ob", "ook", "verdict", "ra", "rb", "ua", "ub", "gold_a", "gold_b", "gold"]
