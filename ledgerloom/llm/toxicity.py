@@ -17,6 +17,7 @@ every score is 0; repeated rows get equal scores.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ SIZES = (3, 4, 5)
 SPAN = 4
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES, ALL_BYTES = 1500, 4000, 1 << 20, 24 << 20
 STRONGEST = 64
+TRAIN_GROUP = 256 << 10
 HELD_OUT = 5
 EPOCHS, UPDATES, BATCH, RATE, START_BIAS, TOXIC_WEIGHT = 8, 300, 128, 0.4, -5.0, 2.0
 _UP, _DOWN = np.uint8(ord("<")), np.uint8(ord(">"))
@@ -40,7 +42,7 @@ class Subwords:
     def __init__(self, texts: W.Texts) -> None:
         self.words = W.words(texts, W.ALNUM)
         w = self.words
-        _, first, self.which = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.hash, first, self.which = np.unique(w.hash, return_index=True, return_inverse=True)
         self.n = len(first)
         length = w.end[first] - w.start[first]
         wide = length + 2
@@ -80,22 +82,10 @@ class Model:
         """What each embedding adds to the logit of toxic over clean."""
         return self.embedding @ (self.out[1] - self.out[0])
 
-    def train(self, texts: list[str], labels: np.ndarray, seed: int = 7) -> None:
-        import pyarrow as pa
-
-        data = next(W.groups(pa.array(texts, pa.large_string()), 1 << 62))
-        s = Subwords(data)
-        parts = [(np.bincount(word, minlength=s.n), bucket.astype(np.int32)) for word, bucket in s.grams()]
-        n_sub = sum(n for n, _ in parts)
-        first = np.cumsum(n_sub) - n_sub
-        bucket, at = np.empty(int(n_sub.sum()), np.int32), first.copy()
-        while parts:  # subwords by word, sizes one after the other
-            n, some = parts.pop()
-            bucket[_ranges(at, n)] = some
-            at += n
-        del s.data, s.of, some
-        words_of = np.concatenate([[0], np.cumsum(np.bincount(s.words.row, minlength=len(texts)))])
-        which, rng = s.which, np.random.default_rng(seed)
+    def train(self, texts, labels: np.ndarray, seed: int = 7) -> None:
+        """``texts``: strings, or an Arrow array of them."""
+        words_of, which, bucket, first, n_sub = _training_words(texts)
+        rng = np.random.default_rng(seed)
         g_embedding, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(DIMENSION, 1e-6), 1e-6
         for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(texts)))):  # small samples get more epochs
             shuffled = rng.permutation(len(texts))
@@ -139,6 +129,44 @@ class Model:
                 self.bias -= 0.3 * RATE * d_bias / np.sqrt(g_bias)
 
 
+def _training_words(texts) -> tuple[np.ndarray, ...]:
+    """(first word of each text, number of the distinct word of each word, subwords of the distinct words, their first and how many each has).
+
+    Words are found in groups of texts, so that of each word only a 32-bit number stays."""
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, (list, tuple)) else texts
+    none = np.zeros(0, np.int64)
+    counts, which, sizes, buckets = [none], [none.astype(np.int32)], [none], [none.astype(np.int32)]
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of the words seen, sorted, and the order in which they came
+    for group in W.groups(texts, TRAIN_GROUP):
+        s = Subwords(group)
+        counts.append(np.bincount(s.words.row, minlength=group.hi - group.lo))
+        parts = [(word, bucket.astype(np.int32)) for word, bucket in s.grams()]
+        new = ~np.isin(s.hash, known, assume_unique=True)
+        parts = [(word[new[word]], bucket[new[word]]) for word, bucket in parts]
+        n = sum((np.bincount(word, minlength=s.n) for word, _ in parts), np.zeros(s.n, np.int64))
+        at = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int32)
+        while parts:  # subwords by word, sizes one after the other
+            word, some = parts.pop()
+            k = np.bincount(word, minlength=s.n)
+            out[_ranges(at, k)] = some
+            at += k
+        sizes.append(n[new])
+        buckets.append(out)
+        known, number = np.concatenate([known, s.hash[new]]), np.concatenate([number, len(number) + np.arange(new.sum(), dtype=np.int32)])
+        order = np.argsort(known, kind="stable")
+        known, number = known[order], number[order]
+        which.append(number[np.searchsorted(known, s.hash)][s.which])
+    # words are numbered by their hash
+    rank = np.empty(len(number), np.int32)
+    rank[number] = np.arange(len(number), dtype=np.int32)
+    n_sub, came = np.concatenate(sizes), np.concatenate(buckets)
+    del buckets
+    first, n_sub = (np.cumsum(n_sub) - n_sub)[number], n_sub[number]
+    bucket = np.concatenate([none.astype(np.int32), *(came[_ranges(first[i : i + 4096], n_sub[i : i + 4096])] for i in range(0, len(number), 4096))])
+    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), rank[np.concatenate(which)], bucket, np.cumsum(n_sub) - n_sub, n_sub
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for each start and count, end to end."""
     to = np.cumsum(count)
@@ -176,15 +204,15 @@ def text_scores(texts: W.Texts, logits: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES, all_bytes: int = ALL_BYTES) -> list:
-    """At most max_toxic + max_clean rows (text, toxic), toxic and clean each the first by a hash of the id, of at most all_bytes each."""
+def training_table(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES, all_bytes: int = ALL_BYTES) -> pa.Table:
+    """At most max_toxic + max_clean rows (text, toxic) as an Arrow table, toxic and clean each the first by a hash of the id, of at most all_bytes each."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_remainder("doc_id", HELD_OUT) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("toxicity")))
     # a text beyond max_bytes gives a piece from a place by its id's hash; a character has up to 4 bytes
     size = max_bytes // 4
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), F.greatest(F.length("text") - size, F.lit(1))).cast("int") + 1
     texts = docs.filter("text IS NOT NULL").select("doc_id", F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.col("text").substr(place, F.lit(size))).alias("text"))
-    out = []
+    out = [pa.table({"text": pa.array([], pa.large_string()), "toxic": pa.array([], pa.int64())})]
     for kind, n in (("toxic = 1", max_toxic), ("toxic = 0", max_clean)):
         few = marked.filter(kind).orderBy("order").limit(n + n // 2)  # half as many again, as some have no text
         sizes = texts.join(F.broadcast(few), "doc_id").select("order", F.octet_length("text").alias("n")).orderBy("order", "n").limit(n).collect()
@@ -195,18 +223,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
                 break
             last = r["order"]
         if last is not None:
-            out += texts.join(F.broadcast(few.filter(F.col("order") <= last)), "doc_id").orderBy("order", "text").limit(n).select("text", "toxic").collect()
-    return out
+            some = texts.join(F.broadcast(few.filter(F.col("order") <= last)), "doc_id").orderBy("order", "text").limit(n).select("text", "toxic").toArrow()
+            out.append(some.cast(out[0].schema))
+    return pa.concat_tables(out)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, **bounds) -> list:
+    """The rows of ``training_table``."""
+    return training_table(docs, labels, **bounds).to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, float] | None:
     """Logits of the subwords and the bias; None without both kinds of labels."""
-    sample = training_sample(docs, labels, **bounds)
-    y = np.array([r["toxic"] for r in sample])
+    sample = training_table(docs, labels, **bounds)
+    y = sample.column("toxic").to_numpy()
     if not (len(y) and (y == 1).any() and (y == 0).any()):
         return None
     model = Model()
-    model.train([r["text"] for r in sample], y)
+    model.train(sample.column("text").combine_chunks(), y)
+    del sample
+    pa.default_memory_pool().release_unused()
     return model.subword_logits(), float(model.bias)
 
 
