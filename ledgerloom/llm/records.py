@@ -10,19 +10,22 @@ A record, little-endian::
 
 The mask rotates a checksum right by 15 bits and adds 0xA282EAD8, so that a checksum stored in data that is itself
 checksummed stays useful. Files are written by Spark's text writer (the line feed is its line end), so they reach any
-store Spark can write and a retried task leaves no second copy. Ids ascend over the files in name order; documents without an id come
+store Spark can write and a retried task leaves no second copy. Ids ascend over the files in the order of the numbers in their names; documents without an id come
 first. The index is a Parquet table (file, record, doc_id, offset, length, start, n_tokens): a reader shuffles its rows and fetches
 records by offset, without reading the files in order.
 
-Encoding is done word by word: white space never joins two words of these tokenizers, so each distinct
-word of a group of texts is encoded once and documents are put together by numpy.
+Where the tokenizer file says that it normalises and splits as ``NORMALIZER`` and ``PRE_TOKENIZER`` do, encoding is done word by word: white space never joins two
+words then, so each distinct word of a group of texts is encoded once and documents are put together by numpy. With any other file the
+library encodes whole texts.
 
 Defined results: null text is empty and gets the end id alone; repeated rows are repeated records; equal ids are ordered by a
-hash of the text; an empty table gives an index without rows.
+hash of the text and, with the same hash, by their place in the input, which also deals rows of one id to several files; an empty table gives an index
+without rows; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -35,10 +38,22 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
 from ledgerloom.llm.arrow import small_batches
-from ledgerloom.session import scratch_path
+from ledgerloom.session import materialize, scratch_path
 
 END_ID = 2
 FILE_BYTES = 16 << 20
+#: Beyond this many files they grow instead.
+MAX_FILES = 1_000_000
+FILES_PER_BLOCK = 1000
+#: How a tokenizer file has to normalise and split for words to be encoded one by one
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 CACHE_WORDS = 300_000
 GROUP_BYTES = 2 << 20
 _MARKS = b"!#$%&()*+,-./:;=?@[]^_{|}~"
@@ -102,6 +117,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            form = json.load(f)
+        self.by_words = form.get("normalizer") == NORMALIZER and form.get("pre_tokenizer") == PRE_TOKENIZER
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "<%dI" if wide else "<%dH"
         self.tokenize, self.cache, self.cache_words = self.tokenizer.model.tokenize, {}, cache_words
@@ -173,6 +191,12 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: W.Texts, encoder: WordEncoder, fold: bool) -> Iterator[bytes]:
     """The ids of each row of a group, as bytes. ``fold``: the tokenizer lower-cases, so words are folded first."""
+    if not encoder.by_words:
+        data, bounds = texts.data.tobytes(), texts.bounds.tolist()
+        whole = [data[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for e in encoder.tokenizer.encode_batch_fast(whole, add_special_tokens=False):
+            yield encoder._pack(e.ids)
+        return
     if fold and b"<|" not in texts.data.tobytes():  # special tokens are matched as written, before the tokenizer lower-cases
         texts = W.Texts(texts.lo, texts.hi, _lower(texts.data), texts.bounds)
     w = W.words(texts, W.NOT_SPACE, np.arange(256, dtype=np.uint8))
@@ -199,13 +223,14 @@ def encode_texts(texts: W.Texts, encoder: WordEncoder, fold: bool) -> Iterator[b
         yield out[a:b]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, fold: bool = True, file_bytes: int = FILE_BYTES) -> str:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, fold: bool = True, file_bytes: int | None = None) -> str:
     """Encodes the documents and writes them below ``path``: record files in ``records``, the index in ``index``.
 
     ``fold`` is for tokenizers that lower-case their input. Returns ``path``."""
     spark = docs.sparkSession
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).head()
-    files = max(1, int(sizes["b"] or 0) // file_bytes, sizes["n"] * 32 // file_bytes)  # ids take less room than their text
+    bytes_out = max(int(sizes["b"] or 0), sizes["n"] * 32)  # ids take less room than their text
+    files = max(1, bytes_out // (file_bytes or max(FILE_BYTES, bytes_out // MAX_FILES)))
 
     def run(batches):
         encoder = WordEncoder(tokenizer)
@@ -220,9 +245,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, fold
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (
-        small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(files, "doc_id", "hash", "place")
+        .sortWithinPartitions("doc_id", "hash", "place")
         .mapInArrow(run, "record binary")
         .select(F.col("record").cast("string").alias("value"))
         .write.mode("overwrite")
@@ -258,16 +283,21 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, path: str) -> DataFrame:
-    """The scanned records with ``start``: ids of all records before, over all files in name order.
+    """The scanned records with ``start``: ids of all records before, over all files in the order of their numbers.
+
+    The files are read once, their rows written. Totals of files are summed in two levels, so no task sees one row a file."""
+    return with_starts(materialize(scan(spark, path), "record_rows"))
+
 
-    Totals of files are summed in two levels, so no task sees one row a file."""
-    rows = scan(spark, path)
+def with_starts(rows: DataFrame) -> DataFrame:
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    totals = totals.withColumn("block", F.substring("file", 1, 8))  # part-NNN, the first digits of the file's number
+    # names have at least five digits, so from 100,000 files on their order isn't that of the numbers
+    totals = totals.withColumn("number", F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint"))
+    totals = totals.withColumn("block", F.floor(F.col("number") / FILES_PER_BLOCK))
     blocks = totals.groupBy("block").agg(F.sum("n").alias("n"))
     w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("block_start"))
-    w = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("block").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.join(blocks, "block").select("file", (F.col("block_start") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("file_start"))
     return rows.join(totals, "file").select("file", "record", "doc_id", "offset", "length", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

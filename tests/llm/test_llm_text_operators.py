@@ -219,3 +219,38 @@ def test_damage_is_noticed():
             records.unframe(broken)
     with pytest.raises(ValueError):
         records.unframe(data[:-4])
+
+
+def test_starts_follow_the_numbers_of_files(spark):
+    """Names have at least five digits: part-100000 comes after part-99999."""
+    rows = [(f"part-{n}-x.txt", 0, i, 0, 10, 0, i + 3, 0) for i, n in enumerate(("00000", "00999", "01000", "99999", "100000", "100001", "1000000"))]
+    names = [f.split()[0] for f in records._ROW.split(", ")]
+    got = records.with_starts(spark.createDataFrame(rows[::-1], names)).orderBy("doc_id").collect()
+    assert [r["start"] for r in got] == [0, 3, 7, 12, 18, 25, 33]
+
+
+def test_rows_of_one_id_go_to_several_files(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "same text of every row")] * 4000 + [(5, f"text {i}") for i in range(2000)], "doc_id bigint, text string").repartition(4)
+    path = records.write(docs, str(tmp_path / "r"), queries.tokenizer_path(), file_bytes=20_000)
+    index = records.read_index(spark, path)
+    files = {r["doc_id"]: r["n"] for r in index.groupBy("doc_id").agg(F.countDistinct("file").alias("n")).collect()}
+    assert files[None] >= 3 and files[5] >= 2 and index.count() == 6000
+    rows = sorted((r["start"], r["doc_id"] is not None, r["n_tokens"]) for r in index.collect())
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)  # documents without an id first
+    at = 0
+    for start, _, n in rows:
+        assert start == at
+        at += n
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A file that splits in another way isn't encoded word by word."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = records.WordEncoder(path)
+    assert not encoder.by_words and records.WordEncoder(queries.tokenizer_path()).by_words
+    texts = ["Two words  and\n\nspace ", "", "don't", "x" * 5000]
+    group = next(words.groups(pa.array(texts)))
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in records.encode_texts(group, encoder, False)] == want
