@@ -11,8 +11,20 @@ from .text import col_, first_word, repair_date_text
 
 # Statement date formats, tried in this order ("13-Aug-24", then "1-4-2024")
 STATEMENT_FORMATS = ("d-MMM-yy", "d-M-yyyy")
-# ERP export formats tried in order (ISO date, ISO timestamp)
+# ERP export formats (ISO date, ISO timestamp)
 ERP_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+# All forms a sheet's dates may have, in order of preference where several fit, each with the shape of its text; day before month comes first
+SHEET_FORMATS = (
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+)
 # Two-digit years 69..99 are 1969..1999, 00..68 are 2000..2068 (POSIX pivot)
 PIVOT_YEAR = 2069
 
@@ -43,3 +55,15 @@ def parse_erp_date(c, formats: Sequence[str] = ERP_FORMATS) -> Column:
     """First format that parses, else null."""
     s = F.trim(col_(c))
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
+
+
+def date_readings(c, formats: Sequence[tuple[str, str]] = SHEET_FORMATS) -> Column:
+    """The date that each format reads the text as, null where it doesn't fit. The shape is looked at first, so few formats are tried on a text."""
+    s = F.trim(col_(c))
+    return F.array(*[F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for f, shape in formats])
+
+
+def date_by_format(readings: Column, chosen: Column) -> Column:
+    """The reading by the file's format (its number, from 0); a text that doesn't fit it counts if all formats it fits agree on one date."""
+    others = F.array_distinct(F.filter(readings, lambda d: d.isNotNull()))
+    return F.coalesce(F.try_element_at(readings, chosen + 1), F.when(F.size(others) == 1, F.try_element_at(others, F.lit(1))))

@@ -38,6 +38,7 @@ from .joins import (
     join_per_key,
     needle_lengths,
 )
+from .silver import is_opening_line
 
 KEYS = ["party", "cparty"]
 
@@ -158,7 +159,7 @@ def balance_points(keyed: "Keyed", fiscal_start: str) -> DataFrame:
 def opening_balances(kb: DataFrame, fiscal_start: str) -> DataFrame:
     """B's opening line (dated fiscal start, particulars like op%bal%), first one per party pair."""
     op = kb.where(
-        (F.col("posting_date") == F.lit(fiscal_start).cast("date")) & F.lower(F.col("particulars")).like("op%bal%")
+        (F.col("posting_date") == F.lit(fiscal_start).cast("date")) & is_opening_line(F.col("particulars"))
     )
     return op.groupBy(*KEYS).agg(F.min_by("bal", "idx").alias("open_b"))
 

@@ -49,6 +49,7 @@ def ordered_scan(
     fills: Mapping[str, Column] | None = None,
     bucket: Column | None = None,
     num_ranges: int | None = None,
+    cheap: bool | None = None,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order`` (which must be unique within a key).
 
@@ -56,6 +57,7 @@ def ordered_scan(
     sums: output name -> value; running sum from the first row up to this row.
     fills: output name -> value; last non-null value up to this row (forward fill).
     bucket: order-monotone bucket expression; ``None`` uses range partitions.
+    cheap: the input may be evaluated twice (a written table, or a small join with one); ``None``: it may if it is a plain scan.
     """
     sums = dict(sums or {})
     fills = dict(fills or {})
@@ -78,7 +80,7 @@ def ordered_scan(
         )
     else:
         staged = staged.withColumn("_b", bucket)
-        if not is_plain_scan(staged):
+        if not (is_plain_scan(staged) if cheap is None else cheap):
             # the rows are read twice below (local window, bucket totals): compute the upstream once
             staged = materialize(staged, "ordered_scan")
 
@@ -131,6 +133,15 @@ def ordered_scan(
     return joined.select(*out)
 
 
+def part_offsets(parts: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """The level above ``ordered_scan``: parts of a key (files, statements) with their totals, one row a part. Adds, for each output name, the sum of a
+    total over the key's parts before (0 for the first), and ``_part``, the part's number."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {out: F.coalesce(F.sum(c).over(before), F.lit(0)).cast(parts.schema[c].dataType) for out, c in sums.items()}
+    return parts.withColumns({"_part": F.row_number().over(w), **sums})
+
+
 # Logical operators that are cheap to evaluate twice: a file scan with projections and filters.
 _CHEAP_NODES = {"Project", "Filter", "Relation", "LogicalRDD", "SubqueryAlias", "LocalRelation"}
 

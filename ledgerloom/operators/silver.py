@@ -5,6 +5,10 @@ the last date forward (W3), keep the fiscal year (F2), drop repeated page
 headers (F3), number the remaining lines (W1), running balance credit - debit
 (W4). The three ordered steps use ``ordered_scan`` on the line number, so a
 statement with a third of all lines is still split over many tasks.
+
+A party may have several statements. They are one book: statements in the order of their first date (then id), lines in file order; numbers and balance
+go on from one statement to the next. It is a prefix scan in three levels, each with its totals carried to the one below: blocks of lines, statements,
+party.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import letters_only
 from ..schemas import MONEY
+from ..session import materialize
 from .joins import join_per_key
-from .scan import int_bucket, ordered_scan
+from .scan import int_bucket, ordered_scan, part_offsets
 
 # The letters-only form of the page header cells, and the closing line text
 HEADER_PARTICULARS, HEADER_VCH_NO, HEADER_VCH_TYPE = "particulars", "vchno", "vchtype"
@@ -40,6 +45,11 @@ def is_page_header(particulars: Column, vch_no: Column, vch_type: Column) -> Col
     )
 
 
+def is_opening_line(particulars: Column) -> Column:
+    """the line that states the opening balance."""
+    return F.lower(particulars).like("op%bal%")
+
+
 def drop_blank_rows(bronze: DataFrame) -> DataFrame:
     return bronze.where(~is_blank_line(F.col("date"), F.col("vch_no"), F.col("vch_type")))
 
@@ -78,18 +88,36 @@ def to_silver(bronze: DataFrame, fiscal_start: str, names: DataFrame | None = No
     voucher_number, debit/credit/cumulative_amount_in_local_currency, statement_id).
 
     ``names``: optional (customer_name, party_name) resolution table (J6); the
-    statement's own party name is kept where it has no entry."""
+    statement's own party name is kept where it has no entry. ``idx`` is unique in a party. The opening line of a party's second or later statement restates
+    the balance that is carried into it, so it adds nothing."""
     df = drop_page_headers(fiscal_filter(fill_dates(drop_blank_rows(bronze)), fiscal_start))
-    # W1 and W4 share key and order: one scan numbers the lines and carries the balance
-    value = F.coalesce(F.col("credit"), _zero()) - F.coalesce(F.col("debit"), _zero())
-    df = ordered_scan(
-        df, ["statement_id"], ["line_no"], row_number="idx",
-        sums={"cumulative_amount_in_local_currency": value}, bucket=int_bucket("line_no"),
-    ).withColumn("cumulative_amount_in_local_currency", F.col("cumulative_amount_in_local_currency").cast(MONEY))
     if names is not None:
         df = join_per_key(df, names, "customer_name", "left", name="silver_names").withColumn(
             "customer_name", F.coalesce("party_name", "customer_name")
-        )
+        ).drop("party_name")
+    value = F.coalesce(F.col("credit"), _zero()) - F.coalesce(F.col("debit"), _zero())
+    df = materialize(df.withColumns({"_value": value.cast(MONEY), "_opens": F.coalesce(is_opening_line(F.col("particulars")), F.lit(False))}), "silver_lines")
+    parts = df.groupBy("customer_name", "statement_id").agg(
+        F.min("date").alias("_first"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(~F.col("_opens"), F.col("_value"))).cast(MONEY).alias("_rest"), F.sum("_value").cast(MONEY).alias("_all"),
+    )
+    # the first statement's total has its opening line, the others' don't
+    parts = part_offsets(parts, ["customer_name"], ["_first", "statement_id"], {})
+    parts = parts.withColumn("_total", F.when(F.col("_part") == 1, F.col("_all")).otherwise(F.coalesce("_rest", _zero())).cast(MONEY))
+    parts = part_offsets(parts, ["customer_name"], ["_first", "statement_id"], {"_lines_before": "_n", "_balance_before": "_total"})
+    parts = parts.select("customer_name", "statement_id", "_part", "_lines_before", "_balance_before")
+    parts = parts.withColumnsRenamed({"customer_name": "_party", "statement_id": "_statement"})
+    on = lambda b, p: b["customer_name"].eqNullSafe(p["_party"]) & b["statement_id"].eqNullSafe(p["_statement"])
+    df = join_per_key(df, parts, on, name="statement_parts").drop("_party", "_statement")
+    # W1 and W4 share key and order: one scan numbers the lines and carries the balance
+    df = ordered_scan(
+        df, ["customer_name", "statement_id"], ["line_no"], row_number="_line",
+        sums={"_balance": F.when(F.col("_opens") & (F.col("_part") > 1), _zero()).otherwise(F.col("_value"))}, bucket=int_bucket("line_no"), cheap=True,
+    )
+    df = df.withColumns({
+        "idx": F.col("_lines_before") + F.col("_line"),
+        "cumulative_amount_in_local_currency": (F.col("_balance_before") + F.col("_balance")).cast(MONEY),
+    })
     return df.select(
         "customer_name", "idx", F.col("date").alias("posting_date"), "particulars",
         F.col("vch_type").alias("voucher_type"), F.col("vch_no").alias("voucher_number"),

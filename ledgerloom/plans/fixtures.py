@@ -288,27 +288,85 @@ def statement_files(spark: SparkSession, sf_dir: str) -> str:
     return _memo(spark, sf_dir, "statement_files", build)
 
 
+def mixed_statement_files(spark: SparkSession, sf_dir: str) -> str:
+    """The dirty statements as one CSV per party, each with its own header line: columns in the usual order, with credit before debit and the date last, or
+    with a column more between them."""
+    from ..sources.files import write_files
+    from ..session import scratch_path
+
+    def build():
+        names = ["date", "particulars", "vch_type", "vch_no", "debit", "credit"]
+        printed = dict(zip(names, PAGE_HEADER)) | {"extra": "Remarks "}
+        orders = [[*names], ["particulars", "vch_type", "vch_no", "credit", "debit", "date"], ["date", "extra", "particulars", "vch_type", "vch_no", "debit", "credit"]]
+        d = dirty_statement(spark, sf_dir).withColumn("extra", F.lit("Cr"))
+        k = F.substring(F.col("statement_id"), -9, 9).cast("long") % 3
+        cols = [f"_c{i}" for i in range(7)]
+        file = F.concat(F.lit(STATEMENT_PREFIX), "statement_id", F.lit(".csv")).alias("source_file")
+
+        def placed(order, value):
+            return [value(c).alias(t) for c, t in zip(order, cols)] + [F.lit(None).cast("string").alias(t) for t in cols[len(order):]]
+
+        parts = []
+        for i, order in enumerate(orders):
+            mine = d.where(k == i)
+            parts.append(mine.select("statement_id").distinct().select(file, F.lit(0).cast("long").alias("line"), *placed(order, lambda c: F.lit(printed[c]))))
+            parts.append(mine.select(file, F.col("line_no").alias("line"), *placed(order, F.col)))
+        lines = parts[0]
+        for more in parts[1:]:
+            lines = lines.unionByName(more)
+        path = scratch_path(spark, "mixed_statement_files")
+        write_files(lines, path, ["line"])
+        return path
+
+    return _memo(spark, sf_dir, "mixed_statement_files", build)
+
+
+def split_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty statements with their party, those of every seventh party in two: statement_id, line_no, customer_name and the text columns. The second
+    begins at the first entry with a date from line 4 on."""
+
+    def build():
+        d = dirty_statement(spark, sf_dir)
+        entry = (F.col("vch_type") == "Sale ") & (F.trim("date") != "") & (F.col("line_no") >= 4)
+        cut = d.groupBy("statement_id").agg(F.min(F.when(entry, F.col("line_no"))).alias("cut"))
+        d = join_per_key(d, cut, "statement_id", name="fx_cut")
+        k = F.substring(F.col("statement_id"), -9, 9).cast("long")
+        second = (k % 7 == 3) & F.col("cut").isNotNull() & (F.col("line_no") >= F.col("cut"))
+        return d.select(
+            F.concat("statement_id", F.when(second, F.lit("/2")).otherwise(F.lit("/1"))).alias("new_id"),
+            F.when(second, F.col("line_no") - F.col("cut") + 1).otherwise(F.col("line_no")).alias("line_no"), F.col("statement_id").alias("customer_name"),
+            "date", "particulars", "vch_type", "vch_no", "debit", "credit",
+        ).withColumnRenamed("new_id", "statement_id")
+
+    return _memo(spark, sf_dir, "split_statement", build)
+
+
 def sheet_files(spark: SparkSession, sf_dir: str) -> str:
-    """The own ledger as one sheet per party: a title line, the header line, then the entries."""
+    """The own ledger as one sheet per party: a title line, the header line (with a column more than needed), then the entries.
+
+    Dates are written in one way per sheet: 1995-03-04, 4/3/1995, 04-Mar-1995, or the first with every seventh as 04.03.1995."""
     from ..schemas import SHEET_HEADER
     from ..sources.files import write_files
     from ..session import scratch_path
 
     def build():
         own = own_ledger(spark, sf_dir)
-        cols = [f"_c{i}" for i in range(len(SHEET_HEADER))]
+        cols = [f"_c{i}" for i in range(len(SHEET_HEADER) + 1)]
         name = F.concat(F.lit(SHEET_PREFIX), F.col("customer_name"), F.lit(".csv")).alias("source_file")
         parties = own.select("customer_name").distinct()
         title = parties.select(name, F.lit(1).cast("long").alias("line"), F.concat(F.lit("Ledger of "), "customer_name").alias(cols[0]),
                                *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
-        header = parties.select(name, F.lit(2).cast("long").alias("line"), *[F.lit(h).alias(c) for h, c in zip(SHEET_HEADER, cols)])
+        header = parties.select(name, F.lit(2).cast("long").alias("line"), *[F.lit(h).alias(c) for h, c in zip([*SHEET_HEADER, "Remarks"], cols)])
         money = lambda c: F.format_number(F.col(c), 2)
-        day = F.date_format("posting_date", "yyyy-MM-dd")
+        way = F.regexp_extract("customer_name", r"(\d{9})", 1).cast("long") % 4
+        way = F.when((way == 3) & (F.col("idx") % 7 == 0), F.lit(4)).otherwise(way)
+        written = lambda f: F.date_format("posting_date", f)
+        day = F.when(way == 1, written("d/M/yyyy")).when(way == 2, written("dd-MMM-yyyy")).when(way == 4, written("dd.MM.yyyy")).otherwise(written("yyyy-MM-dd"))
         origin_no = F.when(F.col("idx") % 3 == 0, F.concat("origin_no", F.lit(".0"))).otherwise(F.col("origin_no"))
         values = [day, day, F.col("idx").cast("string"), F.lit(SHEET_CONSTANTS["offset_account"]), F.lit(SHEET_CONSTANTS["origin"]),
                   origin_no, F.lit(None).cast("string"), F.lit(SHEET_CONSTANTS["details"]), money("debit_lc"), money("credit_lc"),
                   money("cumulative_balance_lc"), money("cumulative_balance_lc"), F.lit(SHEET_CONSTANTS["created_by"]),
-                  F.lit(SHEET_CONSTANTS["branch"])]
+                  F.lit(SHEET_CONSTANTS["branch"]), F.lit("-")]
         data = own.select(name, (F.col("idx") + 2).alias("line"), *[v.alias(c) for v, c in zip(values, cols)])
         path = scratch_path(spark, "sheet_files")
         write_files(title.unionByName(header).unionByName(data), path, ["line"])

@@ -12,14 +12,16 @@ plain folders of files use the (URL-decoded) file name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import file_stem, url_decoded
-from ..operators.scan import ordered_scan
+from ..operators.joins import join_per_key
+from ..operators.scan import BUCKET_ROWS, ordered_scan
 from ..session import materialize
 
 FILE_COL = "source_file"
@@ -72,7 +74,19 @@ def number_lines(raw: DataFrame) -> DataFrame:
         file_label(raw).alias(FILE_COL), "_blk", F.monotonically_increasing_id().alias("_pos"), *[F.col(f"`{c}`") for c in cols],
     )
     numbered = materialize(numbered, "file_lines")
-    return ordered_scan(numbered, [FILE_COL], ["_blk", "_pos"], row_number="line_no").drop("_blk", "_pos")
+    # a split and a stretch of positions in it are a bucket that keeps the order: no range sort, no second write
+    bucket = F.struct("_blk", F.floor(F.col("_pos") / F.lit(BUCKET_ROWS)))
+    return ordered_scan(numbered, [FILE_COL], ["_blk", "_pos"], row_number="line_no", bucket=bucket, cheap=True).drop("_blk", "_pos")
+
+
+def widest_line(spark: SparkSession, path: str) -> int:
+    """Columns of the widest line of the files, at most (commas inside quotes count too): one pass over the text."""
+    most = spark.read.text(path).agg(F.max(F.regexp_count("value", F.lit(","))).alias("n")).head()["n"]
+    return int(most or 0) + 1
+
+
+def text_schema(columns: int) -> T.StructType:
+    return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(columns)])
 
 
 def read_files(
@@ -80,14 +94,43 @@ def read_files(
 ) -> DataFrame:
     """All files below ``path`` with ``source_file`` and a dense ``line_no`` per file (1-based, data lines).
 
+    ``header=True`` takes the first file's header for all; files that may differ are read without it and then go through ``by_header``. Without
+    a header and a schema, the columns ``_c0``, ``_c1``, ... are as many as the widest line has.
+
     ``multi_line`` allows quoted line breaks inside a cell but keeps every file in one task; with ``False`` a
     large file is split over many tasks and its line order still comes out exact (split start, position)."""
     reader = spark.read.option("header", header).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    if schema is None and not header:
+        schema = text_schema(widest_line(spark, path))
     if schema is not None:
         reader = reader.schema(schema)
     return number_lines(reader.csv(path))
 
 
+def missing_columns(headers: DataFrame, required: Sequence[str]) -> DataFrame:
+    """S4 per file: (source_file, missing) for files whose header lacks a required column."""
+    req = F.array(*[F.lit(c) for c in required])
+    return headers.select(
+        FILE_COL, F.filter(req, lambda c: ~F.coalesce(F.array_contains(F.col("header"), c), F.lit(False))).alias("missing")
+    ).where(F.size("missing") > 0)
+
+
+def by_header(lines: DataFrame, names: Mapping[str, str], header_line: int = 1, what: str = "file") -> DataFrame:
+    """source_file, line_no (1-based, after the header) and the columns ``names`` (header name -> column), found in every file's own header line.
+
+    Files may order their columns differently and have others between; header names are trimmed, and of two equal ones the first counts. The headers are a
+    table of one row per file that is joined to the lines: no collect, no loop over files. A file without a required column is an error."""
+    values = F.array(*[F.col(c) for c in lines.columns if re.fullmatch(r"_c\d+", c)])
+    headers = lines.where(F.col("line_no") == header_line).select(FILE_COL, F.transform(values, lambda x: F.trim(x)).alias("header"))
+    bad = missing_columns(headers, list(names)).take(1)
+    if bad:
+        raise ValueError(f"{what} {bad[0][FILE_COL]}: missing column(s) {bad[0]['missing']}")
+    data = lines.where(F.col("line_no") > header_line).select(FILE_COL, (F.col("line_no") - header_line).alias("line_no"), values.alias("_v"))
+    data = join_per_key(data, headers, FILE_COL, name="file_headers")
+    pick = [F.try_element_at(F.col("_v"), F.array_position(F.col("header"), name).cast("int")).alias(c) for name, c in names.items()]
+    return data.select(FILE_COL, "line_no", *pick)
+
+
 def party_from_file(df: DataFrame, prefixes: Sequence[str] = (), out: str = "customer_name") -> DataFrame:
     """Party name = file name without folder and extension, without the caller's upload prefix."""
     stem = file_stem(F.col(FILE_COL))

@@ -13,27 +13,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.bronze import require_columns, to_bronze, trim_columns
+from ..operators.bronze import to_bronze
 from ..schemas import BRONZE_COLUMNS, BRONZE_HEADER
 from ..session import scratch_path
-from ..sources.files import FILE_COL, number_lines, party_from_file, with_file_metadata
+from ..sources.files import FILE_COL, by_header, number_lines, party_from_file, text_schema, with_file_metadata
 
-
-def statement_schema(header: Sequence[str]) -> T.StructType:
-    """All-text schema of a statement file with the given header names (as printed, blanks included)."""
-    return T.StructType([T.StructField(h, T.StringType()) for h in header])
+# Columns that are read of a statement file at least; a stream's schema is fixed before its files are known.
+COLUMNS = 32
 
 
 def bronze_batch(batch: DataFrame, out: str, epoch: int, prefixes: Sequence[str]) -> None:
-    raw = trim_columns(number_lines(batch.drop(FILE_COL) if FILE_COL in batch.columns else batch))
-    require_columns(raw, BRONZE_HEADER, "statement")
-    raw = party_from_file(raw, prefixes, out="statement_id")
-    lines = raw.select("statement_id", "line_no", *[F.col(f"`{h}`").alias(c) for h, c in zip(BRONZE_HEADER, BRONZE_COLUMNS)])
-    to_bronze(lines).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    raw = number_lines(batch.drop(FILE_COL) if FILE_COL in batch.columns else batch)
+    raw = by_header(raw, dict(zip(BRONZE_HEADER, BRONZE_COLUMNS)), what="statement")
+    lines = party_from_file(raw, prefixes, out="statement_id")
+    to_bronze(lines.select("statement_id", "line_no", *BRONZE_COLUMNS)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
 def start_statement_stream(
@@ -47,10 +42,12 @@ def start_statement_stream(
     available_now: bool = True,
     max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what is there and stops (for batch-like runs and tests)."""
+    """Start the stream; ``available_now`` processes what is there and stops (for batch-like runs and tests).
+
+    ``header``: the names as printed on a usual file, which gives the number of columns to read; each file's columns are found in its own header."""
     stream = (
-        spark.readStream.schema(statement_schema(header))
-        .option("header", True).option("multiLine", True).option("maxFilesPerTrigger", max_files_per_trigger)
+        spark.readStream.schema(text_schema(max(len(header), COLUMNS)))
+        .option("multiLine", True).option("maxFilesPerTrigger", max_files_per_trigger)
         .option("recursiveFileLookup", True)
         .csv(folder)
     )

@@ -1,0 +1,63 @@
+"""Several statements of one party are one book: numbers and balance go on, and no unmatched entry is lost."""
+
+import datetime as dt
+from decimal import Decimal as D
+
+from ledgerloom.operators import reconcile, silver
+from ledgerloom.schemas import BRONZE
+
+START = "2024-04-01"
+
+
+def line(sid, no, day, text, vch, debit=None, credit=None, party="P"):
+    d = None if day is None else dt.date(2024, *day)
+    money = lambda x: None if x is None else D(x)
+    return sid, no, d, text, "Sale" if vch else None, vch, money(debit), money(credit), party
+
+
+def book(spark, rows, names=None):
+    out = silver.to_silver(spark.createDataFrame(rows, BRONZE), START, names)
+    return [(r["customer_name"], r["idx"], r["voucher_number"], r["cumulative_amount_in_local_currency"]) for r in out.orderBy("customer_name", "idx").collect()]
+
+
+ROWS = [
+    line("s2", 1, (5, 1), "Opening Balance", "O", credit=130),  # restates what s1 ended with
+    line("s2", 2, (5, 2), "Entry", "V3", credit=20), line("s2", 3, None, "Entry", "V4", debit=5),
+    line("s1", 1, (4, 1), "Opening Balance", "O", credit=100), line("s1", 2, (4, 2), "Entry", "V1", credit=50),
+    line("s1", 3, (4, 3), "Entry", "V2", debit=20), line("x", 1, (4, 1), "Entry", "V9", credit=7, party="Q"),
+]
+
+
+def test_statements_in_order_of_their_dates(spark):
+    assert book(spark, ROWS) == [
+        ("P", 1, "O", D(100)), ("P", 2, "V1", D(150)), ("P", 3, "V2", D(130)), ("P", 4, "O", D(130)), ("P", 5, "V3", D(150)), ("P", 6, "V4", D(145)),
+        ("Q", 1, "V9", D(7)),
+    ]
+
+
+def test_statements_whose_names_resolve_to_one_party(spark):
+    rows = [(*r[:8], {"s1": "P one", "s2": "P two"}.get(r[0], r[8])) for r in ROWS]
+    names = spark.createDataFrame([("P one", "P"), ("P two", "P"), ("other", "Q")], "customer_name string, party_name string")
+    assert book(spark, rows, names) == book(spark, ROWS)
+
+
+def test_small_buckets_give_the_same(spark, monkeypatch):
+    want = book(spark, ROWS)
+    monkeypatch.setattr("ledgerloom.operators.scan.BUCKET_ROWS", 1)
+    assert book(spark, ROWS) == want
+
+
+def test_no_entry_is_lost_with_two_statements(spark):
+    """Both statements have an entry on their second line that the own book doesn't have: both are listed."""
+    rows = [
+        line("s1", 1, (4, 1), "Opening Balance", "O", credit=100), line("s1", 2, (4, 2), "Entry", "NOREF1", credit=33), line("s1", 3, (4, 3), "Entry", "V1", credit=50),
+        line("s2", 1, (5, 1), "Entry", "V2", credit=20), line("s2", 2, (5, 2), "Entry", "NOREF2", debit=77),
+    ]
+    statement = silver.to_silver(spark.createDataFrame(rows, BRONZE), START)
+    own = [("OB", 100, 100), ("V1", 50, 150), ("V2", 20, 170)]
+    ledger = spark.createDataFrame(
+        [("P", i + 1, dt.date(2024, 4, 1), n, D(d), None, D(b)) for i, (n, d, b) in enumerate(own)],
+        "customer_name string, idx bigint, posting_date date, origin_no string, debit_lc decimal(22,5), credit_lc decimal(22,5), cumulative_balance_lc decimal(22,5)",
+    )
+    gold = reconcile.reconcile(ledger, statement, START).gold().collect()
+    assert sorted(r["invoice_number"] for r in gold) == ["NOREF1", "NOREF2"]

@@ -57,3 +57,50 @@ def test_missing_required_column_is_an_error(spark):
     write(folder, "SAP_Broken.csv", sheet_lines("Broken", header, [{"Posting Date": "2024-04-01"}]))
     with pytest.raises(ValueError, match="Credit"):
         to_ledger(read_files(spark, folder, schema=SCHEMA))
+
+
+STATEMENT = {"Date": "date", "Particulars": "particulars", "Vch Type": "vch_type", "Vch No.": "vch_no", "Debit": "debit", "Credit": "credit"}
+
+
+def test_statements_by_their_own_header(spark, tmp_path):
+    """Files with credit before debit, with other columns between, with fewer columns in the widest line's place: each by its own header."""
+    from ledgerloom.sources.files import by_header
+
+    (tmp_path / "a.csv").write_text("Date,Particulars,Vch Type,Vch No.,Debit,Credit\nd1,p1,t1,v1,1,\n")
+    (tmp_path / "b.csv").write_text("Date ,Particulars, Vch Type,Vch No.,Credit,Debit\nd2,p2,t2,v2,99,\n")
+    (tmp_path / "c.csv").write_text('Remarks,Date,"Notes, all",Particulars,Vch Type,Vch No.,Debit,Credit,Debit\nr,d3,n,p3,t3,v3,5,,7\n')
+    rows = by_header(read_files(spark, str(tmp_path)), STATEMENT).orderBy("source_file").collect()
+    assert [(r["source_file"], r["line_no"], r["date"], r["vch_no"], r["debit"], r["credit"]) for r in rows] == [
+        ("a.csv", 1, "d1", "v1", "1", None), ("b.csv", 1, "d2", "v2", None, "99"), ("c.csv", 1, "d3", "v3", "5", None)
+    ]
+    (tmp_path / "d.csv").write_text("Date,Particulars\nd,p\n")
+    with pytest.raises(ValueError, match="d.csv.*Vch Type"):
+        by_header(read_files(spark, str(tmp_path)), STATEMENT, what="statement")
+
+
+def test_sheets_of_unknown_width_and_date_forms(spark, tmp_path):
+    def sheet(party, dates, header=SHEET_HEADER):
+        entries = [{"Posting Date": d, "Due Date": "2024-01-02", "Debit (LC)": "1.00"} for d in dates]
+        write(str(tmp_path), f"SAP_{party}.csv", sheet_lines(party, header, entries))
+
+    sheet("iso", ["2024-04-01", "2024-04-01 10:00:00"], [*SHEET_HEADER, "A", "B", "C"])
+    sheet("day first", ["01/04/2024", "13/04/2024", "2024-05-01"])
+    sheet("month first", ["04/13/2024", "04/01/2024"])
+    sheet("either", ["01/04/2024", "02/04/2024"])
+    sheet("names", ["01-Apr-2024", "01.05.2024", "31/02/2024", "", "later"])
+    sheet("none", [])
+    lines = read_files(spark, str(tmp_path))
+    got = {}
+    for r in to_ledger(lines).orderBy("customer_name", "idx").collect():
+        got.setdefault(r["customer_name"], []).append(str(r["posting_date"])[5:])
+    assert got == {
+        "iso": ["04-01", "04-01"], "day first": ["04-01", "04-13", "05-01"], "month first": ["04-13", "04-01"], "either": ["04-01", "04-02"],
+        "names": ["04-01", "05-01", "", "", ""],
+    }
+    from ledgerloom.operators.ledger import date_report
+
+    report = {r["source_file"]: (r["format"], r["n_values"], r["n_other"], r["ambiguous"]) for r in date_report(lines).where("column = 'posting_date'").collect()}
+    assert report == {
+        "SAP_iso.csv": ("yyyy-MM-dd", 2, 1, False), "SAP_day first.csv": ("d/M/yyyy", 3, 1, False), "SAP_month first.csv": ("M/d/yyyy", 2, 0, False),
+        "SAP_either.csv": ("d/M/yyyy", 2, 0, True), "SAP_names.csv": ("d-MMM-yyyy", 4, 3, False),
+    }
