@@ -4,11 +4,11 @@
   rows per key (per-party verdicts, name pairs). The small side is written
   once, its row count is checked, and it is broadcast only under the bound;
   above it the join stays a shuffle join and AQE splits hot partitions.
-* ``substrings``/``contains_*``: "haystack contains needle" within a key,
-  without a nested-loop join. Every substring of the haystack with a length
-  that occurs among the needles of its key is emitted once (``array_distinct``),
-  and the test becomes an equi join on (key, substring). Exact, linear in the
-  haystack rows, and no pair of rows is ever enumerated.
+* ``contains_*``: "haystack contains needle" within a key, without a nested-loop join, by an inverted index of grams (runs of ``GRAM`` characters). Each
+  haystack text emits each of its grams once, so its rows grow with its length, whatever the needles' lengths. Each needle is filed under the one of its
+  own grams that the fewest haystack texts of its key have (none at all: it is contained nowhere). Texts and needles that share that gram are the
+  candidates, and are verified. A needle shorter than a gram is a gram of its own length, which texts emit only where their key has such needles.
+  Exact; equal needles and equal texts of a key are looked up once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .scan import is_plain_scan
 
+# Characters of a gram of the containment index.
+GRAM = 4
 # Largest number of rows of a per-key table that is broadcast to every task.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -56,56 +58,51 @@ def join_per_key(
     return big.join(F.broadcast(small) if checked else small, on, how)
 
 
-def substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` with one of the lengths; empty for null or short text."""
+def grams(text: Column, size) -> Column:
+    """The distinct runs of ``size`` characters of a text (none if it is shorter)."""
     n = F.length(text)
-    fit = F.filter(lengths, lambda ln: (ln >= 1) & (ln <= n))
-    subs = F.flatten(F.transform(fit, lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda pos: text.substr(pos, ln))))
-    return F.coalesce(F.array_distinct(subs), F.array().cast("array<string>"))
-
-
-def needle_lengths(needles: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """(keys, _lengths): the different lengths of the needles of each key; as many as the longest needle has characters, at most."""
-    found = needles.where(F.col(col).isNotNull() & (F.length(col) > 0))
-    return found.groupBy(*keys).agg(F.collect_set(F.length(col)).alias("_lengths"))
+    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: text.substr(at, F.lit(size) if isinstance(size, int) else size))
+    return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def text_grams(hay: DataFrame, keys: Sequence[str], text: str, needles: DataFrame, needle: str, one_key: bool = False) -> DataFrame:
+    """(keys, _text, _gram): every gram of every distinct text; a shorter run only of the lengths that needles of the key have."""
+    texts = hay.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).distinct()
+    short = needles.where(F.length(needle).between(1, GRAM - 1)).groupBy(*keys).agg(F.collect_set(F.length(needle)).alias("_short"))  # fewer than GRAM each
+    texts = texts.join(F.broadcast(short) if one_key else short, list(keys), "left")
+    none = F.array().cast("array<int>")
+    runs = F.concat(grams(F.col("_text"), GRAM), F.flatten(F.transform(F.coalesce("_short", none), lambda size: grams(F.col("_text"), size))))
+    return texts.select(*keys, "_text", F.explode(runs).alias("_gram"))
+
+
+def contains_matches(needles: DataFrame, keys: Sequence[str], needle: str, hay: DataFrame, text: str, one_key: bool = False) -> DataFrame:
+    """(keys, _needle, _text): the distinct needles and the distinct texts of the same keys that contain them. Null and empty needles match nothing.
+    ``one_key``: the keys have one value (so per-key tables are one row)."""
+    keys = list(keys)
+    wanted = needles.where(F.length(needle) > 0).select(*keys, F.col(needle).alias("_needle")).distinct()
+    held = text_grams(hay, keys, text, wanted, "_needle", one_key)
+    common = held.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = wanted.select(*keys, "_needle", F.explode(grams(F.col("_needle"), F.least(F.length("_needle"), F.lit(GRAM)))).alias("_gram"))
+    counted = own.join(common, [*keys, "_gram"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    filed = counted.groupBy(*keys, "_needle").agg(F.min(F.struct("_n", "_gram")).alias("_rarest")).where(F.col("_rarest._n") > 0)
+    filed = filed.select(*keys, "_needle", F.col("_rarest._gram").alias("_gram"))
+    return held.join(filed, [*keys, "_gram"]).where(F.contains("_text", "_needle")).select(*keys, "_needle", "_text")
+
+
+def _rows_without(rows: DataFrame, keys: Sequence[str], row_id: Sequence[str], column: str, found: DataFrame, found_column: str) -> DataFrame:
+    """Rows whose value isn't in ``found``; rows without a value stay, spread by ``row_id``, as they would all meet in one task."""
+    found = found.select(*keys, F.col(found_column).alias("_value"), F.lit("").alias("_id")).distinct()
+    spread = rows.withColumn("_value", F.coalesce(F.col(column), F.lit(""))).withColumn(
+        "_id", F.when(F.col(column).isNull(), F.concat_ws("/", F.lit("row"), *[F.col(c).cast("string") for c in row_id])).otherwise(F.lit(""))
+    )
+    return spread.join(found, [*keys, "_value", "_id"], "left_anti").drop("_value", "_id")
 
 
-def haystack_keys(hay: DataFrame, keys: Sequence[str], text: str, lengths: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(keys, extra, _sub) for every distinct substring of ``text`` with a length that occurs among the key's needles."""
-    found = hay.join(lengths, list(keys))
-    return found.select(*keys, *extra, F.explode(substrings(F.col(text), F.col("_lengths"))).alias("_sub"))
+def contains_anti_needles(needles: DataFrame, keys: Sequence[str], row_id: Sequence[str], needle: str, hay: DataFrame, text: str) -> DataFrame:
+    """Needle rows for which no haystack row with the same keys contains the needle; rows without a needle are kept."""
+    return _rows_without(needles, keys, row_id, needle, contains_matches(needles, keys, needle, hay, text), "_needle")
 
 
-def contains_anti_needles(
-    needles: DataFrame, keys: Sequence[str], row_id: Sequence[str], needle: str, hay: DataFrame, text: str, lengths: DataFrame
-) -> DataFrame:
-    """Needle rows for which no haystack row with the same keys contains the needle. ``row_id`` is unique within a
-    key; rows without a needle are kept, spread by it."""
-    subs = haystack_keys(hay, keys, text, lengths).distinct()
-    none = F.lit("").alias("_id")
-    subs = subs.select(*keys, F.col("_sub").alias("_needle"), none)
-    missing = F.col(needle).isNull()
-    spread = needles.withColumn("_needle", F.coalesce(F.col(needle), F.lit(""))).withColumn(
-        "_id", F.when(missing, F.concat_ws("/", *[F.col(c).cast("string") for c in row_id])).otherwise(F.lit(""))
-    )
-    return spread.join(subs, [*keys, "_needle", "_id"], "left_anti").drop("_needle", "_id")
-
-
-def contains_anti_haystack(
-    hay: DataFrame,
-    keys: Sequence[str],
-    row_id: Sequence[str],
-    text: str,
-    needles: DataFrame,
-    needle: str,
-    lengths: DataFrame,
-) -> DataFrame:
-    """Haystack rows that contain none of the needles of the same keys. ``row_id`` is unique within a key."""
-    nd = needles.where(F.col(needle).isNotNull()).select(*keys, F.col(needle).alias("_sub")).distinct()
-    hits = (
-        haystack_keys(hay, keys, text, lengths, extra=row_id)
-        .join(nd, [*keys, "_sub"], "left_semi")
-        .select(*keys, *row_id)
-        .distinct()
-    )
-    return hay.join(hits, [*keys, *row_id], "left_anti")
+def contains_anti_haystack(hay: DataFrame, keys: Sequence[str], row_id: Sequence[str], text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Haystack rows that contain none of the needles of the same keys; rows without a text are kept."""
+    return _rows_without(hay, keys, row_id, text, contains_matches(needles, keys, needle, hay, text), "_text")

@@ -34,9 +34,8 @@ from .joins import (
     bounded_small,
     contains_anti_haystack,
     contains_anti_needles,
-    haystack_keys,
+    contains_matches,
     join_per_key,
-    needle_lengths,
 )
 from .silver import is_opening_line
 
@@ -111,15 +110,12 @@ def other_book(statement: DataFrame) -> DataFrame:
 def party_pairs(own_names: DataFrame, other_names: DataFrame) -> DataFrame:
     """(party, cparty): own name contains counterparty name, over distinct names.
 
-    The containment test is an equi join on the substrings of the own names
-    whose length occurs among the counterparty names (no nested loop); the
-    lengths that occur are one row."""
-    a = own_names.select(F.col("name").alias("party")).where(F.col("party").isNotNull()).distinct()
-    b = other_names.select(F.col("name").alias("cparty")).where(F.col("cparty").isNotNull()).distinct()
+    The containment test goes by the index of grams (no nested loop); a pair is a pair of names, so its rows are what is returned."""
+    a = own_names.select(F.col("name").alias("party")).where(F.col("party").isNotNull())
+    b = other_names.select(F.col("name").alias("cparty")).where(F.col("cparty").isNotNull())
     one = F.lit(1).alias("_all")  # names have no key
-    lengths = F.broadcast(needle_lengths(b.select("cparty", one), ["_all"], "cparty"))  # one row
-    subs = haystack_keys(a.select("party", one), ["_all"], "party", lengths, extra=["party"])
-    return subs.join(b, subs["_sub"] == b["cparty"], "inner").select("party", "cparty").distinct()
+    found = contains_matches(b.select("cparty", one), ["_all"], "cparty", a.select("party", one), "party", one_key=True)
+    return found.select(F.col("_text").alias("party"), F.col("_needle").alias("cparty"))
 
 
 @dataclass
@@ -253,15 +249,14 @@ def unmatched_own(a4: DataFrame, b4: DataFrame) -> DataFrame:
     """A rows (case 4) that no B row matches: B credit = A debit, B debit = A credit, B voucher contains A doc no."""
     rest = _without_amount(a4, _amounts(b4, "credit", "debit"), "debit")
     rest = _without_amount(rest, _amounts(b4, "debit", "credit"), "credit")
-    lengths = needle_lengths(a4, KEYS, "doc_no")
-    return contains_anti_needles(rest, KEYS, ["idx"], "doc_no", b4.where(F.col("voucher").isNotNull()), "voucher", lengths)
+    return contains_anti_needles(rest, KEYS, ["idx"], "doc_no", b4, "voucher")
 
 
 def unmatched_other(a4: DataFrame, b4: DataFrame) -> DataFrame:
     """B rows (case 4) that no A row matches (same three conditions, seen from B)."""
     rest = _without_amount(b4, _amounts(a4, "debit", "credit"), "credit")
     rest = _without_amount(rest, _amounts(a4, "credit", "debit"), "debit")
-    return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", a4, "doc_no", needle_lengths(a4, KEYS, "doc_no"))
+    return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", a4, "doc_no")
 
 
 def own_entries(rows: DataFrame, books: Books) -> DataFrame:
