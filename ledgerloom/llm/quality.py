@@ -5,7 +5,11 @@ Trusted documents are labelled quality 1. The model is counted over the whole te
 ``ORDER`` bytes (texts start after zero bytes) are counted in map tasks and summed. Continuation counts, context totals and discounts are grouped, and
 probabilities joined, order by order, on keys of (context) and (suffix), which Spark shards by hash. No gram is cut off.
 
-Scoring: each text's grams are counted, and the (document, gram, count) rows of a group of texts packed by shard. A shard is a hash of the last two bytes of a
+Trusted texts are found by a semi join on doc_id. A bitmap of the trusted ids' hashes, of ``FILTER_BITS`` bits at any size, is broadcast first, so that few other texts
+are shuffled to that join; with very many trusted ids it lets more through, and the join decides in every case.
+
+Scoring: each text's grams are counted, and the (document, gram, count) rows of a group of texts packed by shard: differences of sorted values, bytes of equal
+significance together, compressed. A shard is a hash of the last two bytes of a
 gram's context, so it holds the grams and contexts of the orders above 2 that its rows can fall back to; orders 1 and 2, at most 256 and 65,536 grams, go to
 every task. Packed rows meet the shard's table in one shuffle, and each document's losses are summed over the shards.
 
@@ -35,6 +39,8 @@ ORDER = 4
 #: Shards of the tables, as a power of two; each is held by several tasks where there are more partitions.
 SHARD_BITS = 6
 PACK_BYTES = 4 << 20
+#: Bits of the filter on trusted ids: at most FILTER_BITS / 64 rows are broadcast.
+FILTER_BITS = 1 << 25
 QUANTILE = 0.995
 HELD_OUT = 5
 
@@ -114,11 +120,11 @@ def tables(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> li
         of = {r["c"]: r["n"] for r in level.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         d = discounts(of)
         level = level.withColumn("d", F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])).withColumn("context", F.shiftright("gram", 8))
+        if k == 1 and level.isEmpty():
+            return None
         cut = 0
-        while (n := level.filter(F.col("c") > cut).count()) > (n if keep is None else keep):
+        while keep is not None and level.filter(F.col("c") > cut).count() > keep:
             cut = max(1, 2 * cut)
-        if not n and not cut:
-            return None
         contexts = level.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") > cut, F.col("d")).otherwise(F.col("c").cast("double"))).alias("left"))
         contexts = materialize(contexts.select("context", "total", (F.col("left") / F.col("total")).alias("mass")), "contexts")
         p = level.filter(F.col("c") > cut).join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
@@ -155,10 +161,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id may be among ``ids``: all that are, and others whose hash falls on a bit of one that is."""
+    if docs.schema["doc_id"].dataType != ids.schema["doc_id"].dataType:
+        return docs  # equal ids would have other hashes
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    words = ids.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    found = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word")
+    return found.filter(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1")).drop("_word", "_bit", "_bits")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
     """The tables of the whole texts of all trusted documents that aren't held out."""
     ours = trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0)
-    return tables(gram_counts(docs.select("doc_id", "text").join(ours, "doc_id", "left_semi")))
+    return tables(gram_counts(likely(docs.select("doc_id", "text"), ours).join(ours, "doc_id", "left_semi")))
 
 
 def shards(code: np.ndarray) -> np.ndarray:
@@ -171,8 +188,36 @@ def _shard(context: str) -> Column:
     return F.expr(f"cast(shiftright((({context}) & 65535) * 40503 & 65535, {16 - SHARD_BITS}) as int)")
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """The length in bytes, then the bytes of equal significance together, compressed."""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unsqueeze(blob: bytes, dtype: type) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def encode(gram: np.ndarray, per: np.ndarray, doc: np.ndarray, times: np.ndarray) -> list[bytes]:
+    """Blobs of sorted grams, how many entries each has, and the entries' documents (ascending in a gram) and counts."""
+    step = np.diff(doc, prepend=doc[:1])
+    first = np.cumsum(per) - per
+    step[first] = doc[first]
+    return [squeeze(np.diff(gram, prepend=np.uint32(0))), squeeze(per.astype(np.uint32)), squeeze(step), squeeze(times)]
+
+
+def decode(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    gram, per, step, times = (unsqueeze(x, t) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+    total = np.cumsum(step, dtype=np.int64)
+    first = np.cumsum(per, dtype=np.int64) - per
+    doc = total - np.repeat(total[first] - step[first], per)
+    return np.cumsum(gram, dtype=np.uint32), per, doc, times
+
+
 def _pack(g: W.Texts) -> dict[int, list[bytes]]:
-    """By shard: its distinct grams, how many entries each has, and the entries' documents and counts (of 255 at most; a larger one has several entries)."""
+    """By shard, encoded: its distinct grams, how many entries each has, and the entries' documents and counts (of 255 at most; a larger one has several entries)."""
     code, n = grams(g.data, g.bounds), np.diff(g.bounds)
     key = shards(code).astype(np.uint64) << np.uint64(48) | code.astype(np.uint64) << np.uint64(16) | np.repeat(np.arange(len(n), dtype=np.uint64), n)
     key, count = np.unique(key, return_counts=True)
@@ -186,7 +231,7 @@ def _pack(g: W.Texts) -> dict[int, list[bytes]]:
     out = {}
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         gram, per = np.unique((key[lo:hi] >> np.uint64(16)).astype(np.uint32), return_counts=True)
-        out[int(shard[lo])] = [gram.tobytes(), per.astype(np.uint32).tobytes(), doc[lo:hi].tobytes(), small[lo:hi].tobytes()]
+        out[int(shard[lo])] = encode(gram, per, doc[lo:hi], small[lo:hi])
     return out
 
 
@@ -247,7 +292,7 @@ def _lose(sent, mid: T.StructType):
                     model = _shard_model(sent.value, chunks)
                 sums = []
                 for n, *blobs in zip(*(rows.column(c).to_pylist() for c in ("n", *_BLOBS)), strict=True):
-                    gram, per, doc, times = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+                    gram, per, doc, times = decode(blobs)
                     sums.append(np.bincount(doc, np.repeat(-np.log(model.probabilities(gram)), per) * times, minlength=n).tobytes())
                 yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("place"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), rows.column("row").type), pa.array(sums, pa.binary())], names=mid.names)
         pa.default_memory_pool().release_unused()

@@ -32,3 +32,25 @@ def test_scores_equal_the_model_of_all_trusted_text(spark):
         code = quality.grams(data, np.array([0, len(data)]))
         assert r["perplexity"] == pytest.approx(np.exp(-np.log(whole.probabilities(code)).mean()), rel=1e-9)
     assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(3)
+    for n_grams in (1, 2, 500):
+        gram = np.unique(rng.integers(0, 1 << 32, n_grams, dtype=np.uint32))
+        per = rng.integers(1, 6, len(gram))
+        doc = np.concatenate([np.sort(rng.integers(0, 1 << 16, n)) for n in per]).astype(np.uint16)
+        doc[:1], times = 65535 if per[0] == 1 else 0, rng.integers(1, 256, len(doc)).astype(np.uint8)
+        got = quality.decode(quality.encode(gram, per, doc, times))
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, (gram, per, doc, times), strict=True))
+
+
+def test_filter_keeps_every_trusted_document(spark):
+    ids = spark.range(0, 4000, 3).withColumnRenamed("id", "doc_id")
+    docs = spark.range(-2000, 6000).withColumnRenamed("id", "doc_id").withColumn("_bits", quality.F.lit("clash")).unionByName(spark.createDataFrame([(None, "x"), (3, "again")], "doc_id bigint, _bits string"))
+    some = quality.likely(docs.withColumnRenamed("_bits", "text"), ids)
+    assert some.columns == ["doc_id", "text"]
+    got = [r["doc_id"] for r in some.collect()]
+    assert got.count(3) == 2 and {r["doc_id"] for r in ids.collect()} <= set(got) and len(got) < 1500
+    assert quality.likely(docs, ids.withColumn("doc_id", quality.F.col("doc_id").cast("string"))).count() == docs.count()
+    assert quality.likely(docs.limit(0).withColumnRenamed("_bits", "text"), ids).count() == 0
