@@ -175,7 +175,8 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
     """The tables of the whole texts of all trusted documents that aren't held out."""
     ours = trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0)
-    return tables(gram_counts(likely(docs.select("doc_id", "text"), ours).join(ours, "doc_id", "left_semi")))
+    # (``ours`` has distinct ids; the optimizer would move a semi join below the one with the bitmap, and shuffle all texts)
+    return tables(gram_counts(likely(docs.select("doc_id", "text"), ours).join(ours, "doc_id")))
 
 
 def shards(code: np.ndarray) -> np.ndarray:
