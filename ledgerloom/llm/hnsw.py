@@ -141,9 +141,10 @@ class Graph:
             fresh = np.where((fresh >= 0) & (fresh < n), fresh, n)
         return ids, near
 
-    def dump(self, **more: np.ndarray) -> bytes:
+    def dump(self, exact: np.ndarray, **more: np.ndarray) -> bytes:
+        """The layers and ``exact``, the double-precision vectors, from which ``load`` takes the graph's own."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, **{f"layer{k}": x for k, x in enumerate(self.layers)}, **more)
+        np.savez(out, exact=exact, **{f"layer{k}": x for k, x in enumerate(self.layers)}, **more)
         return out.getvalue()
 
     @classmethod
@@ -151,7 +152,7 @@ class Graph:
         with np.load(io.BytesIO(data)) as z:
             arrays = {k: z[k] for k in z.files}
         layers = [arrays.pop(f"layer{k}") for k in range(sum(k.startswith("layer") for k in arrays))]
-        return cls(arrays.pop("vectors"), layers), arrays
+        return cls(arrays["exact"].astype(np.float32), layers), arrays
 
 
 def _within(count: np.ndarray) -> np.ndarray:

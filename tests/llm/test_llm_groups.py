@@ -132,8 +132,8 @@ def test_graph_finds_nearest_nodes():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     order, sizes = hnsw.Graph.order(len(x))
     graph = hnsw.Graph.build(x[order].astype(np.float32), sizes)
-    graph, more = hnsw.Graph.load(graph.dump(extra=np.arange(3)))
-    assert more["extra"].tolist() == [0, 1, 2]
+    graph, more = hnsw.Graph.load(graph.dump(exact=x[order], extra=np.arange(3)))
+    assert more["extra"].tolist() == [0, 1, 2] and (more["exact"] == x[order]).all()
     q = x[:200].astype(np.float32)
     ids, near = graph.search(q, 64)
     truth = (q @ graph.vectors.T).max(axis=1)
@@ -170,6 +170,28 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert got == [(i, n[i], top.get(i, i), top.get(i, i) == i) for i, _, _ in sorted(rows, key=lambda r: r[0])]
 
 
+def test_embeddings_of_one_large_label(spark):
+    """Shards of more than 1,000 nodes, searched by graph: dense groups, chains, lone pairs and unlike vectors, against brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 24))
+    x[:400] = x[0] + 0.15 * rng.normal(size=(400, 24))  # nearly all linked
+    for k in range(400, 1000):  # groups of 2 to 20
+        x[k] = x[k - k % (2 + k // 100 * 2)] + 0.2 * rng.normal(size=24)
+    for k in range(1000, 1400):  # chains: each near the one before
+        x[k] = x[k - 1] + 0.3 * rng.normal(size=24) if k % 40 else x[k]
+    x[3000:3600] = x[1400:2000] + 0.25 * rng.normal(size=(600, 24))  # pairs
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), "hot") for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    top = classes(list(zip(*(i.tolist() for i in np.nonzero(np.triu(linked))), strict=True)))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (n <= linked.sum(axis=1)).all() and n.sum() >= 0.999 * linked.sum(), (n.sum(), linked.sum())
+    assert [got[i]["component_id"] for i in range(len(x))] == [top.get(i, i) for i in range(len(x))]
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(none).count() == 0
