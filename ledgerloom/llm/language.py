@@ -4,18 +4,19 @@ A text's UTF-8 bytes are cut into windows of ``WINDOW`` bytes; in each, one netw
 probability for each language from both states. A document's probabilities are the mean over all its bytes; its language is the
 most probable one.
 
-The network is trained on a bounded sample: about ``DOCS`` documents of each language (at most ``LANGUAGES`` of them, the most frequent), and of
-each ``PIECES`` windows at places given by a hash. Documents with crc32(doc_id as text) mod 4 = 2, or without lang, are not learned from.
+The network is trained on a bounded sample: about ``DOCS`` documents of each language (fewer where there are more than ``SAMPLE`` / ``DOCS`` languages; every
+language is one the network has weights for), and of each ``PIECES`` windows at places given by a hash. Rows without id are chosen by their text, rows of
+one id together. Documents with crc32(doc_id as text) mod 4 = 2, or without lang, are not learned from.
 lang, source and doc_id are never inputs of a prediction.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text if nothing can be learned; ties go to the language that
-sorts first; repeated rows get equal results; an empty table gives no rows.
+sorts first; repeated rows get equal results; an empty table gives no rows. Other columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
@@ -23,7 +24,7 @@ from ledgerloom.llm.arrow import id_remainder, map_texts
 
 WINDOW = 64
 HIDDEN = 8
-DOCS, PIECES, LANGUAGES = 600, 4, 100
+DOCS, PIECES, SAMPLE = 600, 4, 60_000
 HELD_OUT, HELD_OUT_AT = 4, 2
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 _AT_ONCE = 2048
@@ -167,17 +168,21 @@ def text_languages(texts: W.Texts, network: Network) -> np.ndarray:
     return total / np.maximum(1, np.diff(texts.bounds))[:, None]
 
 
-def training_sample(docs: DataFrame, docs_each: int = DOCS, pieces: int = PIECES, languages: int = LANGUAGES, window: int = WINDOW) -> list:
-    """(lang, pieces): about ``docs_each`` documents of each language, chosen by a hash of the id; at most twice as many rows in all."""
+def training_sample(docs: DataFrame, docs_each: int = DOCS, pieces: int = PIECES, sample: int = SAMPLE, window: int = WINDOW) -> list:
+    """(lang, pieces): about ``docs_each`` documents of each language, chosen by a hash; at most twice ``sample`` rows in all."""
     ours = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (id_remainder("doc_id", HELD_OUT) != HELD_OUT_AT))
-    counts = ours.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # one row a language, as the network's output has a column for each
+    counts = ours.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("each", F.least(F.lit(float(docs_each)), F.lit(float(sample)) / F.count(F.lit(1)).over(Window.partitionBy())))
+    drawn = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id"), F.lit("language"))).otherwise(F.xxhash64(F.col("text"), F.lit("language")))
+    chance = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = F.transform(
         F.sequence(F.lit(0), F.lit(pieces - 1)),
         lambda i: F.substr(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64(F.col("doc_id"), i), F.greatest(F.lit(1), F.length("text") - window + 1))).cast("int"), F.lit(window)),
     )
-    chosen = ours.join(F.broadcast(counts), "lang").filter(chance * F.col("n") < docs_each)
-    return chosen.select("lang", place.alias("pieces")).limit(2 * docs_each * languages).collect()
+    chosen = ours.join(F.broadcast(counts), "lang").filter(chance * F.col("n") < F.col("each"))
+    chosen = chosen.select("lang", place.alias("pieces"), (chance * F.col("n") / F.col("each")).alias("order"))
+    return chosen.orderBy("order", "lang", "pieces").limit(2 * sample).select("lang", "pieces").collect()
 
 
 def train(docs: DataFrame, **bounds) -> tuple[list[str], Network] | None:

@@ -4,7 +4,7 @@
 * Sources in code point order, null last, weigh 1, 2, 3, repeating, and share all words by weight. A target stops at
   ``MAX_EPOCHS`` times its source's size; the excess is shared again by weight among the others. That ends at one
   level of words per weight, found by prefix sums over the sources sorted by size per weight.
-* Each source's documents stand in an order given by a hash of doc_id. The source is passed over as often as its
+* Each source's documents stand in an order given by a hash of doc_id (of the text where there is none). The source is passed over as often as its
   target holds it whole; the rest of the target is taken from the front of that order.
 * Curriculum: over training time t in [0, 1] a source's weight is target * (1 - a + 2at), where a is the slope of its weight.
   The demand for its words up to t is the integral, target * ((1 - a)t + at²). A copy of a document starts training where that
@@ -15,7 +15,7 @@ totals.
 
 Defined results: null and empty texts have size 0 and take 0 words (whole-document mixes repeat them like others); a source without words
 has target 0; ties in the order (repeated ids) are broken by size and a hash of the text; repeated rows are
-rows of their own; an empty table gives an empty mix. Other columns are carried in a struct and cannot clash.
+rows of their own (rows equal in source, id and, without id, in text share a bucket); an empty table gives an empty mix. Other columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -48,13 +48,18 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return per.select("source", "docs", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
+def _text_key(id_column: str) -> Column:
+    """Rows without id are told apart by their text, so that they don't meet in one bucket."""
+    return F.when(F.col(id_column).isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("text_key")
+
+
 def plan(rows: DataFrame, whole: bool = False) -> DataFrame:
-    """Rows (row struct, id, source, size, tie) with source_size, weight, target, before, passes, extra and taken.
+    """Rows (row struct, id, text_key, source, size, tie) with source_size, weight, target, before, passes, extra and taken.
 
     ``before`` is the words of the source ahead of the document, ``passes`` its whole copies and ``extra`` the words of a last copy: the rest
     of the target up to the last word, or with ``whole`` all words if the middle of the copy is within the rest."""
     targets = source_targets(rows)
-    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    key = F.coalesce(F.md5(F.col("id").cast("string")), F.col("text_key"))
     keyed = rows.withColumn("key", key).withColumn("place", F.conv(F.substring("key", 1, 6), 16, 10).cast("bigint"))
     same = keyed["source"].eqNullSafe(targets["source"])
     keyed = keyed.join(targets, same, "left").drop(targets["source"])
@@ -74,7 +79,7 @@ def plan(rows: DataFrame, whole: bool = False) -> DataFrame:
     else:
         extra = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))
     out = out.withColumn("extra", extra.cast("bigint")).withColumn("copies", F.col("passes") + ((2 * F.col("before") + F.col("size") < 2 * left) if whole else (F.col("extra") > 0)).cast("bigint"))
-    return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra")).drop("key", "place", "bucket", "s", "b", "bucket_before", "inside", "docs")
+    return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra")).drop("key", "text_key", "place", "bucket", "s", "b", "bucket_before", "inside", "docs")
 
 
 def position(copy: Column) -> Column:
@@ -90,14 +95,14 @@ def position(copy: Column) -> Column:
 
 def mix(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents' columns, each document as often as the mix takes it (whole copies), range-sorted by training position."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.col("source"), words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), _text_key(id_column), F.col("source"), words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     copies = plan(rows, whole=True).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     return copies.select("row", position(F.col("copy")).alias("position")).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and first_position (null where nothing is taken) of each document, range-sorted by position."""
-    slim = docs.select(F.struct(F.col("doc_id")).alias("row"), F.col("doc_id").alias("id"), F.col("source"), words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    slim = docs.select(F.struct(F.col("doc_id")).alias("row"), F.col("doc_id").alias("id"), _text_key("doc_id"), F.col("source"), words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     out = plan(materialize(slim, "sizes"))
     first = F.when(F.col("taken") > 0, position(F.lit(0)))
     out = out.select("row.doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("first_position"))
@@ -105,7 +110,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), md5(coalesce(text, ''))) AS key FROM documents),
 per AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
   FROM per WINDOW b AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -277,11 +277,64 @@ def test_pipeline_run(spark):
     assert out and sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
 
 
+def test_mix_of_rows_without_id(spark, monkeypatch):
+    """Rows without id are spread over the buckets by their text, and the mix is the same in a second run."""
+    monkeypatch.setattr(mix, "BUCKET_DOCS", 16)
+    rows = [(None, "w " * (1 + i % 7) + str(i), "hot") for i in range(2000)] + [(i, "a b c", "small") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    slim = docs.select(F.struct("text").alias("row"), F.col("doc_id").alias("id"), mix._text_key("doc_id"), "source", mix.words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    first = sorted((r["row"]["text"], r["before"], r["taken"]) for r in mix.plan(slim).filter("id IS NULL").collect())
+    assert len({b for _, b, _ in first}) == 2000 and slim.filter("id IS NULL").select("text_key").distinct().count() == 2000
+    target = mix.source_targets(slim).filter("source = 'hot'").first()["target"]
+    assert sum(t for *_, t in first) == int(target)
+    assert first == sorted((r["row"]["text"], r["before"], r["taken"]) for r in mix.plan(slim.repartition(3)).filter("id IS NULL").collect())
+
+
+def edge_tables(spark, folder, empty=()):
+    fill = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{fill} {i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en", "hot" if i % 3 else None, 1) for i in range(60)]
+    rows += [(60, None, None, None, None), (61, "", "en", "hot", 0), (None, None, None, "hot", None), (None, "no id " + fill, "en", "hot", 1), (None, "no id either", "en", None, 1)]
+    rows += [(62, "one", "en", "a", 3)] * 2 + [(63, " \t\n", "en", "a", 3), (64, "the passage of the test that nobody should train on at all", "en", "a", 1), (65, "x " * 200_000, "en", "long", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    for c in ("row", "score", "size", "key", "position", "copy", "component", "tie"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    marks = spark.createDataFrame([(i, 1, int(i == 3)) for i in range(40)] + [(None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([("b1", "the passage of the test that nobody should train on at all"), ("b2", None), (None, "")], "item_id string, text string")
+    for name, df in (("documents", docs), ("labels", marks), ("benchmark", items)):
+        (df.limit(0) if name in empty else df).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return rows, docs.columns
+
+
+@pytest.mark.parametrize("empty", [(), ("documents",), ("labels", "benchmark")])
+def test_pipeline_edges(spark, tmp_path, empty):
+    """Null and repeated ids, null, empty and long texts, null sources, clashing columns and empty tables."""
+    rows, columns = edge_tables(spark, tmp_path, empty)
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns, name
+        got = out.collect()
+        docs = spark.createDataFrame(got, out.schema)
+        kept.append(collections.Counter((r["doc_id"], r["text"]) for r in got))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if "documents" in empty:
+        assert not out and not any(kept)
+        return
+    given = collections.Counter(r[:2] for r in rows)
+    assert sum(given.values()) - sum(kept[0].values()) <= (0 if "labels" in empty else 3)  # of few labels little is learned
+    assert not kept[0] - given and not kept[1] - kept[0] and not kept[2] - kept[1]
+    # null and blank texts are no copies of each other; of the repeated row one stays
+    assert all(kept[1][x] == 1 for x in ((60, None), (61, ""), (None, None), (62, "one"), (None, "no id either")))
+    assert kept[2][64, rows[-2][1]] == (1 if "benchmark" in empty else 0) and sum(kept[1].values()) - sum(kept[2].values()) == (0 if "benchmark" in empty else 1)
+    assert all(n <= 3 * kept[2][x] for x, n in kept[3].items())
+    assert len(out) == sum(kept[3].values()) and sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
+
+
 def test_each_operator_has_one_query():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLE) <= set(entry.oracle_sql())
 
 

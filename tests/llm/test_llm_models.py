@@ -79,6 +79,9 @@ def test_language_edges(spark):
     assert len(got) == docs.count()
     assert [by[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and by[1]["score"] == 0 and by[5]["lang_pred"] == "en" and by[61]["lang_pred"] == "de"
     assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 4}) == 1
+    many = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang"))
+    assert 250 < len(language.training_sample(many, docs_each=100)) < 600  # rows without id are drawn by their text
+    assert {r["lang"] for r in language.training_sample(many, docs_each=100, sample=80)} == {"l0", "l1", "l2", "l3"}
     nothing = language.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
     assert language.digest(docs.limit(0)).count() == 0
