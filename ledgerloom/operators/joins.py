@@ -2,8 +2,8 @@
 
 * ``join_per_key``: joins a large table with a table that has at most a few
   rows per key (per-party verdicts, name pairs). The small side is written
-  once, its row count is checked, and it is broadcast only under the bound;
-  above it the join stays a shuffle join and AQE splits hot partitions.
+  once, its rows and bytes are counted, and it is broadcast only under both bounds;
+  above them the join stays a shuffle join and AQE splits hot partitions.
 * ``contains_*``: "haystack contains needle" within a key, without a nested-loop join, by an inverted index of grams (runs of ``GRAM`` characters). Each
   haystack text emits each of its grams once, so its rows grow with its length, whatever the needles' lengths. Each needle is filed under the one of its
   own grams that the fewest haystack texts of its key have (none at all: it is contained nowhere). Texts and needles that share that gram are the
@@ -17,22 +17,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
-from .scan import is_plain_scan
+from .scan import is_plain_scan, quoted
 
 # Characters of a gram of the containment index.
 GRAM = 4
-# Largest number of rows of a per-key table that is broadcast to every task.
+# Largest per-key table that is broadcast to every task.
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 
 
-def bounded_small(small: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory: a word a column, and the content of strings, binaries and nested values."""
+    size = F.lit(8 * (len(df.columns) + 1)).cast("long")
+    for f in df.schema.fields:
+        value = quoted(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            continue
+        size = size + F.coalesce(F.octet_length(value), F.lit(0))
+    return size
+
+
+def bounded_small(small: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Materialise ``small`` (unless it is already a plain file scan) and say whether it may be
-    broadcast: its row count is checked against ``max_rows``."""
+    broadcast: its rows and their bytes are counted against the bounds."""
     if not is_plain_scan(small):
         small = materialize(small, name)
-    return small, small.count() <= max_rows
+    rows, size = small.agg(F.count(F.lit(1)), F.sum(row_bytes(small))).first()
+    return small, rows <= max_rows and (size or 0) <= max_bytes
 
 
 def join_per_key(
@@ -45,7 +61,7 @@ def join_per_key(
     max_rows: int = MAX_BROADCAST_ROWS,
     checked: bool | None = None,
 ) -> DataFrame:
-    """Join ``big`` with a per-key table; broadcast it only under a checked row bound.
+    """Join ``big`` with a per-key table; broadcast it only under a checked bound of rows and bytes.
 
     ``on``: column names, or a function (big, small) -> condition (``small``
     is replaced by its written copy). ``checked`` lets a caller that already materialised and counted ``small``

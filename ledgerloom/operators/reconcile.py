@@ -234,29 +234,42 @@ def after_anchor(book: DataFrame, v: DataFrame, anchor: str, cases: tuple[int, .
     )
 
 
-def _amounts(book: DataFrame, amount: str, alias: str) -> DataFrame:
-    """Distinct amounts of a side by party pair, to match the other book's column ``alias``."""
-    return book.where(F.col(amount).isNotNull()).select(*KEYS, F.col(amount).alias(alias)).distinct().withColumn("_row", F.lit(0).cast("long"))
+def matched_amounts(a4: DataFrame, b4: DataFrame) -> DataFrame:
+    """(keys, own_side, amount): amounts that A books on a side (debit or credit) and B on the opposite one, by one aggregation of both books."""
 
+    def booked(book: DataFrame, debit: str, credit: str, own: bool) -> DataFrame:
+        sides = F.array(F.struct(F.lit("debit").alias("side"), F.col(debit).alias("amount")), F.struct(F.lit("credit").alias("side"), F.col(credit).alias("amount")))
+        rows = book.select(*KEYS, F.explode(sides).alias("_b")).select(*KEYS, F.col("_b.side").alias("own_side"), F.col("_b.amount").alias("amount"))
+        return rows.where(F.col("amount").isNotNull()).withColumn("_own", F.lit(own))
 
-def _without_amount(rows: DataFrame, amounts: DataFrame, column: str) -> DataFrame:
-    """Rows whose amount isn't in ``amounts``. A missing amount matches nothing; its rows are spread by position, not sent to one task."""
+    both = booked(a4, "debit", "credit", True).unionByName(booked(b4, "credit", "debit", False))
+    return both.groupBy(*KEYS, "own_side", "amount").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most")).where(F.col("_most") & ~F.col("_least")).drop("_least", "_most")
+
+
+def _without_amount(rows: DataFrame, matched: DataFrame, column: str, own_side: str) -> DataFrame:
+    """Rows whose amount isn't matched. A missing amount matches nothing; its rows are spread by position, not sent to one task."""
+    amounts = matched.where(F.col("own_side") == own_side).select(*KEYS, F.col("amount").alias(column), F.lit(0).cast("long").alias("_row"))
     spread = rows.withColumn("_row", F.when(F.col(column).isNull(), F.col("idx")).otherwise(F.lit(0)).cast("long"))
     return spread.join(amounts, [*KEYS, column, "_row"], "left_anti").drop("_row")
 
 
-def unmatched_own(a4: DataFrame, b4: DataFrame) -> DataFrame:
-    """A rows (case 4) that no B row matches: B credit = A debit, B debit = A credit, B voucher contains A doc no."""
-    rest = _without_amount(a4, _amounts(b4, "credit", "debit"), "debit")
-    rest = _without_amount(rest, _amounts(b4, "debit", "credit"), "credit")
-    return contains_anti_needles(rest, KEYS, ["idx"], "doc_no", b4, "voucher")
+def unmatched_by_amount(a4: DataFrame, b4: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of A without an equal amount on the opposite side of B, and rows of B without one in A. The matched amounts are written once and read
+    from both sides."""
+    amounts = materialize(matched_amounts(a4, b4), "matched_amounts")
+    own = _without_amount(_without_amount(a4, amounts, "debit", "debit"), amounts, "credit", "credit")
+    other = _without_amount(_without_amount(b4, amounts, "credit", "debit"), amounts, "debit", "credit")
+    return own, other
 
 
-def unmatched_other(a4: DataFrame, b4: DataFrame) -> DataFrame:
-    """B rows (case 4) that no A row matches (same three conditions, seen from B)."""
-    rest = _without_amount(b4, _amounts(a4, "debit", "credit"), "credit")
-    rest = _without_amount(rest, _amounts(a4, "credit", "debit"), "debit")
-    return contains_anti_haystack(rest, KEYS, ["idx"], "voucher", a4, "doc_no")
+def unmatched(a4: DataFrame, b4: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of A (case 4) that no row of B matches, and rows of B that none of A does: B credit = A debit, B debit = A credit, B voucher contains A
+    doc no."""
+    own, other = unmatched_by_amount(a4, b4)
+    return (
+        contains_anti_needles(own, KEYS, ["idx"], "doc_no", b4, "voucher"),
+        contains_anti_haystack(other, KEYS, ["idx"], "voucher", a4, "doc_no"),
+    )
 
 
 def own_entries(rows: DataFrame, books: Books) -> DataFrame:
@@ -319,8 +332,8 @@ class Reconciliation:
         return a4, b4
 
     def case4(self) -> DataFrame:
-        a4, b4 = self.case4_sides()
-        return own_entries(unmatched_own(a4, b4), self.books).unionByName(other_entries(unmatched_other(a4, b4), self.books))
+        own, other = unmatched(*self.case4_sides())
+        return own_entries(own, self.books).unionByName(other_entries(other, self.books))
 
     def entries(self) -> DataFrame:
         """All unmatched entries of all parties (U2) with the counterparty name of their pair; written once, read by every consumer."""

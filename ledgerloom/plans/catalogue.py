@@ -176,13 +176,7 @@ SELECT 'other', b.party, b.idx FROM rb b WHERE b.kase = 4 AND NOT EXISTS (
     AND (b.credit = a.debit OR b.debit = a.credit))""")
 def q_anti_by_amount(spark, sf_dir):
     """J4 (amount part): case-4 rows with no equal amount on the opposite side of the other book."""
-    a4, b4 = reconciliation(spark, sf_dir).case4_sides()
-    b_credit = b4.where(F.col("credit").isNotNull()).select(*rc.KEYS, F.col("credit").alias("debit")).distinct()
-    b_debit = b4.where(F.col("debit").isNotNull()).select(*rc.KEYS, F.col("debit").alias("credit")).distinct()
-    a_debit = a4.where(F.col("debit").isNotNull()).select(*rc.KEYS, F.col("debit").alias("credit")).distinct()
-    a_credit = a4.where(F.col("credit").isNotNull()).select(*rc.KEYS, F.col("credit").alias("debit")).distinct()
-    own = a4.join(b_credit, [*rc.KEYS, "debit"], "left_anti").join(b_debit, [*rc.KEYS, "credit"], "left_anti")
-    other = b4.join(a_debit, [*rc.KEYS, "credit"], "left_anti").join(a_credit, [*rc.KEYS, "debit"], "left_anti")
+    own, other = rc.unmatched_by_amount(*reconciliation(spark, sf_dir).case4_sides())
     return own.select(F.lit("own").alias("side"), F.col("party").alias("customer_name"), "idx").unionByName(
         other.select(F.lit("other").alias("side"), F.col("party").alias("customer_name"), "idx")
     )

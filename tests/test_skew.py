@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import bronze as br
+from ledgerloom.operators import joins
 from ledgerloom.operators import reconcile as rc
 from ledgerloom.operators import scan, silver as sv
 from ledgerloom.plans import fixtures as fx
@@ -90,3 +91,24 @@ def test_hot_party_reconciles_like_row_by_row(spark):
     assert got_v[("HOT", "HOT")] == 4
     assert got_g == want_g
     assert any(g[0] == "HOT" for g in got_g)
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    """A per-key table is broadcast only if its rows and their bytes, nested and long values included, are under the bounds; the join is the same."""
+    big = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.range(7).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit("y" * 500)).alias("names"))
+    assert joins.bounded_small(small, "t")[1] and not joins.bounded_small(small, "t", max_rows=6)[1]
+    assert joins.bounded_small(small, "t", max_bytes=20_000)[1] and not joins.bounded_small(small, "t", max_bytes=10_000)[1]
+    assert joins.bounded_small(small.limit(0), "t")[1]
+    hinted, plain = joins.join_per_key(big, small, "k"), joins.join_per_key(big, small, "k", max_rows=6)
+    assert hinted.exceptAll(plain).count() == 0 and hinted.count() == plain.count() == 100
+
+
+def test_matched_amounts(spark):
+    """Equal amounts on opposite sides match, once or often; on the same side, of another pair or missing they don't."""
+    schema = "party string, cparty string, idx int, debit decimal(22,5), credit decimal(22,5)"
+    a = spark.createDataFrame([("p", "c", 1, D(5), None), ("p", "c", 2, D(5), None), ("p", "c", 3, None, D(7)), ("p", "c", 4, D(9), None), ("q", "c", 5, D(5), None), ("p", "c", 6, None, None), ("p", "c", 7, D(1), D(7))], schema)
+    b = spark.createDataFrame([("p", "c", 1, None, D(5)), ("p", "c", 2, D(9), None), ("p", "c", 3, D(7), D(2)), ("p", "c", 4, None, None), ("q", "d", 5, None, D(5))], schema)
+    own, other = rc.unmatched_by_amount(a, b)
+    assert sorted(r["idx"] for r in own.collect()) == [4, 5, 6]
+    assert sorted((r["party"], r["idx"]) for r in other.collect()) == [("p", 2), ("p", 4), ("q", 5)]
