@@ -276,22 +276,38 @@ def statement_files(spark: SparkSession, sf_dir: str) -> str:
     from ..session import scratch_path
 
     def build():
-        d = dirty_statement(spark, sf_dir)
-        df = d.select(
-            F.concat(F.lit(STATEMENT_PREFIX), "statement_id", F.lit(".csv")).alias("source_file"), "line_no",
-            *[F.col(c).alias(h) for c, h in zip(["date", "particulars", "vch_type", "vch_no", "debit", "credit"], PAGE_HEADER)],
-        )
         path = scratch_path(spark, "statement_files")
-        write_files(df, path, ["line_no"], header=True)
+        write_files(printed_statement(spark, sf_dir), path, ["line_no"], header=True)
         return path
 
     return _memo(spark, sf_dir, "statement_files", build)
 
 
-def mixed_statement_files(spark: SparkSession, sf_dir: str) -> str:
-    """The dirty statements as one CSV per party, each with its own header line: columns in the usual order, with credit before debit and the date last, or
-    with a column more between them."""
-    from ..sources.files import write_files
+def printed_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty statements under the names as printed, with their file."""
+    return dirty_statement(spark, sf_dir).select(
+        F.concat(F.lit(STATEMENT_PREFIX), "statement_id", F.lit(".csv")).alias("source_file"), "line_no",
+        *[F.col(c).alias(h) for c, h in zip(["date", "particulars", "vch_type", "vch_no", "debit", "credit"], PAGE_HEADER)],
+    )
+
+
+def statement_bundles(spark: SparkSession, sf_dir: str) -> str:
+    """The files of ``statement_files`` in bundles."""
+    from ..sources.files import write_bundles
+    from ..session import scratch_path
+
+    def build():
+        path = scratch_path(spark, "statement_bundles")
+        write_bundles(printed_statement(spark, sf_dir), path, ["line_no"], header=True)
+        return path
+
+    return _memo(spark, sf_dir, "statement_bundles", build)
+
+
+def mixed_statement_bundles(spark: SparkSession, sf_dir: str) -> str:
+    """The dirty statements as one CSV per party, in bundles, each with its own header line: columns in the usual order, with credit before debit and the date
+    last, or with a column more between them."""
+    from ..sources.files import write_bundles
     from ..session import scratch_path
 
     def build():
@@ -314,11 +330,11 @@ def mixed_statement_files(spark: SparkSession, sf_dir: str) -> str:
         lines = parts[0]
         for more in parts[1:]:
             lines = lines.unionByName(more)
-        path = scratch_path(spark, "mixed_statement_files")
-        write_files(lines, path, ["line"])
+        path = scratch_path(spark, "mixed_statement_bundles")
+        write_bundles(lines, path, ["line"])
         return path
 
-    return _memo(spark, sf_dir, "mixed_statement_files", build)
+    return _memo(spark, sf_dir, "mixed_statement_bundles", build)
 
 
 def split_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,40 +357,59 @@ def split_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "split_statement", build)
 
 
-def sheet_files(spark: SparkSession, sf_dir: str) -> str:
-    """The own ledger as one sheet per party: a title line, the header line (with a column more than needed), then the entries.
+def printed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one sheet per party from the own ledger: a title line, the header line (with a column more than needed), then the entries.
 
     Dates are written in one way per sheet: 1995-03-04, 4/3/1995, 04-Mar-1995, or the first with every seventh as 04.03.1995."""
     from ..schemas import SHEET_HEADER
+
+    own = own_ledger(spark, sf_dir)
+    cols = [f"_c{i}" for i in range(len(SHEET_HEADER) + 1)]
+    name = F.concat(F.lit(SHEET_PREFIX), F.col("customer_name"), F.lit(".csv")).alias("source_file")
+    parties = own.select("customer_name").distinct()
+    title = parties.select(name, F.lit(1).cast("long").alias("line"), F.concat(F.lit("Ledger of "), "customer_name").alias(cols[0]),
+                           *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
+    header = parties.select(name, F.lit(2).cast("long").alias("line"), *[F.lit(h).alias(c) for h, c in zip([*SHEET_HEADER, "Remarks"], cols)])
+    money = lambda c: F.format_number(F.col(c), 2)
+    way = F.regexp_extract("customer_name", r"(\d{9})", 1).cast("long") % 4
+    way = F.when((way == 3) & (F.col("idx") % 7 == 0), F.lit(4)).otherwise(way)
+    written = lambda f: F.date_format("posting_date", f)
+    day = F.when(way == 1, written("d/M/yyyy")).when(way == 2, written("dd-MMM-yyyy")).when(way == 4, written("dd.MM.yyyy")).otherwise(written("yyyy-MM-dd"))
+    origin_no = F.when(F.col("idx") % 3 == 0, F.concat("origin_no", F.lit(".0"))).otherwise(F.col("origin_no"))
+    values = [day, day, F.col("idx").cast("string"), F.lit(SHEET_CONSTANTS["offset_account"]), F.lit(SHEET_CONSTANTS["origin"]),
+              origin_no, F.lit(None).cast("string"), F.lit(SHEET_CONSTANTS["details"]), money("debit_lc"), money("credit_lc"),
+              money("cumulative_balance_lc"), money("cumulative_balance_lc"), F.lit(SHEET_CONSTANTS["created_by"]),
+              F.lit(SHEET_CONSTANTS["branch"]), F.lit("-")]
+    data = own.select(name, (F.col("idx") + 2).alias("line"), *[v.alias(c) for v, c in zip(values, cols)])
+    return title.unionByName(header).unionByName(data)
+
+
+def sheet_files(spark: SparkSession, sf_dir: str) -> str:
+    """The sheets as one CSV per party."""
     from ..sources.files import write_files
     from ..session import scratch_path
 
     def build():
-        own = own_ledger(spark, sf_dir)
-        cols = [f"_c{i}" for i in range(len(SHEET_HEADER) + 1)]
-        name = F.concat(F.lit(SHEET_PREFIX), F.col("customer_name"), F.lit(".csv")).alias("source_file")
-        parties = own.select("customer_name").distinct()
-        title = parties.select(name, F.lit(1).cast("long").alias("line"), F.concat(F.lit("Ledger of "), "customer_name").alias(cols[0]),
-                               *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
-        header = parties.select(name, F.lit(2).cast("long").alias("line"), *[F.lit(h).alias(c) for h, c in zip([*SHEET_HEADER, "Remarks"], cols)])
-        money = lambda c: F.format_number(F.col(c), 2)
-        way = F.regexp_extract("customer_name", r"(\d{9})", 1).cast("long") % 4
-        way = F.when((way == 3) & (F.col("idx") % 7 == 0), F.lit(4)).otherwise(way)
-        written = lambda f: F.date_format("posting_date", f)
-        day = F.when(way == 1, written("d/M/yyyy")).when(way == 2, written("dd-MMM-yyyy")).when(way == 4, written("dd.MM.yyyy")).otherwise(written("yyyy-MM-dd"))
-        origin_no = F.when(F.col("idx") % 3 == 0, F.concat("origin_no", F.lit(".0"))).otherwise(F.col("origin_no"))
-        values = [day, day, F.col("idx").cast("string"), F.lit(SHEET_CONSTANTS["offset_account"]), F.lit(SHEET_CONSTANTS["origin"]),
-                  origin_no, F.lit(None).cast("string"), F.lit(SHEET_CONSTANTS["details"]), money("debit_lc"), money("credit_lc"),
-                  money("cumulative_balance_lc"), money("cumulative_balance_lc"), F.lit(SHEET_CONSTANTS["created_by"]),
-                  F.lit(SHEET_CONSTANTS["branch"]), F.lit("-")]
-        data = own.select(name, (F.col("idx") + 2).alias("line"), *[v.alias(c) for v, c in zip(values, cols)])
         path = scratch_path(spark, "sheet_files")
-        write_files(title.unionByName(header).unionByName(data), path, ["line"])
+        write_files(printed_sheets(spark, sf_dir), path, ["line"])
         return path
 
     return _memo(spark, sf_dir, "sheet_files", build)
 
 
+def sheet_bundles(spark: SparkSession, sf_dir: str) -> str:
+    """The sheets in bundles."""
+    from ..sources.files import write_bundles
+    from ..session import scratch_path
+
+    def build():
+        path = scratch_path(spark, "sheet_bundles")
+        write_bundles(printed_sheets(spark, sf_dir), path, ["line"])
+        return path
+
+    return _memo(spark, sf_dir, "sheet_bundles", build)
+
+
 # ---------------------------------------------------------------- OCR blocks (FIXTURES §6)
 
 LINES_PER_PAGE = 10

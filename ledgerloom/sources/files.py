@@ -7,7 +7,9 @@ numbers. Line numbers are then made dense per file with ``ordered_scan``.
 
 A file's label is its name (``SAP_<party>.csv``). Files written by Spark live
 in ``source_file=<name>`` folders, whose value partition discovery decodes;
-plain folders of files use the (URL-decoded) file name.
+plain folders of files use the (URL-decoded) file name. Very many small files
+are kept in bundles: CSV of whole files one after the other, each line with its
+file's name before its cells, so no folder is listed or made per file.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import file_stem, url_decoded
-from ..operators.joins import join_per_key
-from ..operators.scan import BUCKET_ROWS, ordered_scan
+from ..operators.joins import bounded_small, join_per_key
+from ..operators.scan import BUCKET_ROWS, ordered_scan, quoted
 from ..session import materialize
 
 FILE_COL = "source_file"
@@ -42,6 +44,21 @@ def write_files(df: DataFrame, path: str, order: Sequence[str], *, header: bool
     )
 
 
+def write_bundles(df: DataFrame, path: str, order: Sequence[str], *, header: bool = False) -> None:
+    """The lines of all files as bundles, a file's lines together in one of them in ``order``; ``header`` gives every bundle a line of column names."""
+    (
+        df.select(FILE_COL, *[quoted(c) for c in df.columns if c != FILE_COL])
+        .repartition(FILE_COL)
+        .sortWithinPartitions(FILE_COL, *order)
+        .drop(*order)
+        .write.mode("overwrite")
+        .option("header", header)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 META = ["_file_path", "_file_name", "_blk"]
 
 
@@ -90,7 +107,7 @@ def text_schema(columns: int) -> T.StructType:
 
 
 def read_files(
-    spark: SparkSession, path: str, *, header: bool = False, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, *, header: bool = False, schema: T.StructType | None = None, multi_line: bool = True, bundled: bool = False
 ) -> DataFrame:
     """All files below ``path`` with ``source_file`` and a dense ``line_no`` per file (1-based, data lines).
 
@@ -98,10 +115,14 @@ def read_files(
     a header and a schema, the columns ``_c0``, ``_c1``, ... are as many as the widest line has.
 
     ``multi_line`` allows quoted line breaks inside a cell but keeps every file in one task; with ``False`` a
-    large file is split over many tasks and its line order still comes out exact (split start, position)."""
+    large file is split over many tasks and its line order still comes out exact (split start, position).
+
+    ``bundled``: the files are in bundles (``write_bundles``); ``schema`` is that of their cells."""
     reader = spark.read.option("header", header).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     if schema is None and not header:
-        schema = text_schema(widest_line(spark, path))
+        schema = text_schema(widest_line(spark, path) - int(bundled))
+    if bundled and schema is not None:
+        schema = T.StructType([T.StructField(FILE_COL, T.StringType()), *schema])
     if schema is not None:
         reader = reader.schema(schema)
     return number_lines(reader.csv(path))
@@ -122,11 +143,12 @@ def by_header(lines: DataFrame, names: Mapping[str, str], header_line: int = 1,
     table of one row per file that is joined to the lines: no collect, no loop over files. A file without a required column is an error."""
     values = F.array(*[F.col(c) for c in lines.columns if re.fullmatch(r"_c\d+", c)])
     headers = lines.where(F.col("line_no") == header_line).select(FILE_COL, F.transform(values, lambda x: F.trim(x)).alias("header"))
+    headers, small = bounded_small(headers, "file_headers")  # written once: the lines are numbered for them and for the data, not for each look at them
     bad = missing_columns(headers, list(names)).take(1)
     if bad:
         raise ValueError(f"{what} {bad[0][FILE_COL]}: missing column(s) {bad[0]['missing']}")
     data = lines.where(F.col("line_no") > header_line).select(FILE_COL, (F.col("line_no") - header_line).alias("line_no"), values.alias("_v"))
-    data = join_per_key(data, headers, FILE_COL, name="file_headers")
+    data = join_per_key(data, headers, FILE_COL, checked=small)
     pick = [F.try_element_at(F.col("_v"), F.array_position(F.col("header"), name).cast("int")).alias(c) for name, c in names.items()]
     return data.select(FILE_COL, "line_no", *pick)
 

@@ -104,3 +104,34 @@ def test_sheets_of_unknown_width_and_date_forms(spark, tmp_path):
         "SAP_iso.csv": ("yyyy-MM-dd", 2, 1, False), "SAP_day first.csv": ("d/M/yyyy", 3, 1, False), "SAP_month first.csv": ("M/d/yyyy", 2, 0, False),
         "SAP_either.csv": ("d/M/yyyy", 2, 0, True), "SAP_names.csv": ("d-MMM-yyyy", 4, 3, False),
     }
+
+
+def test_bundles_hold_the_lines_of_many_files_in_few(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.sources.files import by_header, write_bundles
+
+    swapped = F.col("file") % 2 == 1
+    lines = spark.range(3000).select(
+        (F.col("id") % 1000).alias("file"), F.floor(F.col("id") / 1000).alias("line")
+    ).select(
+        F.when(F.col("file") != 999, F.concat(F.lit("temp_p"), F.col("file").cast("string"), F.lit(".csv"))).alias("source_file"), "line",
+        F.when(F.col("line") == 0, F.when(swapped, "B").otherwise("A")).otherwise(F.when(swapped, "b,1").otherwise(" a\nx")).alias("_c0"),
+        F.when(F.col("line") == 0, F.when(swapped, "A").otherwise("B")).otherwise(F.when(swapped, " a\nx").otherwise("b,1")).alias("_c1"),
+    )
+    write_bundles(lines, str(tmp_path / "bundles"), ["line"])
+    assert len(list((tmp_path / "bundles").glob("**/*.csv"))) <= 100
+    got = by_header(read_files(spark, str(tmp_path / "bundles"), bundled=True), {"A": "a", "B": "b"})
+    rows = got.where(F.col("source_file").isNotNull()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("s")).collect()
+    assert [tuple(r) for r in rows] == [(" a\nx", "b,1", 1998, 999 * 3)]
+
+
+def test_queries_over_files_make_no_file_per_party(spark):
+    import pathlib
+
+    from __spark_entry__ import SMOKE_DIR
+    from ledgerloom.plans import fixtures as fx
+
+    for bundles in (fx.statement_bundles, fx.mixed_statement_bundles, fx.sheet_bundles):
+        folder = pathlib.Path(bundles(spark, SMOKE_DIR).removeprefix("file:"))
+        assert 0 < len(list(folder.glob("**/*.csv"))) < fx.own_ledger(spark, SMOKE_DIR).select("customer_name").distinct().count() / 2
