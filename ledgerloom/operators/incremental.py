@@ -76,7 +76,9 @@ def reconcile_changed(ledger: DataFrame, statement: DataFrame, fiscal_start: str
     state = materialize(state.withColumn("attempt", F.lit(attempt)), "state")
     fresh, small = bounded_small(state.where(F.col("holder") == attempt).select(*rc.KEYS), "fresh_pairs")
     some = F.broadcast(fresh) if small else fresh
-    a, b = (materialize(book.join(some, rc.KEYS, "left_semi"), f"fresh_{side}") for book, side in ((keyed.a, "own"), (keyed.b, "other")))
+    a, b = keyed.a, keyed.b
+    if last is not None or not small:  # in a first run all pairs are fresh: the books are read as they are unless the join with the pairs is a shuffle
+        a, b = (materialize(book.join(some, rc.KEYS, "left_semi"), f"fresh_{side}") for book, side in ((a, "own"), (b, "other")))
     part = rc.Keyed(a, b, fresh, small)
     v, small = bounded_small(rc.verdict(part, fiscal_start, books), "verdict")
     entries = rc.Reconciliation(part, v, small, books).entries()

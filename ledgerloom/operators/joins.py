@@ -8,7 +8,8 @@
   haystack text emits each of its grams once, so its rows grow with its length, whatever the needles' lengths. Each needle is filed under the one of its
   own grams that the fewest haystack texts of its key have (none at all: it is contained nowhere). Texts and needles that share that gram are the
   candidates, and are verified. A needle shorter than a gram is a gram of its own length, which texts emit only where their key has such needles.
-  Exact; equal needles and equal texts of a key are looked up once.
+  Where all needles have one key and are many, the longer ones have longer grams, as the texts that share a short one grow with the texts.
+  Grams are compared by a hash of key and gram, which can only add candidates. Exact; equal needles and equal texts of a key are looked up once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .scan import is_plain_scan, quoted
 
 # Characters of a gram of the containment index.
 GRAM = 4
+# Longer grams, and the needles from which on one is used.
+LONG_GRAMS = (8, 16, 32)
+MANY_NEEDLES = 1024
 # Largest per-key table that is broadcast to every task.
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 << 20
@@ -81,14 +85,38 @@ def grams(text: Column, size) -> Column:
     return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def gram_keys(keys: Sequence[str], runs: Column) -> Column:
+    """Hashes of a key with each of its grams."""
+    return F.transform(runs, lambda run: F.xxhash64(*[F.col(k) for k in keys], run))
+
+
+def gram_sizes(needles: DataFrame, keys: Sequence[str], needle: str, one_key: bool = False) -> DataFrame:
+    """(keys, _sizes): the lengths of grams that the needles of a key are filed under, a handful at most."""
+    size = F.least(F.length(needle), F.lit(GRAM))
+    if one_key:
+        for n in LONG_GRAMS:
+            size = F.when(F.length(needle) >= n, F.lit(n)).otherwise(size)
+        counts = needles.groupBy(*keys, size.alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+        needles, size = counts, F.when((F.col("_size") > GRAM) & (F.col("_n") < MANY_NEEDLES), F.lit(GRAM)).otherwise(F.col("_size"))
+    return needles.groupBy(*keys).agg(F.collect_set(size).alias("_sizes"))
+
+
 def text_grams(hay: DataFrame, keys: Sequence[str], text: str, needles: DataFrame, needle: str, one_key: bool = False) -> DataFrame:
-    """(keys, _text, _gram): every gram of every distinct text; a shorter run only of the lengths that needles of the key have."""
+    """(keys, _text, _gram): every gram of every distinct text of a key with needles, by its hash, of the lengths that the needles of the key are filed under."""
     texts = hay.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).distinct()
-    short = needles.where(F.length(needle).between(1, GRAM - 1)).groupBy(*keys).agg(F.collect_set(F.length(needle)).alias("_short"))  # fewer than GRAM each
-    texts = texts.join(F.broadcast(short) if one_key else short, list(keys), "left")
-    none = F.array().cast("array<int>")
-    runs = F.concat(grams(F.col("_text"), GRAM), F.flatten(F.transform(F.coalesce("_short", none), lambda size: grams(F.col("_text"), size))))
-    return texts.select(*keys, "_text", F.explode(runs).alias("_gram"))
+    sizes = gram_sizes(needles, keys, needle, one_key)
+    texts = texts.join(F.broadcast(sizes) if one_key else sizes, list(keys))
+    runs = F.flatten(F.transform("_sizes", lambda size: grams(F.col("_text"), size)))
+    return texts.select(*keys, "_text", F.explode(gram_keys(keys, runs)).alias("_gram"))
+
+
+def needle_grams(needles: DataFrame, keys: Sequence[str], needle: str, one_key: bool = False) -> DataFrame:
+    """(keys, needle, _gram): the grams under which a needle may be filed."""
+    size = F.least(F.length(needle), F.lit(GRAM))
+    if one_key:
+        needles = needles.join(F.broadcast(gram_sizes(needles, keys, needle, True)), list(keys))
+        size = F.array_max(F.filter("_sizes", lambda n: n <= F.length(needle)))
+    return needles.select(*keys, needle, F.explode(gram_keys(keys, grams(F.col(needle), size))).alias("_gram"))
 
 
 def contains_matches(needles: DataFrame, keys: Sequence[str], needle: str, hay: DataFrame, text: str, one_key: bool = False) -> DataFrame:
@@ -97,11 +125,9 @@ def contains_matches(needles: DataFrame, keys: Sequence[str], needle: str, hay:
     keys = list(keys)
     wanted = needles.where(F.length(needle) > 0).select(*keys, F.col(needle).alias("_needle")).distinct()
     held = text_grams(hay, keys, text, wanted, "_needle", one_key)
-    common = held.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    own = wanted.select(*keys, "_needle", F.explode(grams(F.col("_needle"), F.least(F.length("_needle"), F.lit(GRAM)))).alias("_gram"))
-    counted = own.join(common, [*keys, "_gram"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    filed = counted.groupBy(*keys, "_needle").agg(F.min(F.struct("_n", "_gram")).alias("_rarest")).where(F.col("_rarest._n") > 0)
-    filed = filed.select(*keys, "_needle", F.col("_rarest._gram").alias("_gram"))
+    common = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counted = needle_grams(wanted, keys, "_needle", one_key).join(common, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    filed = counted.groupBy(*keys, "_needle").agg(F.min("_n").alias("_n"), F.min_by("_gram", "_n").alias("_gram")).where(F.col("_n") > 0).drop("_n")
     return held.join(filed, [*keys, "_gram"]).where(F.contains("_text", "_needle")).select(*keys, "_needle", "_text")
 
 

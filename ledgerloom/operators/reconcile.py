@@ -265,7 +265,8 @@ def unmatched_by_amount(a4: DataFrame, b4: DataFrame) -> tuple[DataFrame, DataFr
 def unmatched(a4: DataFrame, b4: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of A (case 4) that no row of B matches, and rows of B that none of A does: B credit = A debit, B debit = A credit, B voucher contains A
     doc no."""
-    own, other = unmatched_by_amount(a4, b4)
+    # written once: each is read for its rows, its distinct texts and their grams
+    own, other = (materialize(rows, f"unmatched_{side}") for rows, side in zip(unmatched_by_amount(a4, b4), ("own", "other")))
     return (
         contains_anti_needles(own, KEYS, ["idx"], "doc_no", b4, "voucher"),
         contains_anti_haystack(other, KEYS, ["idx"], "voucher", a4, "doc_no"),

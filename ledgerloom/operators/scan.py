@@ -100,7 +100,9 @@ def ordered_scan(
         local_exprs.append(F.row_number().over(w_local).cast("long").alias("_ln"))
     local_exprs += [F.sum(c).over(w_run).alias(f"_l{c}") for c in vals]
     local_exprs += [F.last(c, ignorenulls=True).over(w_run).alias(f"_l{c}") for c in fvals]
-    local = staged.select(*[quoted(c) for c in cols], *pkeys, "_b", *local_exprs)
+    # the keys travel once, in their non-null form, and get their own back at the end
+    own = {k: F.when(~F.col(f"_kn{n}"), F.col(f"_kc{n}")).alias(k) for n, k in enumerate(keys)}
+    local = staged.select(*[quoted(c) for c in cols if c not in own], *pkeys, "_b", *local_exprs)
 
     order_struct = F.struct(*[F.col(c) for c in order])
     tot_exprs = []
@@ -120,7 +122,7 @@ def ordered_scan(
 
     joined = local.join(offsets, [*pkeys, "_b"], "inner")
 
-    out = [quoted(c) for c in cols]
+    out = [own.get(c, quoted(c)) for c in cols]
     if row_number:
         out.append((F.col("_on") + F.col("_ln")).cast("long").alias(row_number))
     for (name, value), c in zip(sums.items(), vals):

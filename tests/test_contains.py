@@ -41,3 +41,20 @@ def test_needles_are_filed_under_their_rarest_gram(spark):
     found = sorted((r["_needle"], r["_text"]) for r in joins.contains_matches(n, ["k"], "needle", h, "text").collect())
     assert found == [("000123/24", "INV/000123/24"), ("INV/000777", "INV/000777/24")]
     assert joins.contains_matches(n.where(F.lit(False)), ["k"], "needle", h, "text").count() == 0
+
+
+def test_many_long_needles_have_few_texts_each(spark):
+    """3,000 names that share their first letters and all runs of four: few rows a name, and each name's gram is in its own text alone. A short needle is found too."""
+    names = spark.range(3000).selectExpr("1 AS k", "concat('Customer#', lpad(id, 9, '0')) AS name")
+    wanted = names.union(spark.createDataFrame([(1, "0777"), (1, "er#000001"), (1, "zzz")], "k int, name string"))
+    held = joins.text_grams(names, ["k"], "name", wanted, "name", one_key=True).cache()
+    assert held.count() <= 8 * 2 * 3000 * 3
+    own = joins.needle_grams(names, ["k"], "name", one_key=True).withColumnRenamed("name", "needle")
+    counts = own.join(held.groupBy("_gram").count(), "_gram").groupBy("needle").agg(F.min("count").alias("n"))
+    assert counts.agg(F.max("n")).first()[0] == 1
+    found = joins.contains_matches(wanted, ["k"], "name", names, "name", one_key=True)
+    assert found.where("_needle = _text").count() == 3000
+    want = [f"Customer#{i:09d}" for i in range(3000)]
+    assert sorted((r["_needle"], r["_text"]) for r in found.where("_needle <> _text").collect()) == sorted(
+        (n, t) for n in ("0777", "er#000001") for t in want if n in t
+    )
