@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from .text import col_, first_word, repair_date_text
 
 # Statement date formats, tried in this order ("13-Aug-24", then "1-4-2024")
 STATEMENT_FORMATS = ("d-MMM-yy", "d-M-yyyy")
+# and how every text ends that they can read: other texts aren't tried, as a failed try costs many times a good one
+STATEMENT_ENDS = (r"-\D{3}-[0-9]{2}$", r"[0-9]-[+-]?[0-9]{4,}$")
 # ERP export formats (ISO date, ISO timestamp)
 ERP_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 # All forms a sheet's dates may have, in order of preference where several fit, each with the shape of its text; day before month comes first
@@ -29,6 +31,11 @@ SHEET_FORMATS = (
 PIVOT_YEAR = 2069
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` names it (branches of ``when`` would compute it again)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pivot_two_digit_year(d: Column) -> Column:
     """Spark reads 'yy' as 20yy; move 2069..2099 back a century."""
     return F.when(F.year(d) >= PIVOT_YEAR, F.add_months(d, -1200)).otherwise(d)
@@ -36,9 +43,12 @@ def pivot_two_digit_year(d: Column) -> Column:
 
 def parse_statement_date(c) -> Column:
     """First word of the repaired text as d-MMM-yy, else d-M-yyyy, else null."""
-    w = first_word(col_(c))
-    short = pivot_two_digit_year(F.try_to_date(w, STATEMENT_FORMATS[0]))
-    return F.coalesce(short, F.try_to_date(w, STATEMENT_FORMATS[1]))
+
+    def read(word: Column) -> Column:
+        short, long = (F.when(word.rlike(end), F.try_to_date(word, f)) for f, end in zip(STATEMENT_FORMATS, STATEMENT_ENDS))
+        return F.coalesce(once(short, pivot_two_digit_year), long)
+
+    return once(first_word(col_(c)), read)
 
 
 def clean_statement_date(c) -> Column:

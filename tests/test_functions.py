@@ -1,11 +1,13 @@
 """Scalar functions: date repair/parse, amounts, text, similarity (edge cases of SURVEY §2.9 / FIXTURES §2)."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import dates
 from ledgerloom.functions.amounts import nan_to_null, parse_amount
 from ledgerloom.functions.dates import clean_statement_date, date_text, parse_erp_date
 from ledgerloom.functions.similarity import lcs_length, similarity
@@ -135,3 +137,24 @@ def test_similarity_to_fixed_equals_similarity(spark):
     for r in got:
         for i, n in enumerate(names):
             assert r[f"s{i}"] == ratio_py(r["a"], n), (r["a"], n)
+
+
+def test_a_date_text_is_repaired_once(spark):
+    """The repair is named once in the plan of a parsed date, not in each branch that looks at it."""
+    plan = spark.createDataFrame([("13-Aug-24",)], "t string").select(clean_statement_date("t").alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(Dr|Cr|By|To)") == 1
+
+
+def test_statement_dates_are_tried_only_where_they_can_fit(spark):
+    """The texts that are not tried are those that no format reads; most lines of a statement are among them."""
+    days, months = ["1", "01", "13", "31", "0", "+1", "-1", "001", "x", ""], ["Aug", "AUG", "aug", "Sept", "August", "8", "08", "13", "+8", "-8", "A"]
+    years = ["24", "70", "2024", "024", "02024", "+12024", "-2024", "4", "", "20 24", "24x"]
+    texts = [f"{d}-{m}-{y}" for d in days for m in months for y in years] + ["", "-", "Date", "Total", "2024-01-13", "13/08/2024", "13-Aug-24-", None, "13-Aug-24\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    w = F.split(F.regexp_replace("t", r"^\s+|\s+$", ""), " ").getItem(0)
+    plain = F.coalesce(dates.pivot_two_digit_year(F.try_to_date(w, "d-MMM-yy")), F.try_to_date(w, "d-M-yyyy"))
+    rows = df.select("t", dates.parse_statement_date("t").cast("string").alias("got"), plain.cast("string").alias("want")).collect()
+    assert [(r["t"], r["got"]) for r in rows if r["got"] != r["want"]] == []
+    assert sum(r["got"] is not None for r in rows) > 20
+    for text in ("", "Date", "Total"):
+        assert not any(re.search(end, text) for end in dates.STATEMENT_ENDS)
