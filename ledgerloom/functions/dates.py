@@ -69,8 +69,7 @@ def parse_erp_date(c, formats: Sequence[str] = ERP_FORMATS) -> Column:
 
 def date_readings(c, formats: Sequence[tuple[str, str]] = SHEET_FORMATS) -> Column:
     """The date that each format reads the text as, null where it doesn't fit. The shape is looked at first, so few formats are tried on a text."""
-    s = F.trim(col_(c))
-    return F.array(*[F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for f, shape in formats])
+    return once(F.trim(col_(c)), lambda s: F.array(*[F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(f)))) for f, shape in formats]))
 
 
 def date_by_format(readings: Column, chosen: Column) -> Column:

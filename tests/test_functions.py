@@ -145,6 +145,13 @@ def test_a_date_text_is_repaired_once(spark):
     assert plan.count("(Dr|Cr|By|To)") == 1
 
 
+def test_a_sheet_date_is_computed_once_for_all_formats(spark):
+    df = spark.createDataFrame([("01/04/2024",), (None,), (" 2024-01-13 ",)], "t string").select(dates.date_readings(F.regexp_replace("t", "#", "")).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    got = [[str(d) for d in r["r"] if d] for r in df.collect()]
+    assert got == [["2024-04-01", "2024-01-04"], [], ["2024-01-13"]]
+
+
 def test_statement_dates_are_tried_only_where_they_can_fit(spark):
     """The texts that are not tried are those that no format reads; most lines of a statement are among them."""
     days, months = ["1", "01", "13", "31", "0", "+1", "-1", "001", "x", ""], ["Aug", "AUG", "aug", "Sept", "August", "8", "08", "13", "+8", "-8", "A"]
