@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import file_stem, url_decoded
 from ..operators.joins import bounded_small, join_per_key
-from ..operators.scan import BUCKET_ROWS, ordered_scan, quoted
+from ..operators.scan import BUCKET_ROWS, is_plain_scan, ordered_scan, quoted
 from ..session import materialize
 
 FILE_COL = "source_file"
@@ -141,9 +141,11 @@ def by_header(lines: DataFrame, names: Mapping[str, str], header_line: int = 1,
 
     Files may order their columns differently and have others between; header names are trimmed, and of two equal ones the first counts. The headers are a
     table of one row per file that is joined to the lines: no collect, no loop over files. A file without a required column is an error."""
+    if not is_plain_scan(lines):
+        lines = materialize(lines, "numbered_lines")  # read for the headers and for the data: numbered once, not for each
     values = F.array(*[F.col(c) for c in lines.columns if re.fullmatch(r"_c\d+", c)])
     headers = lines.where(F.col("line_no") == header_line).select(FILE_COL, F.transform(values, lambda x: F.trim(x)).alias("header"))
-    headers, small = bounded_small(headers, "file_headers")  # written once: the lines are numbered for them and for the data, not for each look at them
+    headers, small = bounded_small(headers, "file_headers")
     bad = missing_columns(headers, list(names)).take(1)
     if bad:
         raise ValueError(f"{what} {bad[0][FILE_COL]}: missing column(s) {bad[0]['missing']}")

@@ -135,3 +135,17 @@ def test_queries_over_files_make_no_file_per_party(spark):
     for bundles in (fx.statement_bundles, fx.mixed_statement_bundles, fx.sheet_bundles):
         folder = pathlib.Path(bundles(spark, SMOKE_DIR).removeprefix("file:"))
         assert 0 < len(list(folder.glob("**/*.csv"))) < fx.own_ledger(spark, SMOKE_DIR).select("customer_name").distinct().count() / 2
+
+
+def test_lines_by_header_are_numbered_once(spark, tmp_path):
+    """The numbered lines are written before they are read for the headers and for the data."""
+    from ledgerloom.sources.files import by_header
+
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("".join(f"{x}\n" for x in ["B,A" if i == 1 else "A,B", *(f"{i}{n},x" for n in range(5))]))
+    lines = read_files(spark, str(tmp_path))
+    got = by_header(lines, {"A": "a", "B": "b"})
+    assert "Window" in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.orderBy("source_file", "line_no").collect()
+    assert [(r["source_file"], r["line_no"], r["a"]) for r in rows] == [(f"{i}.csv", n + 1, "x" if i == 1 else f"{i}{n}") for i in range(3) for n in range(5)]
