@@ -240,3 +240,17 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_blank_lines_are_told_without_the_date_where_a_voucher_says_it(spark):
+    """The date of a line with a voucher number or type isn't computed to see that the line is not blank."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.silver import drop_blank_rows
+
+    raw = spark.createDataFrame(
+        [(1, "no date", "V1", None), (2, "no date", None, "Sale"), (3, "2024-04-01", None, None), (4, None, None, None)],
+        "line_no long, text string, vch_no string, vch_type string",
+    )
+    bronze = raw.withColumn("date", F.col("text").cast("date"))  # an error where it is computed on a text that is none
+    assert sorted(r["line_no"] for r in drop_blank_rows(bronze).select("line_no").collect()) == [1, 2, 3]
