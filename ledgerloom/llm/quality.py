@@ -5,13 +5,14 @@ Trusted documents are labelled quality 1. The model is counted over the whole te
 ``ORDER`` bytes (texts start after zero bytes) are counted in map tasks and summed. Continuation counts, context totals and discounts are grouped, and
 probabilities joined, order by order, on keys of (context) and (suffix), which Spark shards by hash. No gram is cut off.
 
-Trusted texts are found by a semi join on doc_id. A bitmap of the trusted ids' hashes, of ``FILTER_BITS`` bits at any size, is broadcast first, so that few other texts
-are shuffled to that join; with very many trusted ids it lets more through, and the join decides in every case.
+Trusted texts are found by a join on doc_id. At most ``FEW_IDS`` trusted ids (``FEW_IDS_BYTES``) are broadcast to it, so no text is shuffled. Of more ids, a bitmap of their
+hashes, of ``FILTER_BITS`` bits at any size, is broadcast first, so that few other texts are shuffled to that join; the join decides in every case.
 
-Scoring: each text's grams are counted, and the (document, gram, count) rows of a group of texts packed by shard: differences of sorted values, bytes of equal
-significance together, compressed. A shard is a hash of the last two bytes of a
-gram's context, so it holds the grams and contexts of the orders above 2 that its rows can fall back to; orders 1 and 2, at most 256 and 65,536 grams, go to
-every task. Packed rows meet the shard's table in one shuffle, and each document's losses are summed over the shards.
+Scoring: about ``HEAD`` most frequent grams and contexts of each order, at most, go to every task (orders 1 and 2 have 256 and 65,536 grams, so they go whole). Each text's grams are
+counted, and a gram that these tables settle gets its loss in place. For a gram they don't settle, the (document, gram, count) rows of a group of texts are packed by shard:
+differences of sorted values, bytes of equal significance together, compressed. A shard is a hash of the last two bytes of a
+gram's context, so it holds the grams and contexts of the orders above 2 that its rows can fall back to.
+Packed rows meet the shard's whole table in one shuffle, and each document's losses are summed over the shards.
 
 A document's perplexity is exp of the mean -log p of its bytes. Its threshold is the ``QUANTILE`` of the perplexities of all trusted documents of its lang,
 or of all trusted documents where its lang (null included) has none.
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm import words as W
 from ledgerloom.llm.arrow import id_remainder, small_batches
+from ledgerloom.operators.joins import bounded_small
 from ledgerloom.session import materialize
 
 ORDER = 4
@@ -41,6 +43,12 @@ SHARD_BITS = 6
 PACK_BYTES = 4 << 20
 #: Bits of the filter on trusted ids: at most FILTER_BITS / 64 rows are broadcast.
 FILTER_BITS = 1 << 25
+#: Trusted ids that are broadcast as they are: rows and bytes.
+FEW_IDS, FEW_IDS_BYTES = 1 << 20, 64 << 20
+#: Most frequent grams and most frequent contexts of an order that every task holds.
+HEAD = 1 << 18
+#: Orders whose tables every task holds whole.
+LOW = 2
 QUANTILE = 0.995
 HELD_OUT = 5
 
@@ -100,6 +108,24 @@ class Model:
         return out
 
 
+@dataclass
+class Head(Model):
+    """The most frequent grams and contexts by order, and whether they are all."""
+
+    all_grams: list[bool]
+    all_contexts: list[bool]
+
+    def settles(self, code: np.ndarray) -> np.ndarray:
+        """Whether the probability of each gram is the whole model's."""
+        out = np.ones(len(code), bool)
+        for k in range(1, len(self.gram) + 1):
+            part = code & np.uint32((1 << 8 * k) - 1)
+            known, _ = _find(self.gram[k - 1], part)
+            has, _ = _find(self.context[k - 1], part >> np.uint32(8))
+            out = known | (out & self.all_grams[k - 1] & (has | self.all_contexts[k - 1]))
+        return out
+
+
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
@@ -109,7 +135,7 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tables(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> list[tuple[DataFrame, DataFrame]] | None:
-    """For each order from 1, (gram, p) and (context, mass), joined in Spark from (gram, c); None without grams. ``keep``, for tests, cuts off rare grams."""
+    """For each order from 1, (gram, c, p) and (context, total, mass), joined in Spark from (gram, c); None without grams. ``keep``, for tests, cuts off rare grams."""
     level = materialize(counts, "counts")
     levels = [level]
     for k in range(order - 1, 0, -1):  # lower orders count the different bytes before a gram
@@ -132,10 +158,10 @@ def tables(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> li
         if lower is not None:
             p = p.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
             below = F.col("below")
-        lower = materialize(p.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("mass") * below).alias("p")), "probabilities")
+        lower = materialize(p.select("gram", "c", ((F.col("c") - F.col("d")) / F.col("total") + F.col("mass") * below).alias("p")), "probabilities")
         if cut:
             contexts = contexts.join(lower.select(F.shiftright("gram", 8).alias("context")).distinct(), "context")
-        out.append((lower, contexts.select("context", "mass")))
+        out.append((lower, contexts.select("context", "total", "mass")))
     return out
 
 
@@ -151,6 +177,30 @@ def collect(parts: list[tuple[DataFrame, DataFrame]]) -> Model:
     return model
 
 
+def _frequent(table: DataFrame, count: str, most: int) -> tuple[DataFrame, bool]:
+    """The rows with the largest counts, about ``most`` of them at most, and whether that is all."""
+    n = table.count()
+    if n <= most:
+        return table, True
+    cut = table.agg(F.percentile_approx(count, 1 - most / n, 10_000)).first()[0]
+    return table.filter(F.col(count) > cut), False
+
+
+def head(parts: list[tuple[DataFrame, DataFrame]], most: int = HEAD) -> Head:
+    """Orders up to ``LOW`` whole, and of those above the most frequent grams and contexts, on the driver."""
+    out = Head([], [], [], [], [], [])
+    for k, (probabilities, contexts) in enumerate(parts, 1):
+        some, whole = (probabilities, True) if k <= LOW else _frequent(probabilities, "c", most)
+        known, known_whole = (contexts, True) if k <= LOW else _frequent(contexts, "total", most)
+        for table, key, value, keys, values in ((some, "gram", "p", out.gram, out.p), (known, "context", "mass", out.context, out.mass)):
+            rows = table.select(key, value).toArrow().sort_by(key)
+            keys.append(rows[key].to_numpy().astype(np.uint32))
+            values.append(rows[value].to_numpy())
+        out.all_grams.append(whole)
+        out.all_contexts.append(known_whole)
+    return out
+
+
 def kneser_ney(counts: DataFrame, order: int = ORDER, keep: int | None = None) -> Model | None:
     """The whole model of (gram, c) on the driver, for small counts; None without grams."""
     parts = tables(counts, order, keep)
@@ -174,9 +224,12 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
     """The tables of the whole texts of all trusted documents that aren't held out."""
-    ours = trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0)
+    ours, few = bounded_small(trusted_ids(labels).filter(id_remainder("doc_id", HELD_OUT) != 0), "trusted", FEW_IDS, FEW_IDS_BYTES)
+    texts = docs.select("doc_id", "text")
+    if few:
+        return tables(gram_counts(texts.join(F.broadcast(ours), "doc_id")))
     # (``ours`` has distinct ids; the optimizer would move a semi join below the one with the bitmap, and shuffle all texts)
-    return tables(gram_counts(likely(docs.select("doc_id", "text"), ours).join(ours, "doc_id")))
+    return tables(gram_counts(likely(texts, ours).join(ours, "doc_id")))
 
 
 def shards(code: np.ndarray) -> np.ndarray:
@@ -217,11 +270,24 @@ def decode(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.cumsum(gram, dtype=np.uint32), per, doc, times
 
 
-def _pack(g: W.Texts) -> dict[int, list[bytes]]:
-    """By shard, encoded: its distinct grams, how many entries each has, and the entries' documents and counts (of 255 at most; a larger one has several entries)."""
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value and length of each run of equal values."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _pack(g: W.Texts, common: Head) -> tuple[np.ndarray, dict[int, list[bytes]]]:
+    """The texts' losses by the grams that ``common`` settles; by shard, encoded: its other distinct grams, how many entries each has, and the entries' documents and counts
+    (of 255 at most; a larger one has several entries)."""
     code, n = grams(g.data, g.bounds), np.diff(g.bounds)
     key = shards(code).astype(np.uint64) << np.uint64(48) | code.astype(np.uint64) << np.uint64(16) | np.repeat(np.arange(len(n), dtype=np.uint64), n)
     key, count = np.unique(key, return_counts=True)
+    distinct, per = _runs((key >> np.uint64(16)).astype(np.uint32))
+    sure = common.settles(distinct)
+    of = np.repeat(sure, per)
+    loss = np.repeat(-np.log(common.probabilities(distinct[sure])), per[sure]) * count[of]
+    lost = np.bincount((key[of] & np.uint64(0xFFFF)).astype(np.int64), loss, minlength=len(n))
+    key, count = key[~of], count[~of]
     times = (count + 254) // 255
     last = np.cumsum(times) - 1
     small = np.full(int(times.sum()), 255, np.uint8)
@@ -231,16 +297,17 @@ def _pack(g: W.Texts) -> dict[int, list[bytes]]:
     edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
     out = {}
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        gram, per = np.unique((key[lo:hi] >> np.uint64(16)).astype(np.uint32), return_counts=True)
+        gram, per = _runs((key[lo:hi] >> np.uint64(16)).astype(np.uint32))
         out[int(shard[lo])] = encode(gram, per, doc[lo:hi], small[lo:hi])
-    return out
+    return lost, out
 
 
 _BLOBS = ["grams", "per", "docs", "times"]
 
 
-def _packed(docs: DataFrame, carry: list[str] | None, copies: int) -> DataFrame:
-    """Documents (kind 2: batch, place, row, n) and their packed grams (kind 1: batch, n documents, blobs), each with the task that takes it."""
+def _packed(docs: DataFrame, carry: list[str] | None, copies: int, sent) -> DataFrame:
+    """Documents (kind 2: batch, place, row, n, loss by the grams that every task's tables settle) and their other grams, packed (kind 1: batch, blobs), each with the task
+    that takes it."""
     row = F.struct("*") if carry is None else F.struct(*(F.col(f"`{c}`") for c in carry))
     source = small_batches(docs).select(row.alias("row"), F.col("text").alias("text"))
     tasks = copies << SHARD_BITS
@@ -255,17 +322,17 @@ def _packed(docs: DataFrame, carry: list[str] | None, copies: int) -> DataFrame:
                     part = W.Texts(lo, hi, g.data[g.bounds[lo] : g.bounds[hi]], g.bounds[lo : hi + 1] - g.bounds[lo])
                     n, place = hi - lo, np.arange(hi - lo)
                     none = [pa.nulls(n, pa.binary())] * len(_BLOBS)
-                    yield pa.RecordBatch.from_arrays([pa.array(((uid + place) % tasks).astype(np.int32)), pa.array([2] * n, pa.int32()), pa.array([uid] * n, pa.int64()), pa.array(place.astype(np.int32)), pa.array(np.diff(part.bounds)), rows.slice(lo, n), *none], names=names)
-                    found = _pack(part)
+                    lost, found = _pack(part, sent.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(((uid + place) % tasks).astype(np.int32)), pa.array([2] * n, pa.int32()), pa.array([uid] * n, pa.int64()), pa.array(place.astype(np.int32)), pa.array(np.diff(part.bounds)), pa.array(lost), rows.slice(lo, n), *none], names=names)
                     m = len(found)
                     if m:
                         to = [k * copies + uid % copies for k in found]
                         blobs = [pa.array(list(x), pa.binary()) for x in zip(*found.values(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([1] * m, pa.int32()), pa.array([uid] * m, pa.int64()), pa.array(list(found), pa.int32()), pa.array([n] * m, pa.int64()), pa.nulls(m, rows.type), *blobs], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([1] * m, pa.int32()), pa.array([uid] * m, pa.int64()), pa.array(list(found), pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, rows.type), *blobs], names=names)
                     uid += 1
         pa.default_memory_pool().release_unused()
 
-    fields = T._parse_datatype_string("task int, kind int, batch bigint, place int, n bigint").fields
+    fields = T._parse_datatype_string("task int, kind int, batch bigint, place int, n bigint, loss double").fields
     schema = T.StructType([*fields, T.StructField("row", source.schema["row"].dataType), *(T.StructField(x, T.BinaryType()) for x in _BLOBS)])
     names = schema.names
     return source.mapInArrow(run, schema)
@@ -287,25 +354,28 @@ def _lose(sent, mid: T.StructType):
                     chunks.append([rows.column(c).to_numpy(zero_copy_only=False) for c in ("level", "gram", "value")])
                     continue
                 if kind[lo] == 2:
-                    yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("batch", "place", "n", "row")] + [pa.nulls(len(rows), pa.binary())], names=mid.names)
+                    yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("batch", "place", "n", "loss", "row")] + [pa.nulls(len(rows), pa.binary())] * 2, names=mid.names)
                     continue
                 if model is None:
                     model = _shard_model(sent.value, chunks)
-                sums = []
-                for n, *blobs in zip(*(rows.column(c).to_pylist() for c in ("n", *_BLOBS)), strict=True):
+                places, sums = [], []
+                for blobs in zip(*(rows.column(c).to_pylist() for c in _BLOBS), strict=True):
                     gram, per, doc, times = decode(blobs)
-                    sums.append(np.bincount(doc, np.repeat(-np.log(model.probabilities(gram)), per) * times, minlength=n).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("place"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), rows.column("row").type), pa.array(sums, pa.binary())], names=mid.names)
+                    place, at = np.unique(doc, return_inverse=True)
+                    places.append(place.astype(np.uint16).tobytes())
+                    sums.append(np.bincount(at, np.repeat(-np.log(model.probabilities(gram)), per) * times).tobytes())
+                none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.float64(), rows.column("row").type)]
+                yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("place"), *none, pa.array(places, pa.binary()), pa.array(sums, pa.binary())], names=mid.names)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _shard_model(low: Model, chunks: list) -> Model:
-    """Orders 1 and 2 from the broadcast, those above from rows (2 * order for grams, 2 * order + 1 for contexts), sorted."""
+def _shard_model(common: Head, chunks: list) -> Model:
+    """Orders up to ``LOW`` from the broadcast, those above from rows (2 * order for grams, 2 * order + 1 for contexts), sorted."""
     level, code, value = (np.concatenate(x) for x in zip(*chunks, strict=True)) if chunks else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    model = Model([*low.gram], [*low.p], [*low.context], [*low.mass])
-    for k in range(len(low.gram) + 1, ORDER + 1):
+    model = Model(common.gram[:LOW], common.p[:LOW], common.context[:LOW], common.mass[:LOW])
+    for k in range(LOW + 1, ORDER + 1):
         own, contexts = level == 2 * k, level == 2 * k + 1
         model.gram.append(code[own].astype(np.uint32))
         model.p.append(value[own])
@@ -315,25 +385,29 @@ def _shard_model(low: Model, chunks: list) -> Model:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """Losses of a batch's documents, summed shard by shard in order, so that equal texts get equal sums."""
+    """Losses of a batch's documents in the shards, summed shard by shard in order, so that equal texts get equal sums."""
     table = table.sort_by("place")
-    loss = sum(np.frombuffer(x, np.float64) for x in table["sums"].to_pylist())
-    n = len(loss)
-    return pa.table({"batch": pa.array([table["batch"][0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n, dtype=np.int32)), "loss": pa.array(loss)})
+    lost, met = np.zeros(1 << 16), np.zeros(1 << 16, bool)
+    for places, sums in zip(table["places"].to_pylist(), table["sums"].to_pylist(), strict=True):
+        at = np.frombuffer(places, np.uint16)
+        lost[at] += np.frombuffer(sums, np.float64)
+        met[at] = True
+    place = np.flatnonzero(met)
+    return pa.table({"batch": pa.array([table["batch"][0].as_py()] * len(place), pa.int64()), "place": pa.array(place.astype(np.int32)), "more": pa.array(lost[place])})
 
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]] | None, carry: list[str] | None = None) -> DataFrame:
-    """(row, n_bytes, perplexity) of every document; no perplexity for an empty text."""
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]] | None, carry: list[str] | None = None, most: int = HEAD) -> DataFrame:
+    """(row, n_bytes, perplexity) of every document; no perplexity for an empty text. ``most``: grams and contexts of an order that every task holds."""
     if model is None:
         row = F.struct("*") if carry is None else F.struct(*(F.col(f"`{c}`") for c in carry))
         n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
         return docs.select(row.alias("row"), n.alias("n_bytes"), F.when(n > 0, F.lit(256.0)).alias("perplexity"))
     spark = docs.sparkSession
     copies = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) >> SHARD_BITS)
-    sent = spark.sparkContext.broadcast(collect(model[:2]))  # at most 256 + 65,536 grams
-    packed = _packed(docs, carry, copies)
+    sent = spark.sparkContext.broadcast(head(model, most))  # about HEAD grams and contexts an order at most
+    packed = _packed(docs, carry, copies, sent)
     parts = []
-    for k, (probabilities, contexts) in enumerate(model[2:], 3):
+    for k, (probabilities, contexts) in enumerate(model[LOW:], LOW + 1):
         parts.append(probabilities.select(_shard("shiftright(gram, 8)").alias("shard"), F.lit(2 * k).alias("level"), "gram", F.col("p").alias("value")))
         parts.append(contexts.select(_shard("context").alias("shard"), F.lit(2 * k + 1).alias("level"), F.col("context").alias("gram"), F.col("mass").alias("value")))
     shared = parts[0]
@@ -341,11 +415,11 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]] | None, carr
         shared = shared.unionByName(x)
     shared = shared.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("shard") * copies + F.col("copy")).alias("task"), F.lit(0).alias("kind"), "level", "gram", "value")
     dealt = packed.unionByName(shared, allowMissingColumns=True).repartitionById(copies << SHARD_BITS, "task").sortWithinPartitions("task", "kind", "level", "gram")
-    mid = T.StructType([*T._parse_datatype_string("batch bigint, place int, n bigint").fields, T.StructField("row", packed.schema["row"].dataType), T.StructField("sums", T.BinaryType())])
+    mid = T.StructType([*T._parse_datatype_string("batch bigint, place int, n bigint, loss double").fields, T.StructField("row", packed.schema["row"].dataType), T.StructField("places", T.BinaryType()), T.StructField("sums", T.BinaryType())])
     found = materialize(dealt.mapInArrow(_lose(sent, mid), mid), "losses")
-    losses = found.filter("sums IS NOT NULL").select("batch", "place", "sums").groupBy("batch").applyInArrow(_add, "batch bigint, place int, loss double")
-    out = found.filter("sums IS NULL").select("batch", "place", "row", F.col("n").alias("n_bytes")).join(losses, ["batch", "place"], "left")
-    return out.select("row", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("loss") / F.col("n_bytes"))).alias("perplexity"))
+    losses = found.filter("sums IS NOT NULL").select("batch", "place", "places", "sums").groupBy("batch").applyInArrow(_add, "batch bigint, place int, more double")
+    out = found.filter("sums IS NULL").select("batch", "place", "row", F.col("n").alias("n_bytes"), "loss").join(losses, ["batch", "place"], "left")
+    return out.select("row", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp((F.col("loss") + F.coalesce("more", F.lit(0.0))) / F.col("n_bytes"))).alias("perplexity"))
 
 
 def classify(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -54,3 +54,47 @@ def test_filter_keeps_every_trusted_document(spark):
     assert got.count(3) == 2 and {r["doc_id"] for r in ids.collect()} <= set(got) and len(got) < 1500
     assert quality.likely(docs, ids.withColumn("doc_id", quality.F.col("doc_id").cast("string"))).count() == docs.count()
     assert quality.likely(docs.limit(0).withColumnRenamed("_bits", "text"), ids).count() == 0
+
+
+def test_grams_beyond_the_common_ones_are_scored_by_their_shards(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(1, 400))) for _ in range(50)] + ["the the " * 400, "zz unseen ÿ", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id bigint, text string").repartition(3)
+    parts = quality.tables(quality.gram_counts(docs.filter("doc_id < 40")))
+    whole = quality.collect(parts)
+    for most, full in ((1, False), (60, False), (1 << 18, True)):
+        common = quality.head(parts, most)
+        assert all(common.all_grams) == all(common.all_contexts) == full
+        assert all(len(x) <= max(most, 1 << 16) for x in (*common.gram, *common.context)) and len(common.gram[3]) <= most
+        got = {}
+        for r in quality.score(docs, parts, most=most).collect():
+            got.setdefault(r["row"]["text"] or "", set()).add(r["perplexity"])
+        assert all(len(x) == 1 for x in got.values()) and len(got) == len(set(texts)) - 1
+        for text, (found,) in got.items():
+            data = np.frombuffer(text.encode(), np.uint8)
+            code = quality.grams(data, np.array([0, len(data)]))
+            sure = common.settles(code)
+            assert np.array_equal(common.probabilities(code[sure]), whole.probabilities(code[sure])) and (sure.all() or not full)
+            assert found is None if not len(data) else found == pytest.approx(np.exp(-np.log(whole.probabilities(code)).mean()), rel=1e-9)
+
+
+def test_common_grams_and_trusted_texts_are_not_shuffled(spark):
+    texts = ["the water of the river " * 40, "no such letters: ÿþ"]
+    parts = quality.tables(quality.gram_counts(spark.createDataFrame([(texts[0],)], "text string")))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.array([0, len(texts[0]), len(data)])
+    lost, packed = quality._pack(quality.W.Texts(0, 2, data, bounds), quality.head(parts))
+    assert len(lost) == 2 and (lost > 0).all() and not packed
+    lost, packed = quality._pack(quality.W.Texts(0, 2, data, bounds), quality.head(parts, 2))
+    assert packed
+    seen = []
+    real, quality.gram_counts = quality.gram_counts, lambda texts, *order: seen.append(texts) or real(texts, *order)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        quality.train(spark.range(200).selectExpr("id AS doc_id", "repeat('some text ', 5) AS text"), spark.range(0, 200, 2).selectExpr("id AS doc_id", "1 AS quality"))
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        quality.gram_counts = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
