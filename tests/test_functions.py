@@ -165,3 +165,11 @@ def test_statement_dates_are_tried_only_where_they_can_fit(spark):
     assert sum(r["got"] is not None for r in rows) > 20
     for text in ("", "Date", "Total"):
         assert not any(re.search(end, text) for end in dates.STATEMENT_ENDS)
+
+
+def test_blank_text_is_null_and_trimmed_once(spark):
+    from ledgerloom.functions.text import blank_to_null
+
+    rows = spark.createDataFrame([(" a b\t",), (" \n",), ("",), (None,), ("x",)], "t string").select(blank_to_null("t").alias("t"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["t"] for r in rows.collect()] == ["a b", None, None, None, "x"]
